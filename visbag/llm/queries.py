@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, licenses, quality, sharding
+from . import byte_bpe, decontaminate, licenses, quality, sharding, substring
 from .common import columns, table
 
 
@@ -23,6 +23,12 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = columns(table(spark, sf_dir, "documents"), doc_id="bigint", text="string")
+    out = substring.deduplicated(docs)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def _held_out(docs: DataFrame, parts: int, part: int) -> DataFrame:
     """doc_id, text and held_out: the remainder of doc_id's CRC-32 (a null doc_id counts as an empty text)."""
     number = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
@@ -45,5 +51,5 @@ def op9_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op4_byte_bpe, op7_quality, op8_license_scan, op9_feistel_shards)}
+QUERIES = {f.__name__: f for f in (op2_decontamination, op4_byte_bpe, op6_substring_dedup, op7_quality, op8_license_scan, op9_feistel_shards)}
 ORACLES: dict[str, str] = {}
