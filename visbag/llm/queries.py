@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, licenses, quality, sharding, substring
+from . import byte_bpe, decontaminate, jaccard, licenses, quality, sharding, substring
 from .common import columns, table
 
 
@@ -19,6 +19,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.joined(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -51,5 +55,5 @@ def op9_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op4_byte_bpe, op6_substring_dedup, op7_quality, op8_license_scan, op9_feistel_shards)}
+QUERIES = {f.__name__: f for f in (op2_decontamination, op3_jaccard_join, op4_byte_bpe, op6_substring_dedup, op7_quality, op8_license_scan, op9_feistel_shards)}
 ORACLES: dict[str, str] = {}
