@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, jaccard, licenses, quality, sharding, substring
+from . import byte_bpe, decontaminate, jaccard, language_model, licenses, quality, sharding, substring
 from .common import columns, table
 
 
@@ -39,6 +39,10 @@ def _held_out(docs: DataFrame, parts: int, part: int) -> DataFrame:
     return columns(docs, doc_id="bigint", text="string").withColumn("held_out", number % parts == part)
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scored(_held_out(table(spark, sf_dir, "documents"), 7, 2))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _held_out(table(spark, sf_dir, "documents"), 5, 0)
     model = quality.fit(docs.where("not held_out"), table(spark, sf_dir, "labels"))
@@ -55,5 +59,5 @@ def op9_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_jaccard_join, op4_byte_bpe, op6_substring_dedup, op7_quality, op8_license_scan, op9_feistel_shards)}
+QUERIES = {f.__name__: f for f in (op2_decontamination, op3_jaccard_join, op4_byte_bpe, op5_lm_score, op6_substring_dedup, op7_quality, op8_license_scan, op9_feistel_shards)}
 ORACLES: dict[str, str] = {}
