@@ -6,10 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, jaccard, language_model, licenses, quality, sharding, substring
+from . import byte_bpe, decontaminate, html_extract, jaccard, language_model, licenses, quality, sharding, substring
 from .common import columns, table
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = html_extract.extracted(table(spark, sf_dir, "pages"))
+    return texts.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = columns(table(spark, sf_dir, "documents"), doc_id="bigint", text="string")
     found = decontaminate.judged(decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")))
@@ -59,5 +64,5 @@ def op9_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_jaccard_join, op4_byte_bpe, op5_lm_score, op6_substring_dedup, op7_quality, op8_license_scan, op9_feistel_shards)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_decontamination, op3_jaccard_join, op4_byte_bpe, op5_lm_score, op6_substring_dedup, op7_quality, op8_license_scan, op9_feistel_shards)}
 ORACLES: dict[str, str] = {}
