@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, html_extract, jaccard, language_model, licenses, quality, sharding, substring
+from . import byte_bpe, decontaminate, html_extract, jaccard, language_model, licenses, media, quality, sharding, substring
 from .common import columns, table
 
 
@@ -64,5 +64,10 @@ def op9_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_decontamination, op3_jaccard_join, op4_byte_bpe, op5_lm_score, op6_substring_dedup, op7_quality, op8_license_scan, op9_feistel_shards)}
+def op10_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media.copies(media.rendered(table(spark, sf_dir, "embeddings")))
+    return found.select(F.col("image_id").alias("vec_id"), "class_id", "n_links", F.expr("transform(links, x -> x.query_class)").alias("query_classes"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_decontamination, op3_jaccard_join, op4_byte_bpe, op5_lm_score, op6_substring_dedup, op7_quality, op8_license_scan, op9_feistel_shards, op10_image_copies)}
 ORACLES: dict[str, str] = {}
