@@ -201,7 +201,7 @@ def _requests(chunk: int, table: pa.Table, bits: int) -> pa.Table:
     found: dict[int, list] = {}
     for url, page in zip(table.column("url").to_pylist(), table.column("html").to_pylist()):
         root, keys, of_host = _page(page or "", _salt(host_of(url)))
-        text = "".join(b for b in blocks(content(root))[-3:])
+        text = "\n".join(blocks(content(root)))
         bit = 1 << (blake2b(text.encode("utf-8", "replace"), digest_size=1).digest()[0] & 63)
         for key in {*keys, of_host}:
             entry = found.setdefault(key, [0, 0])
