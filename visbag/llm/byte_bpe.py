@@ -20,11 +20,10 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf  # noqa: F401
 
-from .common import columns, tasks_for
+from .common import columns, released, tasks_for
 
-CHUNK, OVERLAP, REMEMBERED = 32_768, 512, 200_000
+CHUNK, OVERLAP, REMEMBERED = 32_768, 512, 50_000
 
 
 def ranks(path: str) -> dict[bytes, int]:
@@ -119,6 +118,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, digests: bool = True) -> D
         for batch in batches:
             found = [known.encoded(known.split(t or "")) for t in batch.column("text").to_pylist()]
             yield _result(batch.column("doc_id"), found, not digests).rename_columns(names)
+        released()
 
     def boundaries(batches):
         known = pieces_of(path, pattern)

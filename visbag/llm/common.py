@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that go to Python at once. Texts have no bounded length, so the default of 10,000 rows does not bound memory.
 ARROW_ROWS = 512
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def prepared(spark: SparkSession) -> SparkSession:
@@ -51,6 +54,13 @@ def tasks_for(spark: SparkSession, units: int, per_task: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-units // per_task))
 
 
+def released() -> None:
+    """Gives freed memory back to the system; workers are kept between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def packed(values: np.ndarray) -> bytes:
     """A compressed array, its bytes dealt by significance (sorted values then take few bytes)."""
     values = np.ascontiguousarray(values)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, sums
+from .common import columns, released, sums
 from .words import SPACED_LOWER, Words, text_slices
 
 SHRINKAGE, RIDGE = 0.05, 1e-3
@@ -103,6 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Discrimin
 
 
 def _features(batches):
+    released()
     for batch in batches:
         x = _statistics_of(batch)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(np.arange(0, x.size + 1, SIZE, dtype=np.int32), x.reshape(-1))], ["doc_id", "x"])
@@ -126,5 +127,6 @@ def scored(docs: DataFrame, model: Discriminant, column: str = "score") -> DataF
     def run(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(_statistics_of(batch)))], [*batch.schema.names, column])
+        released()
 
     return docs.mapInArrow(run, schema)

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, prepared, unpacked
+from .common import packed, prepared, released, unpacked
 from .words import SPACED, Words, mixed, run_hashes, text_slices
 
 WINDOW, CHUNK_BYTES, BUCKET_WINDOWS, SALT, BLOCK_WORDS = 13, 6 << 20, 2_000_000, 128, 120_000
@@ -277,12 +277,15 @@ def deduplicated(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), window: i
     groups = dealt.groupBy("chunk")
 
     def request(key, table):
+        released()
         return Chunk(table, window).requests(key[0].as_py(), bits)
 
     def cut(key, table, replies):
+        released()
         return Chunk(table, window).passages(key[0].as_py(), bits, replies, window, chunks) if len(table) else _PASSAGES.empty_table()
 
     def remove(table, spans):
+        released()
         return Chunk(table, window).kept(spans, keep)
 
     requests = groups.applyInArrow(request, "bucket int, chunk int, hashes binary, first binary, many binary, doc_ids binary")

@@ -128,7 +128,7 @@ def run_hashes(words: np.ndarray, k: int) -> np.ndarray:
         return mixed((total[k:] - total[:-k]) * down[: n - k + 1] + np.uint64(k))
 
 
-def text_slices(batch: pa.RecordBatch | pa.Table, column: str, max_bytes: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_slices(batch: pa.RecordBatch | pa.Table, column: str, max_bytes: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(from row, to row, bytes, offsets) of consecutive rows, ``max_bytes`` together or one long row; nulls are empty."""
     text = batch.column(column)
     for chunk, base in _chunks(text):
