@@ -73,7 +73,7 @@ def nearest(features: DataFrame, codebook: DataFrame, k: int = NEIGHBOURS, descr
 
 
 def _pass(features: DataFrame, words: np.ndarray, centers: np.ndarray, k: int, descriptor: str, more: bool) -> DataFrame:
-    schema = features.schema if more else features.withColumns({"words": F.expr("cast(array() as array<int>)"), "distances": F.expr("cast(array() as array<double>)")}).schema
+    schema = features.schema if more else features.withColumns({"words": F.expr("cast(null as array<int>)"), "distances": F.expr("cast(null as array<double>)")}).schema
     names = features.columns
 
     def run(batches):
@@ -103,7 +103,7 @@ def long_form(assigned: DataFrame) -> DataFrame:
 def nearest_word(features: DataFrame, codebook: DataFrame, descriptor: str = "descriptor") -> DataFrame:
     """``features`` with word and distance of the nearest word; the smaller word wins ties."""
     out = nearest(features, codebook, 1, descriptor)
-    return out.select(*features.columns, F.col("words")[0].alias("word"), F.col("distances")[0].alias("distance"))
+    return out.select(*features.columns, F.get("words", F.lit(0)).alias("word"), F.get("distances", F.lit(0)).alias("distance"))
 
 
 def nearest_join(features: DataFrame, codebook: DataFrame, k: int, key: str = "feature_id") -> DataFrame:
@@ -120,7 +120,7 @@ def average_word_distance(codebook: DataFrame, estimate: int = AVERAGED, seed: i
     """One row, avg_word_distance: mean squared distance of words to their nearest other word, over at most
     ``estimate`` words drawn without replacement (all of them if there are fewer)."""
     drawn = codebook.orderBy(F.xxhash64("word", F.lit(seed)), "word").limit(estimate).select(F.col("word").alias("own"), F.col("center").alias("descriptor"))
-    return nearest(drawn, codebook, 1, exclude="own").agg(F.avg(F.col("distances")[0]).alias("avg_word_distance"))
+    return nearest(drawn, codebook, 1, exclude="own").agg(F.avg(F.get("distances", F.lit(0))).alias("avg_word_distance"))
 
 
 def approximate_nearest(features: DataFrame, codebook: DataFrame, k: int, bucket: float = 2.0, tables: int = 6, seed: int = 3) -> DataFrame:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import statistics
@@ -51,11 +51,9 @@ def pairs(features: DataFrame, column: str, label: str, n: int, same: bool, key:
     drawn = features.where(F.col(label).isNotNull()).select(F.col(key).alias("k"), F.col(label).alias("l"), F.col(column).alias("v"))
     part = max(1, total // max(1, 2 * n))
     drawn = drawn.where(F.pmod(F.xxhash64("k", F.lit(seed)), F.lit(part)) == 0)
-    from pyspark.sql import Window
-
     order = Window.partitionBy("l" if same else F.pmod(F.xxhash64("k", F.lit(seed + 1)), F.lit(64))).orderBy(F.xxhash64("k", F.lit(seed + 2)), "k")
     ahead = [F.lead(F.struct("l", "v"), d).over(order) for d in (1, 2, 3)]
-    rows = drawn.select("l", F.col("v").alias("a"), F.explode(F.array(*ahead)).alias("o")).where("o is not null")
+    rows = drawn.select("l", F.col("v").alias("a"), F.array(*ahead).alias("next")).select("l", "a", F.explode("next").alias("o")).where("o is not null")
     return rows.where(F.col("l") == F.col("o.l") if same else F.col("l") != F.col("o.l")).select("a", F.col("o.v").alias("b")).limit(n)
 
 

@@ -268,7 +268,7 @@ def words(rows: DataFrame, nodes: list[dict], kind: str, column: str = "descript
                 out[i] = w
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32()))], [*batch.schema.names, "tree_words"])
 
-    return rows.mapInArrow(run, rows.withColumn("tree_words", F.expr("cast(array() as array<int>)")).schema)
+    return rows.mapInArrow(run, rows.withColumn("tree_words", F.expr("cast(null as array<int>)")).schema)
 
 
 def descended(rows: DataFrame, nodes: DataFrame, key: str, column: str, levels: int = MAX_LEVELS) -> DataFrame:
@@ -317,4 +317,4 @@ def soft_words(rows: DataFrame, nodes: list[dict], slots: int, column: str = "de
                 out.append(None if v is None else weights(np.asarray(v, np.float64), None if seed is None else np.random.default_rng([seed, hash(k) & 0xFFFFFFFF])))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.struct([("word", pa.int32()), ("weight", pa.float64())])))], [*batch.schema.names, "word_weights"])
 
-    return rows.mapInArrow(run, rows.withColumn("word_weights", F.expr("cast(array() as array<struct<word:int,weight:double>>)")).schema)
+    return rows.mapInArrow(run, rows.withColumn("word_weights", F.expr("cast(null as array<struct<word:int,weight:double>>)")).schema)

@@ -80,7 +80,7 @@ class Reader(DataSourceReader):
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
-            if getattr(f, "attribute", None) == ("vec_id",):
+            if getattr(f, "attribute", None) == ("vec_id",) and hasattr(f, "value"):
                 value = f.value
                 if isinstance(f, EqualTo):
                     self.low, self.high = max(self.low, value), value + 1 if self.high is None else min(self.high, value + 1)
