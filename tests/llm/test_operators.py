@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from visbag.llm import byte_bpe, components, decontaminate, fm_index, gru, html_extract, jaccard, language_model, licenses, media, quality, sharding, substring
-from visbag.llm.queries import QUERIES
+from visbag.llm.queries import ORACLES, QUERIES
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -308,6 +308,13 @@ def test_pipeline(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() == len(rows)
 
 
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_queries_equal_sql(spark, sf, name):
+    import oracle
+
+    assert oracle.difference(spark, QUERIES[name], ORACLES[name], sf) == ""
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_queries_run(spark, sf, name):
     kind = "embeddings" if name.startswith("op10") else "pages" if name.startswith("op1_") else "documents"
