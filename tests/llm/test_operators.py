@@ -269,6 +269,21 @@ def test_html_extraction(spark):
     assert {r.text for r in html_extract.extracted(copies).collect()} == {"same"}
 
 
+def votes(a, b) -> int:
+    """Of two described images, all corners against all: the most corners of ``b`` that agree on a turn and a shift."""
+    (p, bits), (q, other) = a, b
+    i, j = np.nonzero(np.bitwise_count((bits[:, None, :] ^ other[None]).view(np.uint64)).sum(2) <= media.RADIUS)
+    turn = (q[j, 2] - p[i, 2]) % (2 * np.pi)
+    dx, dy = q[j, 0] - (np.cos(turn) * p[i, 0] - np.sin(turn) * p[i, 1]), q[j, 1] - (np.sin(turn) * p[i, 0] + np.cos(turn) * p[i, 1])
+    cells: dict = {}
+    for k in range(len(i)):
+        for t in (0, 0.5):
+            for u in (0, 0.5):
+                for v in (0, 0.5):
+                    cells.setdefault((t, u, v, int(turn[k] / media.TURN + t) % 12, math.floor(dx[k] / media.CELL + u), math.floor(dy[k] / media.CELL + v)), set()).add(int(j[k]))
+    return max(map(len, cells.values()), default=0)
+
+
 def test_image_copies(spark):
     rng = np.random.default_rng(8)
     sources = rng.standard_normal((6, 64))
@@ -281,6 +296,9 @@ def test_image_copies(spark):
     query = {r.image_id: r.class_id for r in got}
     truth = {(query[50 * s], 50 * s + k) for s in range(6) for k in range(8) if query[50 * s + k] != query[50 * s]}
     assert len(found & truth) / len(truth) >= 0.9 and len(found - truth) <= 2
+    shown = {i: media.described(media.render(i, v)) for i, v in rows}
+    brute_force = {(query[50 * s], i) for s in range(6) for i in shown if query[i] != query[50 * s] and votes(shown[i], shown[50 * s]) >= media.INLIERS}
+    assert len(found & brute_force) / len(brute_force) >= 0.9
     assert media.copies(media.rendered(vectors.limit(0))).count() == 0
 
 
