@@ -107,6 +107,18 @@ def test_jaccard_threshold(spark):
     assert got == {1: (1,), 2: (1,), 10: (10,), 11: (10,), 20: (20,), 21: (21,)}
 
 
+def test_jaccard_smallest_sets(spark):
+    """A set of 9 within a set of 10 links, at either end of the text; one of 8 within one of 9 does not."""
+    rows = []
+    for at, n in ((0, 12), (10, 11)):
+        words = [f"s{at}_{i}" for i in range(n)]
+        rows += [(at, " ".join(words)), (at + 1, " ".join(words[:-1])), (at + 2, " ".join(words[1:]))]
+    got = by_id(jaccard.joined(frame(spark, rows)), "n_shingles", "component_id")
+    assert got == {0: (10, 0), 1: (9, 0), 2: (9, 0), 10: (9, 10), 11: (8, 11), 12: (8, 12)} == brute.components(rows)
+    kept = {r.doc_id for r in corpus_pipeline.without_near_copies(spark, frame(spark, rows), "").collect()}
+    assert kept == {0, 10, 11, 12}
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100, 101 + i) for i in range(50)] + [(200 + i, 201 + i) for i in range(20)]

@@ -36,7 +36,7 @@ from .common import columns, materialised, packed, prepared, released, tasks_for
 from .components import Union, connected
 from .words import SPACED_LOWER, Words, mixed, run_hashes, text_slices
 
-SHINGLE, SLOT_BITS, LIST, FAMILY, MEMBERS, PIVOTS, ENTRIES, KEY_SLOTS = 3, 20, 128, 2_000_000, 4096, 32, 500_000, 1 << 20
+SHINGLE, SLOT_BITS, LIST, FAMILY, MEMBERS, PIVOTS, ENTRIES, KEY_SLOTS, LEAST = 3, 20, 128, 2_000_000, 4096, 32, 500_000, 1 << 20, 9
 _MIX = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -90,7 +90,7 @@ def _counters(batches):
     total = np.zeros(1 << SLOT_BITS, np.uint32)
     for batch in batches:
         for _, _, data, offsets in text_slices(batch, "text"):
-            all_ = [x for x in sets(data, offsets) if len(x) >= 10]
+            all_ = [x for x in sets(data, offsets) if len(x) >= LEAST]
             if all_:
                 slots, n = np.unique(np.concatenate(all_) >> np.uint64(64 - SLOT_BITS), return_counts=True)
                 total[slots] += n.astype(np.uint32)
@@ -144,8 +144,8 @@ def described(docs: DataFrame, counts, buckets: int) -> DataFrame:
                     name = class_of(x)
                     names.append(name)
                     sizes.append(len(x))
-                    fresh = len(x) >= 10 and name not in seen  # smaller sets link with equal ones only
-                    sketches.append(sketch(x) if len(x) >= 10 else None)
+                    fresh = len(x) >= LEAST and name not in seen  # smaller sets link with equal ones only; 9 within 10 link
+                    sketches.append(sketch(x) if len(x) >= LEAST else None)
                     if fresh:
                         seen.add(name)
                         p = prefix_length(len(x))
@@ -286,7 +286,7 @@ def joined(docs: DataFrame, family: int = FAMILY, members: int = MEMBERS, pivots
     classes = of_doc.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     entries = rows.where("kind = 'prefix'").select("bucket", "grams", "classes", "places", "sizes").groupBy("bucket").applyInArrow(_shared, "gram bigint, class bigint, place int")
     tasks = tasks_for(spark, 0, 1)
-    lists = entries.join(classes.where("n >= 10"), "class").repartition(tasks, "gram").sortWithinPartitions("gram", "n", "class")
+    lists = entries.join(classes.where(F.col("n") >= LEAST), "class").repartition(tasks, "gram").sortWithinPartitions("gram", "n", "class")
     edges = lists.select("gram", "n", "class", "place", "sketch").mapInArrow(_edges, "a bigint, b bigint")
     families = connected(edges).select(F.col("node").alias("class"), F.col("root").alias("family"))
     known = materialised(families.join(classes.select("class", "doc_id", "n"), "class"))
