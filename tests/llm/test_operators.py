@@ -188,6 +188,21 @@ def test_model_gradients_and_mass():
     assert abs(total - 1) < 1e-4
 
 
+def test_learning_uses_every_token():
+    """Fewer tokens than a step, and those after the last whole step, change the model for the better."""
+    lengths = [24] * 10 + [gru.STEP // gru.STREAMS * 3] * 600
+    for count in (10, len(lengths)):
+        first = np.concatenate([[0], np.cumsum(lengths[:count])])
+        symbols = np.arange(first[-1]) % 5
+        m, steps = gru.Model(20), []
+        before, whole = m.log_probabilities(symbols, symbols, first).sum(), m.window
+        m.window = lambda x, *rest: (steps.append(m.flat.copy()), whole(x, *rest))[1]
+        assert m.learn(symbols, symbols, first) == len(symbols)
+        m.window = whole
+        assert not np.array_equal(m.flat, steps[-1])  # the last window is applied
+        assert m.log_probabilities(symbols, symbols, first).sum() > before
+
+
 def test_windows_keep_documents_whole():
     """Scores do not depend on how documents are laid out in streams."""
     rng = np.random.default_rng(1)

@@ -133,12 +133,19 @@ class Model:
             _, h[0] = self.window(x, target, fresh, h[0], grads)
             seen += x.size
             if seen >= STEP:  # the last streams are few: their windows together make a step
-                flat /= seen
-                self.used += flat * flat
-                self.flat -= rate * flat / np.sqrt(self.used)
-                flat[:], seen = 0, 0
+                self._apply(flat, seen, rate)
+                seen = 0
+        if seen:  # what is left weighs by its tokens
+            self._apply(flat, STEP, rate)
         return len(symbols)
 
+    def _apply(self, flat: np.ndarray, tokens: int, rate: float) -> None:
+        """A step along the gradient summed in ``flat``, which is cleared."""
+        flat /= tokens
+        self.used += flat * flat
+        self.flat -= rate * flat / np.sqrt(self.used)
+        flat[:] = 0
+
     def log_probabilities(self, symbols: np.ndarray, tails: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Natural log of each token's probability (other words: of their class)."""
         out = np.zeros(len(symbols))
