@@ -203,6 +203,21 @@ def test_learning_uses_every_token():
         assert m.log_probabilities(symbols, symbols, first).sum() > before
 
 
+def test_vocabulary_grows_and_groups_learn():
+    """Sizes grow with the training text; other words have output classes whose weights depend on what came before."""
+    small, large = language_model.sizes(10**6), language_model.sizes(30 * 10**9)
+    assert small[0] >= 255 and large[0] > 100 * small[0] and large[1] > 4 * small[1]
+    m = gru.Model(40, groups=4, width=8)
+    one, h = np.zeros((1, 1), np.int64), np.random.default_rng(0).standard_normal((1, gru.HIDDEN)).astype(np.float32)
+    assert abs(sum(math.exp(m.window(one, np.array([[s]]), one == 0, h, None)[0][0, 0]) for s in range(-4, 41)) - 1) < 1e-4
+    m, symbols = gru.Model(2, groups=2), np.tile([1, -1, 2, -2, 2, -2, 1, -1], 6000)
+    tails, first = np.where(symbols == -2, 1, 0), np.arange(0, len(symbols) + 1, 80)
+    for _ in range(6):
+        m.learn(symbols, tails, first)
+    log_p = lambda *s: m.log_probabilities(np.array(s), np.where(np.array(s) == -2, 1, 0), np.array([0, len(s)]))[-1]
+    assert log_p(1, -1) > log_p(2, -1) + 1 and log_p(2, -2) > log_p(1, -2) + 1
+
+
 def test_windows_keep_documents_whole():
     """Scores do not depend on how documents are laid out in streams."""
     rng = np.random.default_rng(1)

@@ -1,9 +1,10 @@
 """A gated recurrent language model in numpy: truncated backpropagation, class-factored output softmax.
 
-Symbols: 0 ends a document, 1 .. K are frequent words, -1 any other word. Outputs: a softmax over classes of WIDTH
-symbols each and one class of other words, then a softmax inside the class; what distinguishes other words is the
-caller's. Inputs: the symbol before (0 at the start), other words by TAILS hashes. Documents are laid out in streams
-that run in parallel; the state is carried from window to window and cleared where a document starts.
+Symbols: 0 ends a document, 1 .. K are frequent words, -1 .. -G the groups of other words. Outputs: a softmax over
+classes of ``width`` symbols each and the G groups, then a softmax inside the class; what distinguishes the words of a
+group is the caller's. Inputs: the symbol before (0 at the start), other words by their hashes (``tails``, as many as
+groups, TAILS at least). Documents are laid out in streams that run in parallel; the state is carried from window to
+window and cleared where a document starts.
 """
 
 from __future__ import annotations
@@ -16,25 +17,26 @@ HIDDEN, WIDTH, TAILS, WINDOW, STREAMS, STEP, RATE = 8, 16, 8, 24, 512, 6000, 0.0
 
 
 class Model:
-    def __init__(self, words: int, seed: int = 5):
-        self.words, self.classes = words, -(-(words + 1) // WIDTH)
-        self.shapes = {"inputs": (words + 1 + TAILS, 3 * HIDDEN), "gates": (HIDDEN, 2 * HIDDEN), "state": (HIDDEN, HIDDEN), "class_w": (HIDDEN, self.classes + 1), "class_b": (self.classes + 1,), "word_w": (self.classes, HIDDEN, WIDTH), "word_b": (self.classes, WIDTH)}
+    def __init__(self, words: int, seed: int = 5, groups: int = 1, width: int = WIDTH):
+        self.words, self.width, self.classes = words, width, -(-(words + 1) // width)
+        outputs = self.classes + groups
+        self.shapes = {"inputs": (words + 1 + max(TAILS, groups), 3 * HIDDEN), "gates": (HIDDEN, 2 * HIDDEN), "state": (HIDDEN, HIDDEN), "class_w": (HIDDEN, outputs), "class_b": (outputs,), "word_w": (self.classes, HIDDEN, width), "word_b": (self.classes, width)}
         self.size = sum(int(np.prod(s)) for s in self.shapes.values())
         rng = np.random.default_rng(seed)
         flat = (rng.standard_normal(self.size) * 0.1).astype(np.float32)
         self.load(flat)
         self.word_b[:] = self.class_b[:] = 0
-        over = np.arange(self.classes * WIDTH).reshape(self.classes, WIDTH) > words
+        over = np.arange(self.classes * width).reshape(self.classes, width) > words
         self.word_b[over] = -1e9  # places without a symbol
         self.used = None
 
-    def begin_at(self, counts: np.ndarray, others: int) -> None:
-        """Starts from the frequencies of the symbols 0 .. K and of all other words together."""
+    def begin_at(self, counts: np.ndarray, others: np.ndarray | int) -> None:
+        """Starts from the frequencies of the symbols 0 .. K and of the groups of other words."""
         counts = np.asarray(counts, np.float64) + 1
         for c in range(self.classes):
-            part = counts[c * WIDTH : (c + 1) * WIDTH]
+            part = counts[c * self.width : (c + 1) * self.width]
             self.class_b[c], self.word_b[c, : len(part)] = np.log(part.sum()), np.log(part)
-        self.class_b[self.classes] = np.log(others + 1)
+        self.class_b[self.classes :] = np.log(np.asarray(others) + 1)
         self.class_b -= self.class_b.max()
 
     def load(self, flat: np.ndarray) -> None:
@@ -58,7 +60,7 @@ class Model:
         logits -= logits.max(1, keepdims=True)
         e = np.exp(logits)
         total = e.sum(1)
-        class_ = np.where(target < 0, self.classes, target // WIDTH)
+        class_ = np.where(target < 0, self.classes - 1 - target, target // self.width)
         rows = np.arange(len(hs))
         log_p = logits[rows, class_] - np.log(total)
         if learn is not None:
@@ -73,7 +75,7 @@ class Model:
             at = order[cuts[c] : cuts[c + 1]]
             if not len(at):
                 continue
-            part, inside = hs[at], target[at] - c * WIDTH
+            part, inside = hs[at], target[at] - c * self.width
             logits = part @ self.word_w[c] + self.word_b[c]
             logits -= logits.max(1, keepdims=True)
             e = np.exp(logits)
@@ -147,7 +149,7 @@ class Model:
         flat[:] = 0
 
     def log_probabilities(self, symbols: np.ndarray, tails: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Natural log of each token's probability (other words: of their class)."""
+        """Natural log of each token's probability (other words: of their group)."""
         out = np.zeros(len(symbols))
         for x, target, fresh, at, h in self._windows(symbols, tails, first):
             log_p, h[0] = self.window(x, target, fresh, h[0], None)
