@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import base64
+import json
 import math
 import random
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import brute
 import numpy as np
@@ -277,6 +279,14 @@ def test_license_scan(spark):
     assert "Python" not in licenses.scanned(frame(spark, rows))._jdf.queryExecution().executedPlan().toString()
 
 
+def test_license_scan_long_texts(spark):
+    """Whole texts of long licences are found, in capitals and with other spaces within lines too."""
+    names = ["Apache-2.0-text", "CC0-1.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "MPL-2.0"]
+    texts = json.loads((Path(licenses.__file__).parent / "license_texts.json").read_text("utf-8"))
+    rows = [(i, texts[n].upper().replace(" ", "  ")) for i, n in enumerate(names)] + [(100, texts["MPL-2.0"] + " more")]
+    assert by_id(licenses.scanned(frame(spark, rows)), "license_id") == {i: (n,) for i, n in enumerate(names)} | {100: (None,)}
+
+
 def test_sharding(spark, docs, table):
     rows = docs + [docs[0], docs[0], (None, "x"), (None, None)]
     got = sharding.shuffled_shards(frame(spark, rows), 7).collect()
