@@ -9,7 +9,7 @@ with a smaller doc_id. Every recurring window has an owner, the smallest doc_id
    hashes it sent, in their order.
 3. A chunk cuts its texts into passages: windows it owns and others repeat (reference), windows owned by others
    (to be looked for). Both go to the owner's reference shard. Frequent passages are salted: with n documents, the
-   reference goes to n / SALT parts of the shard and each document's passage to one of them.
+   reference goes to about n / SALT parts of the shard and each passage to be looked for to one of them.
 4. A shard builds the suffix automaton of its reference passages (a block of at most BLOCK_WORDS at a time),
    streams the passages to be looked for, and reports the maximal spans whose matching length reaches WINDOW.
    Within a reference passage every window belongs to that owner, so a match is one in a smaller doc_id.
@@ -19,8 +19,9 @@ Automata go to the passages that can match them rather than to all documents: wi
 every document, the work would grow with the square of the corpus. The hashes (64 bits) only route; removal is
 decided by the words themselves. Chunks, buckets, shards and salts have bounded size whatever is frequent.
 
-A null doc_id counts as larger than any other, equal doc_ids as not smaller than each other; null and empty texts
-have no words; repeated rows are handled each. Columns named in ``keep`` pass through, others are ignored.
+A doc_id may be any bigint. A null one counts as larger than any other, equal ones (null ones too) as not smaller than
+each other; null and empty texts have no words; repeated rows are handled each (rows equal in doc_id and text meet in
+one chunk). Columns named in ``keep`` pass through, others are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import packed, prepared, released, unpacked
 from .words import SPACED, Words, mixed, run_hashes, text_slices
 
-WINDOW, CHUNK_BYTES, BUCKET_WINDOWS, SALT, BLOCK_WORDS = 13, 6 << 20, 2_000_000, 128, 120_000
+WINDOW, CHUNK_BYTES, BUCKET_WINDOWS, SALT, BLOCK_WORDS = 13, 4 << 20, 1_500_000, 32, 120_000
 LAST = np.iinfo(np.int64).max
 
 
@@ -99,119 +100,142 @@ class Automaton:
         return out
 
 
+def ordered(table: pa.Table) -> pa.Table:
+    """The rows of a chunk in a fixed order: by doc_id (nulls last) and text."""
+    return table.take(pc.sort_indices(table, [("doc_id", "ascending"), ("text", "ascending")]))
+
+
+def bucket_cuts(distinct: np.ndarray, bits: int) -> np.ndarray:
+    """Where each bucket's part of the sorted hashes begins."""
+    inner = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(0, np.uint64)
+    return np.concatenate([[0], np.searchsorted(distinct, inner), [len(distinct)]])
+
+
 class Chunk:
-    """The rows of a chunk in a fixed order, and their windows."""
+    """The windows of a chunk's ordered rows: hash, row, place of the first word in the chunk; ``order`` sorts the
+    hashes, ``fresh`` marks the first of equal ones. Bytes and words of a slice are made again where needed."""
 
     def __init__(self, table: pa.Table, window: int):
-        keys = pa.table({"d": pc.fill_null(table.column("doc_id"), LAST), "t": pc.fill_null(table.column("text"), "")})
-        self.table = table.take(pc.sort_indices(keys, [("d", "ascending"), ("t", "ascending")]))
-        self.doc_ids = pc.fill_null(self.table.column("doc_id"), LAST).to_numpy()
-        self.texts = pc.fill_null(self.table.column("text"), "").combine_chunks().cast(pa.large_binary())
-        hashes, docs, places, self.slices = [], [], [], []
-        base = 0
-        for a, _, data, offsets in text_slices(pa.table({"text": self.texts}), "text"):
+        self.table, self.window = ordered(table), window
+        hashes, docs, places, base = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
+        for a, _, data, offsets in text_slices(self.table, "text"):
             words = Words(data, offsets, SPACED)
-            doc = words.doc
-            h = run_hashes(words.hash, window)
-            inside = np.flatnonzero(doc[: len(h)] == doc[window - 1 :]) if len(h) else np.zeros(0, np.int64)
+            doc, h = words.doc, run_hashes(words.hash, window)
+            inside = np.flatnonzero(doc[: len(h)] == doc[window - 1 :]) if len(h) else places[0]
             hashes.append(h[inside])
-            docs.append(doc[inside] + a)
+            docs.append((doc[inside] + a).astype(np.int32))
             places.append(inside + base)
-            self.slices.append((base, a, data, offsets, words))
             base += len(words)
-        none = np.zeros(0, np.int64)
-        self.hash, self.doc, self.place = np.concatenate([np.zeros(0, np.uint64), *hashes]), np.concatenate([none, *docs]), np.concatenate([none, *places])
-        self.order = np.argsort(self.hash, kind="stable")
+        self.hash, self.doc, self.place = map(np.concatenate, (hashes, docs, places))
+        self.order = np.argsort(self.hash, kind="stable").astype(np.int32)
+        self.fresh = np.ones(len(self.order), bool)
         sorted_ = self.hash[self.order]
-        fresh = np.ones(len(sorted_), bool)
-        fresh[1:] = sorted_[1:] != sorted_[:-1]
-        self.fresh, self.start = fresh, np.flatnonzero(fresh)
-        self.distinct = sorted_[self.start]
+        self.fresh[1:] = sorted_[1:] != sorted_[:-1]
+        self.distinct = sorted_[self.fresh]
+        self.hash = None
 
-    def cuts(self, bits: int) -> np.ndarray:
-        """Where each bucket's part of ``distinct`` begins."""
-        inner = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(0, np.uint64)
-        return np.concatenate([[0], np.searchsorted(self.distinct, inner), [len(self.distinct)]])
+    def ids(self) -> tuple[np.ndarray, np.ndarray]:
+        """doc_id of each row (0 for null) and whether it is there."""
+        column = self.table.column("doc_id")
+        return pc.fill_null(column, 0).to_numpy(), pc.is_valid(column).to_numpy()
 
     def requests(self, chunk: int, bits: int) -> pa.Table:
-        doc = self.doc[self.order]
+        """By bucket: hashes, the first row of each as a place in ``doc_ids`` (one past its end: null), rows of each."""
+        start, doc = np.flatnonzero(self.fresh), self.doc[self.order]
         other = self.fresh.copy()
         other[1:] |= doc[1:] != doc[:-1]
-        many = np.minimum(np.add.reduceat(other.astype(np.int64), self.start), 65535).astype(np.uint16) if len(self.start) else np.zeros(0, np.uint16)
-        first, cuts = doc[self.start], self.cuts(bits)
+        many = np.minimum(np.add.reduceat(other, start, dtype=np.int64), 65535).astype(np.uint16) if len(start) else np.zeros(0, np.uint16)
+        first, cuts = doc[start], bucket_cuts(self.distinct, bits)
+        ids, valid = self.ids()
         rows: dict[str, list] = {"bucket": [], "chunk": [], "hashes": [], "first": [], "many": [], "doc_ids": []}
         for b in range(len(cuts) - 1):
             part = slice(cuts[b], cuts[b + 1])
             if part.start < part.stop:
-                used, at = np.unique(first[part], return_inverse=True)
-                for k, v in (("bucket", b), ("chunk", chunk), ("hashes", packed(self.distinct[part])), ("first", packed(at.astype(np.uint32))), ("many", packed(many[part])), ("doc_ids", packed(np.diff(self.doc_ids[used], prepend=0)))):
+                used, at = np.unique(first[part], return_inverse=True)  # rows are in order of doc_id, nulls last
+                named = used[valid[used]]
+                for k, v in (("bucket", b), ("chunk", chunk), ("hashes", packed(self.distinct[part])), ("first", packed(np.minimum(at, len(named)).astype(np.uint32))), ("many", packed(many[part])), ("doc_ids", packed(np.diff(ids[named], prepend=0)))):
                     rows[k].append(v)
         return pa.table(rows, pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), *((k, pa.binary()) for k in ("hashes", "first", "many", "doc_ids"))]))
 
-    def passages(self, chunk: int, bits: int, replies: pa.Table, window: int, shards: int) -> pa.Table:
-        owner, salts = np.full(len(self.distinct), -1, np.int64), np.zeros(len(self.distinct), np.uint8)
-        cuts = self.cuts(bits)
-        for r in replies.to_pylist():
-            at = cuts[r["bucket"]] + unpacked(r["at"]).cumsum(dtype=np.int64)
-            owner[at], salts[at] = unpacked(r["owners"]), unpacked(r["salts"])
-        group = np.cumsum(self.fresh) - 1
-        of, salt = np.empty(len(self.hash), np.int64), np.empty(len(self.hash), np.int64)
-        of[self.order], salt[self.order] = owner[group], salts[group]
-        mine = self.doc_ids[self.doc] if len(self.doc) else self.doc
-        kind = np.where(of < 0, 0, np.where(of == mine, 1, np.where(of < mine, 2, 0)))  # 1: reference, 2: to be looked for
+    def passages(self, chunk: int, bits: int, replies: pa.Table, shards: int) -> pa.Table:
+        owner, owned, salts = np.zeros(len(self.distinct), np.int64), np.zeros(len(self.distinct), bool), np.zeros(len(self.distinct), np.uint8)
+        cuts = bucket_cuts(self.distinct, bits)
+        for bucket, at, owners, salt in zip(*(replies.column(c).to_pylist() for c in ("bucket", "at", "owners", "salts"))):
+            at = cuts[bucket] + unpacked(at).cumsum(dtype=np.int64)
+            owner[at], owned[at], salts[at] = unpacked(owners), True, unpacked(salt)
+        group = np.empty(len(self.order), np.int32)
+        group[self.order] = np.cumsum(self.fresh, dtype=np.int32) - 1
+        ids, valid = self.ids()
+        kind = np.where(owned[group], np.where(valid[self.doc] & (owner[group] == ids[self.doc]), 1, 2), 0).astype(np.int8)  # 1: reference, 2: to be looked for
         edge = np.ones(len(kind) + 1, bool)
-        edge[1:-1] = (np.diff(self.place) != 1) | (np.diff(self.doc) != 0) | (np.diff(kind) != 0) | (np.diff(of) != 0) | (np.diff(salt) != 0)
+        edge[1:-1] = (np.diff(self.place) != 1) | (np.diff(self.doc) != 0) | (np.diff(kind) != 0)
+        for x in (owner, salts):
+            x = x[group]
+            edge[1:-1] |= x[1:] != x[:-1]
         at = np.flatnonzero(edge) if len(kind) else np.zeros(1, np.int64)
-        rows: dict[str, list] = {"shard": [], "salt": [], "kind": [], "chunk": [], "row": [], "from": [], "passage": []}
-        which = mixed(of.astype(np.uint64)) % np.uint64(shards)
-        slices = iter(self.slices)
-        base, a, data, offsets, words = next(slices, (0, 0, None, None, []))
-        for lo, hi in zip(at[:-1].tolist(), at[1:].tolist()):
-            if not kind[lo]:
-                continue
-            while self.place[lo] >= base + len(words):
-                base, a, data, offsets, words = next(slices)
-            lo_word, hi_word, doc = int(self.place[lo]) - base, int(self.place[hi - 1]) - base + window, int(self.doc[lo])
-            passage = data[words.start[lo_word] : words.end[hi_word - 1]].tobytes()
-            parts = 1 << int(salt[lo])
-            part = int(mixed(np.array([chunk * 1_000_003 + doc], np.uint64))[0] % np.uint64(parts))
-            for s in range(parts) if kind[lo] == 1 else [part]:
-                for k, v in (("shard", int(which[lo])), ("salt", parts + s - 1), ("kind", int(kind[lo])), ("chunk", chunk), ("row", doc), ("from", lo_word - int(words.first[doc - a])), ("passage", passage)):
-                    rows[k].append(v)
-        return pa.table(rows, _PASSAGES)
-
-    def kept(self, spans: pa.Table, keep: list[str]) -> pa.Table:
-        by_row: dict[int, list] = {}
-        for row, lo, hi in zip(*(spans.column(c).to_pylist() for c in ("row", "from", "to"))):
-            by_row.setdefault(row, []).append((lo, hi))
-        n_words, n_removed, kept = [], [], []
-        for i, text in enumerate(self.texts.to_pylist()):
-            words, count = text.split(), None
+        lo = at[:-1][kind[at[:-1]] > 0]
+        hi = at[1:][kind[at[:-1]] > 0]
+        first, last, rows, kinds = self.place[lo], self.place[hi - 1] + self.window, self.doc[lo], kind[lo]
+        parts = np.int64(1) << salts[group[lo]].astype(np.int64)
+        shard = (mixed(owner[group[lo]].view(np.uint64)) % np.uint64(shards)).astype(np.int32)
+        part = (mixed(np.uint64(chunk * 1_000_003) + lo.astype(np.uint64)) % parts.astype(np.uint64)).astype(np.int64)
+        of_kind_1 = kinds == 1
+        texts, starts = [], np.zeros(len(lo), np.int64)
+        slices, base, done = text_slices(self.table, "text"), 0, 0
+        for a, _, data, offsets in slices:
+            if done == len(lo):
+                break
+            words = Words(data, offsets, SPACED, hashes=False)
+            upto = int(np.searchsorted(first, base + len(words)))
+            x, y = first[done:upto] - base, last[done:upto] - base
+            starts[done:upto] = x - words.first[rows[done:upto] - a]
+            raw = data.tobytes()
+            texts += [raw[i:j] for i, j in zip(words.start[x].tolist(), words.end[y - 1].tolist())]
+            base, done = base + len(words), upto
+        return pa.table([
+            pa.array(shard), pa.array(parts), pa.array(np.where(of_kind_1, -1, part)), pa.array(kinds.astype(np.int32)), pa.array(np.full(len(lo), chunk, np.int32)),
+            pa.array(rows), pa.array(starts), pa.array(texts, pa.binary()),
+        ], _PASSAGES)
+
+
+def kept(table: pa.Table, spans: pa.Table, keep: list[str]) -> pa.Table:
+    """A chunk's rows without the words of its spans."""
+    table, by_row = ordered(table), {}
+    for row, lo, hi in zip(*(spans.column(c).to_pylist() for c in ("row", "from", "to"))):
+        by_row.setdefault(row, []).append((lo, hi))
+    n_words, n_removed, out, at = [], [], [], 0
+    for chunk in table.column("text").cast(pa.large_binary()).chunks:
+        for text in chunk:
+            words = (text.as_py() or b"").split()
             count = len(words)
-            if i in by_row:
-                out, done = [], 0
-                for lo, hi in sorted(by_row[i]):
-                    out += words[done:lo]
+            if at in by_row:
+                stay, done = [], 0
+                for lo, hi in sorted(by_row[at]):
+                    stay += words[done:lo]
                     done = max(done, hi)
-                words = out + words[done:]
+                words = stay + words[done:]
             n_words.append(count)
             n_removed.append(count - len(words))
-            kept.append(b" ".join(words).decode())
-        return pa.table([*(self.table.column(c) for c in keep), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], [*keep, "n_words", "n_removed", "kept"])
+            out.append(b" ".join(words).decode())
+            at += 1
+    return pa.table([*(table.column(c) for c in keep), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(out, pa.string())], [*keep, "n_words", "n_removed", "kept"])
 
 
-_PASSAGES = pa.schema([("shard", pa.int32()), ("salt", pa.int32()), ("kind", pa.int32()), ("chunk", pa.int32()), ("row", pa.int32()), ("from", pa.int64()), ("passage", pa.binary())])
+_PASSAGES = pa.schema([("shard", pa.int32()), ("parts", pa.int64()), ("part", pa.int64()), ("kind", pa.int32()), ("chunk", pa.int32()), ("row", pa.int32()), ("from", pa.int64()), ("passage", pa.binary())])
 
 
 def answers(table: pa.Table) -> pa.Table:
-    """A bucket's answers: of each chunk's hashes, the places (as differences) that recur, their owners and salts."""
-    hashes, docs, many, size = [], [], [], []
+    """A bucket's answers: of each chunk's hashes, the places (as differences) that recur and have an owner, with the
+    owners and salts. Only rows with a doc_id own."""
+    hashes, docs, named, many, size = [], [], [], [], []
     for h, f, m, d in zip(*(table.column(c).to_pylist() for c in ("hashes", "first", "many", "doc_ids"))):
         hashes.append(unpacked(h))
-        docs.append(np.cumsum(unpacked(d))[unpacked(f)])
+        ids, at = np.cumsum(unpacked(d)), unpacked(f)
+        named.append(at < len(ids))
+        docs.append(np.append(ids, LAST)[at])
         many.append(unpacked(m))
         size.append(len(hashes[-1]))
-    hash_, doc, count = np.concatenate(hashes), np.concatenate(docs), np.concatenate(many).astype(np.int64)
+    hash_, doc, own, count = np.concatenate(hashes), np.concatenate(docs), np.concatenate(named), np.concatenate(many).astype(np.int64)
     order = np.argsort(hash_)
     sorted_ = hash_[order]
     fresh = np.ones(len(sorted_), bool)
@@ -219,13 +243,14 @@ def answers(table: pa.Table) -> pa.Table:
     start, group = np.flatnonzero(fresh), np.cumsum(fresh) - 1
     total = np.add.reduceat(count[order], start)
     least = np.minimum.reduceat(doc[order], start)
+    some = np.logical_or.reduceat(own[order], start) & (total > 1)
     salt = np.ceil(np.log2(np.maximum(total / SALT, 1))).astype(np.uint8)
-    owner, salts = np.empty(len(hash_), np.int64), np.empty(len(hash_), np.uint8)
-    owner[order], salts[order] = np.where(total > 1, least, -1)[group], salt[group]
+    owner, owned, salts = np.empty(len(hash_), np.int64), np.empty(len(hash_), bool), np.empty(len(hash_), np.uint8)
+    owner[order], owned[order], salts[order] = least[group], some[group], salt[group]
     ends = np.cumsum(size)
     rows: dict[str, list] = {"chunk": [], "bucket": [], "at": [], "owners": [], "salts": []}
     for chunk, bucket, lo, hi in zip(table.column("chunk").to_pylist(), table.column("bucket").to_pylist(), (ends - size).tolist(), ends.tolist()):
-        at = np.flatnonzero(owner[lo:hi] >= 0)
+        at = np.flatnonzero(owned[lo:hi])
         if len(at):
             for k, v in (("chunk", chunk), ("bucket", bucket), ("at", packed(np.diff(at, prepend=0).astype(np.uint32))), ("owners", packed(owner[lo:hi][at])), ("salts", packed(salts[lo:hi][at]))):
                 rows[k].append(v)
@@ -282,15 +307,17 @@ def deduplicated(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), window: i
 
     def cut(key, table, replies):
         released()
-        return Chunk(table, window).passages(key[0].as_py(), bits, replies, window, chunks) if len(table) else _PASSAGES.empty_table()
+        return Chunk(table, window).passages(key[0].as_py(), bits, replies, chunks) if len(table) else _PASSAGES.empty_table()
 
     def remove(table, spans):
         released()
-        return Chunk(table, window).kept(spans, keep)
+        return kept(table, spans, keep)
 
     requests = groups.applyInArrow(request, "bucket int, chunk int, hashes binary, first binary, many binary, doc_ids binary")
     replies = requests.groupBy("bucket").applyInArrow(answers, "chunk int, bucket int, at binary, owners binary, salts binary")
-    passages = groups.cogroup(replies.groupBy("chunk")).applyInArrow(cut, "shard int, salt int, kind int, chunk int, row int, from bigint, passage binary")
+    cuts = groups.cogroup(replies.groupBy("chunk")).applyInArrow(cut, "shard int, parts bigint, part bigint, kind int, chunk int, row int, from bigint, passage binary")
+    # a reference goes to all parts of its shard, copied by the JVM one at a time
+    passages = cuts.withColumn("salt", F.explode(F.expr("case when kind = 1 then sequence(0L, parts - 1) else array(part) end"))).withColumn("salt", F.expr("parts + salt - 1")).drop("parts", "part")
     spans = passages.groupBy("shard", "salt").applyInArrow(lambda t: matches(t, window), "chunk int, row int, from bigint, to bigint")
     schema = docs.select(*keep, F.lit(0).cast("bigint").alias("n_words"), F.lit(0).cast("bigint").alias("n_removed"), F.lit("").alias("kept")).schema
     return groups.cogroup(spans.groupBy("chunk")).applyInArrow(remove, schema)

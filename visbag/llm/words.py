@@ -17,7 +17,7 @@ import pyarrow as pa
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE, _RUN = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+_BASE, _RUN, KEPT_POWERS = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 1 << 21
 
 
 def _inverse(odd: int) -> int:
@@ -38,6 +38,8 @@ class _Powers:
         self.base, self.up, self.down = base, _powers(base, 1 << 12), _powers(_inverse(base), 1 << 12)
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > KEPT_POWERS:  # one very long text: not kept for the next
+            return _powers(self.base, n), _powers(_inverse(self.base), n)
         if n > len(self.up):
             n = 1 << (n - 1).bit_length()
             self.up, self.down = _powers(self.base, n), _powers(_inverse(self.base), n)
@@ -128,7 +130,7 @@ def run_hashes(words: np.ndarray, k: int) -> np.ndarray:
         return mixed((total[k:] - total[:-k]) * down[: n - k + 1] + np.uint64(k))
 
 
-def text_slices(batch: pa.RecordBatch | pa.Table, column: str, max_bytes: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_slices(batch: pa.RecordBatch | pa.Table, column: str, max_bytes: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(from row, to row, bytes, offsets) of consecutive rows, ``max_bytes`` together or one long row; nulls are empty."""
     text = batch.column(column)
     for chunk, base in _chunks(text):
