@@ -1,8 +1,10 @@
 """License scan: canonical digests of entire texts, hash-joined to the digests of known licence texts.
 
-The canonical form: lower case; lines that state a copyright dropped; equivalent spellings made one; everything but
-letters and digits read as one space; trimmed. Its SHA-256 is the digest. Digests of whole documents are joined to
-a table of known licences (a broadcast of a fixed list, built by the same SQL); besides, each line is looked up
+The canonical form: lower case; statements of copyright dropped (lines that begin with the word or sign and name a
+year or carry the sign, and lines of "all rights reserved" alone); everything but letters and digits read as a space;
+equivalent spellings made one. Its SHA-256 is the digest. A second digest keeps the statements of copyright: texts
+with their own (the GPL family) are found by it however their lines are wrapped. Digests of whole documents are joined
+to a table of known licences (a broadcast of a fixed list, built by the same SQL); besides, each line is looked up
 among the digests of one-line licence notices, a constant map, without a join.
 
 Only DataFrame and SQL functions; no shuffle. Null text: null digest and no licence; an empty text has the digest
@@ -37,21 +39,22 @@ SPELLINGS = {
 }
 
 
-def canonical_sql(text: str) -> str:
-    """SQL of the canonical form; Spark reads it with its doubled backslashes, DuckDB with ``duckdb_sql``."""
+def canonical_sql(text: str, statements: bool = False) -> str:
+    """Spark SQL of the canonical form; with ``statements``, those of copyright stay."""
     x = f"lower({text})"
-    x = f"regexp_replace({x}, '(?m)^[^a-z0-9\\n]*(copyright|\\\\(c\\\\)|©)[^\\n]*$', ' ')"
-    x = f"regexp_replace({x}, '[\\\\s!-/:-@\\\\[-`{{-~©«»“”‘’–—…]+', ' ')"
-    x = f"concat(' ', trim({x}), ' ')"
+    if not statements:
+        x = f"regexp_replace({x}, '(?m)^[^a-z0-9\\n]*(?:(?:copyright|\\\\(c\\\\)|©)[^\\n]*(?:\\\\(c\\\\)|©|<year>|[12][0-9]{{3}}|yyyy)[^\\n]*|all rights reserved[^a-z0-9\\n]*)$', ' ')"
+    x = f"regexp_replace({x}, '[\\\\s!-/:-@\\\\[-`{{-~©«»“”‘’–—…]+', '  ')"  # two, so that each word has its own
+    x = f"concat('  ', {x}, '  ')"
     for one, other in SPELLINGS.items():
-        x = f"replace({x}, ' {one} ', ' {other} ')"
-    return f"trim({x})"
+        x = f"replace({x}, ' {one.replace(' ', '  ')} ', ' {other} ')"
+    return f"replace(trim({x}), '  ', ' ')"
 
 
 def known(spark: SparkSession) -> DataFrame:
-    """license_id and digest of each known text."""
+    """license_id, digest and digest_with_statements of each known text."""
     rows = spark.createDataFrame(list(TEXTS.items()), "license_id string, text string")
-    return rows.select("license_id", F.sha2(F.expr(canonical_sql("text")), 256).alias("digest"))
+    return rows.select("license_id", F.sha2(F.expr(canonical_sql("text")), 256).alias("digest"), F.sha2(F.expr(canonical_sql("text", True)), 256).alias("digest_with_statements"))
 
 
 def scanned(docs: DataFrame) -> DataFrame:
@@ -65,7 +68,10 @@ def scanned(docs: DataFrame) -> DataFrame:
     rows = docs.select(
         "doc_id",
         F.sha2(F.expr(canonical_sql("text")), 256).alias("digest"),
+        F.when(F.expr("lower(text) like '%copyright%'"), F.sha2(F.expr(canonical_sql("text", True)), 256)).alias("digest_with_statements"),
         F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("bigint").alias("n_lines"),
         F.coalesce(F.concat_ws(",", F.array_sort(F.array_distinct(found))), F.lit("")).alias("line_licenses"),
     )
-    return rows.join(F.broadcast(table), "digest", "left").select("doc_id", "digest", "license_id", "n_lines", "line_licenses")
+    rows = rows.join(F.broadcast(table.select("digest", F.col("license_id").alias("first"))), "digest", "left")
+    rows = rows.join(F.broadcast(table.select("digest_with_statements", F.col("license_id").alias("second"))), "digest_with_statements", "left")
+    return rows.select("doc_id", "digest", F.coalesce("first", "second").alias("license_id"), "n_lines", "line_licenses")

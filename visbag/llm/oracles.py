@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import string
 
-from .licenses import TEXTS, canonical_sql
+from .licenses import SPELLINGS, TEXTS
 from .sharding import ROUNDS, SEED, bucket_sql, mix_sql
 
 LOWER = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
@@ -40,17 +40,34 @@ kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t FRO
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
 
 
-def _replaced(sql: str) -> str:
-    """Spark's regular expressions as DuckDB reads them: all matches, single backslashes."""
-    return sql.replace("\\\\", "\\").replace("\\n", "\n").replace(", ' ')", ", ' ', 'g')", 2)
+def _words(text: str, statements: bool) -> str:
+    """The canonical words of a text, as a list, by list functions: each word by itself, pairs by position."""
+    lines = f"string_split(lower({text}), chr(10))"
+    if not statements:
+        lines = f"list_filter({lines}, lambda x: NOT regexp_matches(x, '^[^a-z0-9]*((copyright|[(]c[)]|©).*([(]c[)]|©|<year>|[12][0-9][0-9][0-9]|yyyy)|all rights reserved[^a-z0-9]*$)'))"
+    return f"list_filter(string_split_regex(array_to_string({lines}, chr(10)), '[\\x09-\\x0D !-/:-@\\[-`{{-~©«»“”‘’–—…]+'), lambda x: x <> '')"
 
 
-_known = " UNION ALL ".join("SELECT '{}' AS license_id, '{}' AS text".format(k, v.replace("'", "''")) for k, v in TEXTS.items())
-LICENSE = f"""WITH k AS (SELECT license_id, sha256({_replaced(canonical_sql('text'))}) AS digest FROM ({_known})),
-l AS (SELECT doc_id, unnest(string_split(text, '\n')) AS text FROM documents),
-found AS (SELECT doc_id, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS ids FROM (SELECT doc_id, sha256({_replaced(canonical_sql('text'))}) AS digest FROM l WHERE regexp_matches(lower(text), 'licen|permission|warrant')) JOIN k USING (digest) GROUP BY doc_id),
-d AS (SELECT doc_id, sha256({_replaced(canonical_sql('text'))}) AS digest, coalesce(len(string_split(text, '\n')), 0)::BIGINT AS n_lines FROM documents)
-SELECT doc_id, digest, license_id, n_lines, coalesce(ids, '') AS line_licenses FROM d LEFT JOIN k USING (digest) LEFT JOIN found USING (doc_id)"""
+_one = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in SPELLINGS.items() if " " not in k) + "}"
+_two = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in SPELLINGS.items() if " " in k) + "}"
+
+
+def _digest(source: str, columns: str, text: str, statements: bool) -> str:
+    """``columns`` of ``source`` and the digest of ``text``; null for null."""
+    spelt = f"SELECT {columns}, {text} AS t, list_transform({_words(text, statements)}, lambda x: coalesce({_one}[x], x)) AS w FROM {source}"
+    paired = f"SELECT {columns}, t, w, [{_two}[w[i] || ' ' || w[i + 1]] for i in range(1, len(w) + 1)] AS p FROM ({spelt})"
+    return f"SELECT {columns}, CASE WHEN t IS NOT NULL THEN sha256(array_to_string([coalesce(p[i], w[i]) for i in range(1, len(w) + 1) if i = 1 OR p[i - 1] IS NULL], ' ')) END AS digest FROM ({paired})"
+
+
+_known = "(" + " UNION ALL ".join("SELECT '{}' AS license_id, '{}' AS text".format(k, v.replace("'", "''")) for k, v in TEXTS.items()) + ")"
+LICENSE = f"""WITH k AS ({_digest(_known, 'license_id', 'text', False)}), k2 AS ({_digest(_known, 'license_id', 'text', True)}),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text FROM documents),
+ld AS ({_digest("(SELECT * FROM l WHERE regexp_matches(lower(text), 'licen|permission|warrant'))", 'doc_id', 'text', False)}),
+found AS (SELECT doc_id, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS ids FROM ld JOIN k USING (digest) GROUP BY doc_id),
+d AS ({_digest("documents", "doc_id, coalesce(len(string_split(text, chr(10))), 0)::BIGINT AS n_lines", "text", False).replace("SELECT doc_id, coalesce(len(string_split(text, chr(10))), 0)::BIGINT AS n_lines, CASE", "SELECT doc_id, n_lines, CASE").replace("SELECT doc_id, coalesce(len(string_split(text, chr(10))), 0)::BIGINT AS n_lines, t, w", "SELECT doc_id, n_lines, t, w")}),
+d2 AS ({_digest("documents", 'doc_id', 'text', True)})
+SELECT d.doc_id, d.digest, coalesce(k.license_id, k2.license_id) AS license_id, n_lines, coalesce(ids, '') AS line_licenses
+FROM d LEFT JOIN d2 ON d2.doc_id = d.doc_id LEFT JOIN k ON k.digest = d.digest LEFT JOIN k2 ON k2.digest = d2.digest LEFT JOIN found ON found.doc_id = d.doc_id"""
 
 
 _rounds = "SELECT *, x // b AS l0, x % b AS r0 FROM {0}"
