@@ -4,7 +4,9 @@ A text of at most CHUNK characters is pre-tokenised where it lies. A longer one
 OVERLAP characters, each pre-tokenised by any task; a text's chunks meet again, only as boundary positions, and are
 stitched: matching never looks left of where it starts, so once a boundary of the next chunk coincides with a true
 boundary, all later ones are true, but for those the chunk's end may have cut. Where no boundaries coincide within
-the overlap, the gap is matched again from the last true boundary.
+the overlap, the gap is matched again from the last true boundary. A long text is known by its SHA-256 and length, not
+by its place, so a task that runs again, over rows in any order, finds the same chunks; copies are encoded once, and
+the result goes back to each row by that key.
 
 Pieces (pre-tokens) are encoded separately and remembered up to a fixed number. Decoding joins raw bytes.
 Null and empty texts have no ids; repeated rows are encoded each; other columns are ignored.
@@ -125,26 +127,25 @@ def encoded(docs: DataFrame, path: str, pattern: str, digests: bool = True) -> D
         for batch in batches:
             for row, at, chunk in zip(*(batch.column(c).to_pylist() for c in ("row", "at", "chunk"))):
                 seen = [at + x for x in known.ends(chunk)]
-                yield pa.RecordBatch.from_pydict({"row": [row], "at": [at], "seen": [seen]}, pa.schema([("row", pa.int64()), ("at", pa.int64()), ("seen", pa.list_(pa.int64()))]))
+                yield pa.RecordBatch.from_pydict({"row": [row], "at": [at], "seen": [seen]}, pa.schema([("row", pa.string()), ("at", pa.int64()), ("seen", pa.list_(pa.int64()))]))
 
     def chunks(batches):
         for batch in batches:
             for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist()):
                 for at, chunk in cut(text):
-                    yield pa.RecordBatch.from_pydict({"row": [row], "at": [at], "chunk": [chunk]}, pa.schema([("row", pa.int64()), ("at", pa.int64()), ("chunk", pa.string())]))
+                    yield pa.RecordBatch.from_pydict({"row": [row], "at": [at], "chunk": [chunk]}, pa.schema([("row", pa.string()), ("at", pa.int64()), ("chunk", pa.string())]))
 
-    def joined(table: pa.Table, seen: pa.Table) -> pa.Table:
+    def joined(key, table: pa.Table, seen: pa.Table) -> pa.Table:
         known = pieces_of(path, pattern)
-        out = []
-        parts = list(zip(seen.column("at").to_pylist(), seen.column("seen").to_pylist()))
-        for text in table.column("text").to_pylist():
-            ends = stitched(text, parts, known.ends)
-            out.append(known.encoded([text[a:b] for a, b in zip([0, *ends], ends)]))
-        return pa.Table.from_batches([_result(table.column("doc_id").combine_chunks(), out, not digests).rename_columns(names)])
+        text = table.column("text")[0].as_py()
+        ends = stitched(text, list(zip(seen.column("at").to_pylist(), seen.column("seen").to_pylist())), known.ends)
+        found = known.encoded([text[a:b] for a, b in zip([0, *ends], ends)])
+        return pa.Table.from_batches([_result(pa.array([key[0].as_py()]), [found], not digests).rename_columns(["row", *names[1:]])])
 
     small = F.coalesce(F.length("text"), F.lit(0)) <= CHUNK
-    long = docs.where(~small).withColumn("row", F.monotonically_increasing_id())
+    long = docs.where(~small).withColumn("row", F.concat_ws(":", F.sha2("text", 256), F.length("text")))
+    texts = long.select("row", "text").dropDuplicates(["row"])
     tasks = tasks_for(spark, 0, 1)
-    seen = long.mapInArrow(chunks, "row bigint, at bigint, chunk string").repartition(tasks, "row", "at").mapInArrow(boundaries, "row bigint, at bigint, seen array<bigint>")
-    stitch = long.groupBy("row").cogroup(seen.groupBy("row")).applyInArrow(joined, schema)
-    return docs.where(small).mapInArrow(whole, schema).unionByName(stitch)
+    seen = texts.mapInArrow(chunks, "row string, at bigint, chunk string").repartition(tasks, "row", "at").mapInArrow(boundaries, "row string, at bigint, seen array<bigint>")
+    stitch = texts.groupBy("row").cogroup(seen.groupBy("row")).applyInArrow(joined, schema.replace("doc_id bigint", "row string"))
+    return docs.where(small).mapInArrow(whole, schema).unionByName(long.select("doc_id", "row").join(stitch, "row").select(*names))
