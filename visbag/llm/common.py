@@ -33,9 +33,12 @@ def columns(df: DataFrame, **types: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where none is named (local tests), a temporary one."""
+    """The folder that the cluster shares, as the session names it. Only a local session, whose tasks all run on this
+    machine, may have none; it takes a temporary one."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
