@@ -67,7 +67,7 @@ def op9_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = media.copies(media.rendered(table(spark, sf_dir, "embeddings")))
-    return found.select(F.col("image_id").alias("vec_id"), "class_id", "n_links", F.expr("transform(links, x -> x.query_class)").alias("query_classes"))
+    return found.withColumnRenamed("image_id", "vec_id")
 
 
 QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_decontamination, op3_jaccard_join, op4_byte_bpe, op5_lm_score, op6_substring_dedup, op7_quality, op8_license_scan, op9_feistel_shards, op10_image_copies)}
