@@ -1,19 +1,25 @@
 """HTML extraction by site template removal: element subtrees are hashed, counted per host, and deleted where they
-recur across many pages of the host; what else is not the article goes by its element or role.
+recur across many pages of the host; what else is not the article goes by its element, role or class.
 
 1. Pages are dealt into chunks by a hash. A chunk parses its pages and sends, packed by bucket, the distinct keys of
-   (host, subtree), each with its number of pages and a 64-bit set of hashes of the pages' texts; and (host, no
-   subtree) for the host's pages. A bucket adds up and answers each chunk in its order. One host may have any share
-   of the pages: keys, not hosts, are dealt out, and each chunk sends a key once.
-2. A chunk parses its pages again and deletes the subtrees on at least MANY pages, with at least MANY different texts
-   and over SHARE of the host's pages (copies of one page are no template). Deleted too: scripts, styles, forms,
-   menus, asides, footers, headers outside the article, and elements whose class, id or role says notice, advert,
-   comments and the like. Of what stays, the article elements count if there are any, else main, else the body.
+   (host, subtree), each with the SKETCH least hashes of the texts of its pages; and (host, no subtree) with those of
+   the host. A bucket puts them together, counts the different texts (exactly below SKETCH, else by the least hashes)
+   and answers each chunk in its order. One host may have any share of the pages: keys, not hosts, are dealt out, and
+   each chunk sends a key once.
+2. A chunk parses its pages again and deletes the subtrees that occur with enough different texts: MANY, or half the
+   root of the host's number if that is more, so the share falls with the size of the host and copies of one page are
+   no template. Inside an article only containers go (a paragraph or heading that recurs is quoted text), and never
+   what holds the page's longest article, or its main element.
+3. What the counts leave goes by rules: scripts, styles, forms, menus, asides, footers, headers outside the article,
+   hidden elements, and elements one of whose classes, or whose id, consists of words of SAYS and NEUTRAL ("comments",
+   "ad-box", but not "with-sidebar" or "related-work"), or whose role is in ROLES. Of what stays, the outermost article
+   elements count if there are any, else main, else the body.
 
 Blocks are texts between starts and ends of block elements. Character references are decoded, white space inside a
 block becomes one space, blocks are trimmed, empty ones dropped, and joined by a blank line. ``<br>`` is white space.
-Null or empty html gives an empty text; a null url is a host of its own; unclosed and stray tags are tolerated;
-repeated rows are handled each; other columns are ignored.
+Null or empty html gives an empty text; a null url is a host of its own; unclosed and stray tags, and any depth of
+nesting, are tolerated in linear time; an unclosed title, textarea or iframe ends where it starts. Repeated rows are
+handled each (rows equal in all columns meet in one chunk); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,158 +34,211 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, packed, prepared, unpacked
+from .common import columns, packed, prepared, released, tasks_for, unpacked
 
-MANY, SHARE, CHUNK_BYTES, BUCKET_KEYS = 8, 0.5, 6 << 20, 500_000
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
-ROLE = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+MANY, SKETCH, CHUNK_BYTES, BUCKET_KEYS = 3, 16, 6 << 20, 500_000
+_SKIP = r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?"""
+TAG = re.compile(_SKIP + r"""|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?|["'])*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
+LOOSE = re.compile(_SKIP + r"""|<(/?)([a-zA-Z][^\s/>]*+)()>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
+NAMED = re.compile(r"""(?:^|\s)(class|id|role|style|hidden)(?=[\s=/]|$)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+HIDDEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math noframes".split())
+RAW = frozenset("script style textarea title iframe noframes".split())  # what they hold is not markup
+ENDLESS = frozenset("script style".split())  # unclosed, they take the rest of the page
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "option": {"option"}}
 HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "option": {"select"}}
-APART = frozenset("nav aside footer form button select dialog object audio video canvas menu search fieldset input label datalist head".split())
-SAYS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|banner|breadcrumbs?|comments?|respons\w*|replies|disqus|cookies?|consent|gdpr|dialog|footer|login|menu|modal|nav\w*|newsletter|notices?|notification|pagination|pager|popup|promo\w*|related|recommend\w*|share|sharing|sidebar|signup|skip\w*|social|sponsor\w*|subscribe|subscription|toolbar|widget|complementary|contentinfo|alert|search)(?:$|[\s_-])", re.I)
+GONE = frozenset("script style title template noscript svg math noframes".split())  # nothing of them is shown
+APART = frozenset("nav aside footer form button select dialog object audio video canvas menu search fieldset input label datalist head textarea iframe".split())
+CONTAINERS = frozenset("div section aside nav header footer form ul ol dl menu table figure details dialog fieldset search".split())
+TOP = frozenset(["", "html", "body"])
+ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+# Words of class names and ids that tell what is not the article, and words that may stand beside them.
+SAYS = frozenset("ad ads adbox adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promotion promotions recommendations recommended related reply replies response responses search share sharing sidebar signin signup skip skiplink social sponsor sponsored subscribe subscription toolbar widget widgets".split())
+NEUTRAL = frozenset("area articles bar block body bottom box button buttons c container content control controls cover css entry form global group header icons inner item items js l left link links list main menu module news of outer overlay page panel posts primary reader right secondary section site slot static sticky stories story the thread title to top unit user wrap wrapper".split())
 
 
-class Node:
-    __slots__ = ("tag", "role", "children", "inside", "digest", "key")
-
-    def __init__(self, tag: str, role: str, inside: bool):
-        self.tag, self.role, self.inside, self.children, self.digest, self.key = tag, role, inside, [], b"", 0
-
-
-def parsed(page: str) -> Node:
-    """A tree of elements and text; ends of elements that the rules of HTML imply are added."""
-    root = Node("", "", False)
-    stack, at, low = [root], 0, None
-    while m := TAG.search(page, at):
-        if m.start() > at:
-            stack[-1].children.append(page[at : m.start()])
-        at = m.end()
-        name = m[2] or m[5]
-        if not name:
-            continue
-        name, closing, attributes = name.lower(), m[1] or m[4], m[3] or m[6] or ""
-        if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == name:
-                    del stack[i:]
-                    break
-                if name not in BLOCK and stack[i].tag in BLOCK:
-                    break  # a stray inline end does not close blocks
-            continue
-        if name in BLOCK:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    del stack[i:]
-                    break
-                if stack[i].tag in BLOCK:
-                    break
-        if name in CLOSES:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in HOLDS[name]:
-                    break
-                if stack[i].tag in CLOSES[name]:
-                    del stack[i:]
-        top = stack[-1]
-        role = " ".join(a or b or c for a, b, c in ROLE.findall(attributes)) if attributes else ""
-        node = Node(name, role, top.inside or top.tag == "article")
-        top.children.append(node)
-        if name in RAW:
-            low = page.lower() if low is None else low
-            low = low if len(low) == len(page) else page
-            end = low.find(f"</{name}", at)
-            close = page.find(">", end) if end >= 0 else -1
-            at = close + 1 if close >= 0 else len(page)
-        elif name not in VOID and not attributes.endswith("/"):
-            stack.append(node)
-        elif name not in VOID and name in BLOCK:
-            stack.append(node)
-    if at < len(page):
-        root_text = page[at:]
-        stack[-1].children.append(root_text)
-    return root
-
-
-def unwanted(node: Node) -> bool:
-    if node.tag in RAW or node.tag in APART or node.tag == "header" and not node.inside:
-        return True
-    return bool(node.role) and node.tag not in ("html", "body", "article", "main") and bool(SAYS.search(node.role)) or node.tag == "article" and bool(SAYS.search(node.role))
-
-
-def hashed(node: Node, host: bytes, keys: list[int]) -> bytes:
-    """Digests of the subtree, bottom up, and the keys of (host, subtree) of all its elements that hold text."""
-    h, text = blake2b(node.tag.encode(), digest_size=8), False
-    for child in node.children:
-        if isinstance(child, str):
-            words = " ".join(child.split())
-            text = text or bool(words)
-            h.update(b"\0" + words.encode("utf-8", "replace"))
-        elif not (child.tag in RAW):
-            digest = hashed(child, host, keys)
-            text = text or bool(digest)
-            h.update(b"\1" + digest)
-    node.digest = h.digest() if text else b""
-    if text and node.tag not in ("", "html", "body", "article", "main"):
-        node.key = int.from_bytes(blake2b(node.digest, key=host, digest_size=8).digest(), "little")
-        keys.append(node.key)
-    return node.digest
-
-
-def pruned(node: Node, gone: set[int]) -> None:
-    kept = []
-    for child in node.children:
-        if isinstance(child, str):
-            kept.append(child)
-        elif not unwanted(child) and child.key not in gone:
-            pruned(child, gone)
-            kept.append(child)
-        else:
-            kept.append(" " if child.tag not in BLOCK else Node("p", "", False))
-    node.children = kept
-
-
-def content(root: Node) -> list[Node]:
-    """The outermost article elements, else main elements, else everything."""
-    for tag in ("article", "main"):
-        found, stack = [], [root]
-        while stack:
-            node = stack.pop()
-            if node.tag == tag:
-                found.append(node)
-            else:
-                stack += [c for c in reversed(node.children) if not isinstance(c, str)]
-        if found:
-            return found
-    return [root]
-
-
-def blocks(nodes: list[Node]) -> list[str]:
-    out, part = [], []
+def named(names: str) -> bool:
+    """Whether one of the names consists of words of SAYS and NEUTRAL, one of SAYS at least."""
+    for name in names.lower().split():
+        words = [w for w in re.split(r"[-_]+", name) if w and not w.isdigit()]
+        if any(w in SAYS for w in words) and all(w in SAYS or w in NEUTRAL for w in words):
+            return True
+    return False
 
-    def flush():
-        text = " ".join(html.unescape("".join(part)).split())
-        part.clear()
-        if text:
-            out.append(text)
 
-    stack: list = list(reversed(nodes))
-    while stack:
-        node = stack.pop()
-        if node is None:
+class Node:
+    __slots__ = ("tag", "said", "gone", "inside", "open", "close", "size", "key")
+
+    def __init__(self, tag: str, inside: bool, at: int):
+        self.tag, self.inside, self.open, self.close, self.said, self.gone, self.size, self.key = tag, inside, at, at, False, tag in GONE, 0, 0
+
+
+class Page:
+    """Elements in the order of their starts, and ``flow``: texts, i where element i starts, ~i where it ends."""
+
+    def __init__(self, page: str):
+        root = Node("", False, 0)
+        self.nodes, self.flow = [root], [0]
+        stack, opened, tag, at, low = [0], {}, TAG, 0, None
+        last, nodes, flow = page.rfind(">") + 1, self.nodes, self.flow
+
+        def close(i: int) -> None:
+            for k in reversed(stack[i:]):
+                nodes[k].close = len(flow)
+                flow.append(~k)
+                opened[nodes[k].tag] -= 1
+            del stack[i:]
+
+        opened[""] = 1
+        while m := tag.search(page, at, last):
+            if m.start() > at:
+                flow.append(page[at : m.start()])
+            at = m.end()
+            name = m[2] or m[5]
+            if not name:
+                continue
+            if m[5] and tag is TAG:
+                tag = LOOSE  # a quotation mark that nothing closes: from here on, tags end at the next ">"
+            name, closing, attributes = name.lower(), m[1] or m[4], m[3] or m[6] or ""
+            if closing:
+                if opened.get(name):
+                    for i in range(len(stack) - 1, 0, -1):
+                        other = nodes[stack[i]].tag
+                        if other == name:
+                            close(i)
+                            break
+                        if name not in BLOCK and other in BLOCK:
+                            break  # a stray inline end does not close blocks
+                continue
+            if name in BLOCK and opened.get("p"):
+                for i in range(len(stack) - 1, 0, -1):
+                    if nodes[stack[i]].tag == "p":
+                        close(i)
+                        break
+                    if nodes[stack[i]].tag in BLOCK:
+                        break
+            if name in CLOSES and any(opened.get(x) for x in CLOSES[name]):
+                for i in range(len(stack) - 1, 0, -1):
+                    if nodes[stack[i]].tag in HOLDS[name]:
+                        break
+                    if nodes[stack[i]].tag in CLOSES[name]:
+                        close(i)
+                        break
+            top = nodes[stack[-1]]
+            node = Node(name, top.inside or top.tag in ("article", "main"), len(flow))
+            if attributes:
+                for key, a, b, c in NAMED.findall(attributes):
+                    key, value = key.lower(), a or b or c
+                    if key in ("class", "id"):
+                        node.said |= named(value)
+                    elif key == "role":
+                        node.said |= value.lower().strip() in ROLES
+                    elif key == "hidden" or HIDDEN.search(value):
+                        node.gone = True
+            flow.append(len(nodes))
+            stack.append(len(nodes))
+            nodes.append(node)
+            opened[name] = opened.get(name, 0) + 1
+            if name in RAW:
+                if low is None:
+                    low = page.lower()
+                    low = low if len(low) == len(page) else page
+                end = low.find(f"</{name}", at)
+                shut = page.find(">", end) if end >= 0 else -1
+                at = shut + 1 if shut >= 0 else len(page) if name in ENDLESS else at
+                close(len(stack) - 1)
+            elif name in VOID or attributes.endswith("/") and (name not in BLOCK or opened.get("svg") or opened.get("math")):
+                close(len(stack) - 1)
+        if at < len(page):
+            flow.append(page[at:])  # a tag that the page's end cuts is text
+        close(0)
+        self._measure()
+
+    def _measure(self) -> None:
+        """Letters of each element's own and inner texts; the longest article, else main, and what holds it."""
+        total, sizes, at = 0, [], 0
+        for x in self.flow:
+            if isinstance(x, str):
+                total += len(x)
+            elif x >= 0:
+                sizes.append(total)
+            else:
+                self.nodes[~x].size = total - sizes.pop()
+        kept = [n for n in self.nodes if n.tag == "article" and not n.said and not n.gone] or [n for n in self.nodes if n.tag == "main" and not n.gone]
+        at = max(kept, key=lambda n: n.size).open if kept else -1
+        self.holds = {n.open for n in self.nodes if n.open <= at <= n.close}
+
+    def unwanted(self, node: Node) -> bool:
+        if node.gone or node.tag in APART and not (node.tag in ("form", "fieldset") and node.open in self.holds):
+            return True
+        return node.tag == "header" and not node.inside and node.open not in self.holds or node.said and node.tag not in TOP and node.open not in self.holds
+
+    def hash(self, host: bytes) -> list[int]:
+        """Sets and returns the keys of (host, subtree) of the elements that counts may delete."""
+        open_, texts, keys = [], [], []
+        for x in self.flow:
+            if isinstance(x, str):
+                words = " ".join(x.split())
+                if words:
+                    open_[-1].update(b"\0" + words.encode("utf-8", "replace"))
+                    texts[-1] = True
+            elif x >= 0:
+                open_.append(blake2b(self.nodes[x].tag.encode(), digest_size=8))
+                texts.append(False)
+            else:
+                node, digest, text = self.nodes[~x], open_.pop().digest(), texts.pop()
+                if text and not node.gone:
+                    if open_:
+                        open_[-1].update(b"\1" + digest)
+                        texts[-1] = True
+                    if node.tag not in TOP and node.tag not in ("article", "main") and node.open not in self.holds and (not node.inside or node.tag in CONTAINERS):
+                        node.key = int.from_bytes(blake2b(digest, key=host, digest_size=8).digest(), "little")
+                        keys.append(node.key)
+        return keys
+
+    def blocks(self, gone=frozenset()) -> list[str]:
+        """Texts of the blocks of the content, without the elements whose key is in ``gone``."""
+        flow, nodes, skip, articles, mains, at = self.flow, self.nodes, {}, [], [], 0
+        upto = {"article": -1, "main": -1}
+        while at < len(flow):
+            x = flow[at]
+            if not isinstance(x, str) and x >= 0:
+                node = nodes[x]
+                if x and (self.unwanted(node) or node.key and node.key in gone):
+                    skip[at] = node
+                    at = node.close
+                elif node.tag in upto and node.open > upto[node.tag]:
+                    (articles if node.tag == "article" else mains).append(node)
+                    upto[node.tag] = node.close
+            at += 1
+        out, part = [], []
+
+        def flush():
+            text = " ".join(html.unescape("".join(part)).split())
+            part.clear()
+            if text:
+                out.append(text)
+
+        for node in articles or mains or [nodes[0]]:
+            at = node.open
+            while at <= node.close:
+                x = flow[at]
+                if isinstance(x, str):
+                    part.append(x)
+                elif at in skip:
+                    if skip[at].tag in BLOCK:
+                        flush()
+                    elif skip[at].tag not in GONE:
+                        part.append(" ")
+                    at = skip[at].close
+                elif nodes[x if x >= 0 else ~x].tag in BLOCK:
+                    flush()
+                elif nodes[x if x >= 0 else ~x].tag == "br":
+                    part.append(" ")
+                at += 1
             flush()
-        elif isinstance(node, str):
-            part.append(node)
-        else:
-            if node.tag == "br":
-                part.append(" ")
-            if node.tag in BLOCK:
-                flush()
-                stack.append(None)
-            stack += reversed(node.children)
-    flush()
-    return out
+        return out
 
 
 def host_of(url: str | None) -> str:
@@ -191,70 +250,86 @@ def _salt(host: str) -> bytes:
     return blake2b(host.encode("utf-8", "replace"), digest_size=16).digest()
 
 
-def _page(page: str, host: bytes) -> tuple[Node, list[int], int]:
-    root, keys = parsed(page), []
-    whole = hashed(root, host, keys)
-    return root, keys, int.from_bytes(blake2b(host, digest_size=8).digest(), "little")
+def least(host_texts: float) -> float:
+    """With so many different texts a subtree is a template of a host with ``host_texts``."""
+    return max(MANY, math.sqrt(host_texts) / 2)
+
+
+def _page(page: str, host: bytes) -> tuple[Page, list[int], int]:
+    page = Page(page)
+    return page, page.hash(host), int.from_bytes(blake2b(host, digest_size=8).digest(), "little")
+
+
+def _smallest(keys: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs (key, hash of a text), sorted, the different ones, SKETCH least hashes of each key at most."""
+    order = np.lexsort((texts, keys))
+    keys, texts = keys[order], texts[order]
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = (keys[1:] != keys[:-1]) | (texts[1:] != texts[:-1])
+    keys, texts = keys[fresh], texts[fresh]
+    first = np.searchsorted(keys, keys)
+    stay = np.arange(len(keys)) - first < SKETCH
+    return keys[stay], texts[stay]
 
 
 def _requests(chunk: int, table: pa.Table, bits: int) -> pa.Table:
-    found: dict[int, list] = {}
+    keys, texts = [], []
     for url, page in zip(table.column("url").to_pylist(), table.column("html").to_pylist()):
-        root, keys, of_host = _page(page or "", _salt(host_of(url)))
-        text = "\n".join(blocks(content(root)))
-        bit = 1 << (blake2b(text.encode("utf-8", "replace"), digest_size=1).digest()[0] & 63)
-        for key in {*keys, of_host}:
-            entry = found.setdefault(key, [0, 0])
-            entry[0] += 1
-            entry[1] |= bit
-    keys = np.array(sorted(found), np.uint64)
-    count, seen = (np.array([found[k][i] for k in keys.tolist()], np.uint64) for i in (0, 1))
-    cuts = bucket_cuts(keys, bits)
+        tree, own, of_host = _page(page or "", _salt(host_of(url)))
+        text = int.from_bytes(blake2b("\n".join(tree.blocks()).encode("utf-8", "replace"), digest_size=8).digest(), "little")
+        own = {*own, of_host}
+        keys += own
+        texts += [text] * len(own)
+    keys, texts = _smallest(np.array(keys, np.uint64), np.array(texts, np.uint64))
+    distinct, many = np.unique(keys, return_counts=True)
+    cuts, ends = bucket_cuts(distinct, bits), np.concatenate([[0], np.cumsum(many)])
     used = [b for b in range(len(cuts) - 1) if cuts[b] < cuts[b + 1]]
     part = [slice(cuts[b], cuts[b + 1]) for b in used]
-    return pa.table([pa.array(used, pa.int32()), pa.array([chunk] * len(used), pa.int32()), *(pa.array([packed(x[p]) for p in part], pa.binary()) for x in (keys, count.astype(np.uint32), seen))], ["bucket", "chunk", "keys", "counts", "seen"])
+    released()
+    return pa.table([pa.array(used, pa.int32()), pa.array([chunk] * len(used), pa.int32()), pa.array([packed(distinct[p]) for p in part], pa.binary()), pa.array([packed(many[p].astype(np.uint8)) for p in part], pa.binary()), pa.array([packed(texts[ends[p.start] : ends[p.stop]]) for p in part], pa.binary())], ["bucket", "chunk", "keys", "many", "texts"])
 
 
 def bucket_cuts(keys: np.ndarray, bits: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), [len(keys)]])
 
 
-def _answers(table: pa.Table, many: int) -> pa.Table:
-    """Pages of each key that has ``many`` at least and as many texts; 0 for others."""
-    keys, counts, seen = ([unpacked(x) for x in table.column(c).to_pylist()] for c in ("keys", "counts", "seen"))
-    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-    order = np.argsort(at, kind="stable")
-    start = np.searchsorted(at[order], np.arange(len(distinct)))
-    total = np.add.reduceat(np.concatenate(counts)[order].astype(np.int64), start)
-    texts = np.bitwise_count(np.bitwise_or.reduceat(np.concatenate(seen)[order], start))
-    total[(total < many) | (texts < many)] = 0
-    ends = np.cumsum([len(k) for k in keys])
-    return pa.table([table.column("chunk"), table.column("bucket"), pa.array([packed(total[at[e - len(k) : e]]) for k, e in zip(keys, ends)], pa.binary())], ["chunk", "bucket", "counts"])
+def _answers(table: pa.Table) -> pa.Table:
+    """The number of different texts of each key, 0 where it is under MANY."""
+    asked = [unpacked(x) for x in table.column("keys").to_pylist()]
+    many = [unpacked(x) for x in table.column("many").to_pylist()]
+    keys, texts = _smallest(np.concatenate([np.repeat(k, n) for k, n in zip(asked, many)]), np.concatenate([unpacked(x) for x in table.column("texts").to_pylist()]))
+    distinct, start, count = np.unique(keys, return_index=True, return_counts=True)
+    last = texts[start + count - 1].astype(np.float64) / 2.0**64  # of SKETCH least hashes, the greatest tells how dense they lie
+    found = np.where(count < SKETCH, count, (SKETCH - 1) / np.maximum(last, 2.0**-64))
+    found[found < MANY] = 0
+    return pa.table([table.column("chunk"), table.column("bucket"), pa.array([packed(found[np.searchsorted(distinct, k)].astype(np.float32)) for k in asked], pa.binary())], ["chunk", "bucket", "counts"])
 
 
-def _texts(table: pa.Table, replies: pa.Table, bits: int, share: float) -> pa.Table:
-    pages = [(*_page(page or "", _salt(host_of(url))), url) for url, page in zip(table.column("url").to_pylist(), table.column("html").to_pylist())]
-    keys = np.array(sorted({k for _, own, of_host, _ in pages for k in (*own, of_host)}), np.uint64)
-    total, cuts = np.zeros(len(keys), np.int64), bucket_cuts(keys, bits)
+def _texts(table: pa.Table, replies: pa.Table, bits: int) -> pa.Table:
+    pages = [_page(page or "", _salt(host_of(url))) for url, page in zip(table.column("url").to_pylist(), table.column("html").to_pylist())]
+    keys = np.array(sorted({k for _, own, of_host in pages for k in (*own, of_host)}), np.uint64)
+    total, cuts = np.zeros(len(keys), np.float32), bucket_cuts(keys, bits)
     for bucket, reply in zip(replies.column("bucket").to_pylist(), replies.column("counts").to_pylist()):
         total[cuts[bucket] : cuts[bucket + 1]] = unpacked(reply)
     count = dict(zip(keys[total > 0].tolist(), total[total > 0].tolist()))
-    out = []
-    for root, own, of_host, _ in pages:
-        least = share * count.get(of_host, math.inf)
-        pruned(root, {k for k in own if count.get(k, 0) > least})
-        out.append("\n\n".join(blocks(content(root))))
-    return pa.table([table.column("page_id"), table.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
-
-
-def extracted(pages: DataFrame, many: int = MANY, share: float = SHARE, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """page_id, url and text of every row of ``pages`` (page_id, url, html)."""
-    prepared(pages.sparkSession)
+    out, removed = [], []
+    for page, own, of_host in pages:
+        enough = least(count.get(of_host, 0))
+        gone = {k for k in own if count.get(k, 0) >= enough}
+        out.append("\n\n".join(page.blocks(gone)))
+        removed.append(sum(k in gone for k in own))
+    released()
+    return pa.table([table.column("page_id"), table.column("url"), pa.array(out, pa.string()), pa.array(removed, pa.int64())], ["page_id", "url", "text", "n_templates"])
+
+
+def extracted(pages: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """page_id, url, text and n_templates (subtrees of the page that counts deleted) of every row of ``pages`` (page_id, url, html)."""
+    spark = prepared(pages.sparkSession)
     pages = columns(pages, page_id="bigint", url="string", html="string")
     size = pages.agg(F.sum(F.octet_length("html")), F.count("*")).first()
-    chunks = max(1, math.ceil((size[0] or 0) / chunk_bytes), math.ceil(size[1] / 20_000))
-    bits = max(3, math.ceil(math.log2(max(1, size[1] * 40 / BUCKET_KEYS))))
+    chunks = max(tasks_for(spark, 0, 1), math.ceil((size[0] or 0) / chunk_bytes), math.ceil(size[1] / 20_000))
+    bits = max(3, math.ceil(math.log2(max(1, size[1] * 20 / BUCKET_KEYS))))
     dealt = pages.withColumn("chunk", F.pmod(F.xxhash64("page_id", "url", "html"), F.lit(chunks)).cast("int"))
-    requests = dealt.groupBy("chunk").applyInArrow(lambda key, t: _requests(key[0].as_py(), t, bits), "bucket int, chunk int, keys binary, counts binary, seen binary")
-    replies = requests.groupBy("bucket").applyInArrow(lambda t: _answers(t, many), "chunk int, bucket int, counts binary")
-    return dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(lambda t, r: _texts(t, r, bits, share), "page_id bigint, url string, text string")
+    requests = dealt.groupBy("chunk").applyInArrow(lambda key, t: _requests(key[0].as_py(), t, bits), "bucket int, chunk int, keys binary, many binary, texts binary")
+    replies = requests.groupBy("bucket").applyInArrow(_answers, "chunk int, bucket int, counts binary")
+    return dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(lambda t, r: _texts(t, r, bits), "page_id bigint, url string, text string, n_templates bigint")
