@@ -44,16 +44,16 @@ def contamination(docs, items) -> dict:
     return out
 
 
-def shingles(text: str | None) -> frozenset:
+def shingles(text: str | None, k: int = 3) -> frozenset:
     w = spaced(lower(text or ""))
-    return frozenset(tuple(w[i : i + 3]) for i in range(len(w) - 2)) if len(w) >= 3 else frozenset([tuple(w)] if w else [])
+    return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
 
 
-def components(docs) -> dict:
+def components(docs, k: int = 3, over: int = 90, under: int = 100) -> dict:
     """doc -> (set size, smallest doc reachable by links)."""
     distinct: dict[frozenset, list] = {}
     for d, t in docs:
-        distinct.setdefault(shingles(t), []).append(d)
+        distinct.setdefault(shingles(t, k), []).append(d)
     keys = [k for k in distinct if k]
     parent = list(range(len(keys)))
 
@@ -70,7 +70,7 @@ def components(docs) -> dict:
                 both[j] = both.get(j, 0) + 1
             index.setdefault(g, []).append(i)
         for j, n in both.items():
-            if 100 * n >= 90 * (len(k) + len(keys[j]) - n):
+            if under * n >= over * (len(k) + len(keys[j]) - n):
                 parent[root(i)] = root(j)
     least: dict = {}
     for i, k in enumerate(keys):

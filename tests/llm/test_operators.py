@@ -19,7 +19,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from visbag.llm import byte_bpe, components, decontaminate, fm_index, gru, html_extract, jaccard, language_model, licenses, media, quality, sharding, substring
+from visbag.llm import byte_bpe, components, decontaminate, fm_index, gru, html_extract, jaccard, language_model, licenses, quality, sharding, substring
 from visbag.llm.queries import ORACLES, QUERIES
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -118,7 +118,7 @@ def test_jaccard_smallest_sets(spark):
     got = by_id(jaccard.joined(frame(spark, rows)), "n_shingles", "component_id")
     assert got == {0: (10, 0), 1: (9, 0), 2: (9, 0), 10: (9, 10), 11: (8, 11), 12: (8, 12)} == brute.components(rows)
     kept = {r.doc_id for r in corpus_pipeline.without_near_copies(spark, frame(spark, rows), "").collect()}
-    assert kept == {0, 10, 11, 12}
+    assert kept == {c for _, c in brute.components(rows, 5, 4, 5).values()}
 
 
 def test_components(spark):
@@ -321,39 +321,6 @@ def test_html_extraction(spark):
     assert {r.text for r in html_extract.extracted(copies).collect()} == {"same"}
 
 
-def votes(a, b) -> int:
-    """Of two described images, all corners against all: the most corners of ``b`` that agree on a turn and a shift."""
-    (p, bits), (q, other) = a, b
-    i, j = np.nonzero(np.bitwise_count((bits[:, None, :] ^ other[None]).view(np.uint64)).sum(2) <= media.RADIUS)
-    turn = (q[j, 2] - p[i, 2]) % (2 * np.pi)
-    dx, dy = q[j, 0] - (np.cos(turn) * p[i, 0] - np.sin(turn) * p[i, 1]), q[j, 1] - (np.sin(turn) * p[i, 0] + np.cos(turn) * p[i, 1])
-    cells: dict = {}
-    for k in range(len(i)):
-        for t in (0, 0.5):
-            for u in (0, 0.5):
-                for v in (0, 0.5):
-                    cells.setdefault((t, u, v, int(turn[k] / media.TURN + t) % 12, math.floor(dx[k] / media.CELL + u), math.floor(dy[k] / media.CELL + v)), set()).add(int(j[k]))
-    return max(map(len, cells.values()), default=0)
-
-
-def test_image_copies(spark):
-    rng = np.random.default_rng(8)
-    sources = rng.standard_normal((6, 64))
-    rows = [(50 * s + k, (sources[s] + 0.02 * rng.standard_normal(64)).tolist()) for s in range(6) for k in range(8)]
-    rows += [(1000 + i, rng.standard_normal(64).tolist()) for i in range(40)]
-    vectors = spark.createDataFrame([*rows, (2000, None), (2001, [1.0]), (None, rows[0][1])], "vec_id bigint, embedding array<double>").withColumn("class", F.lit(0))
-    got = media.copies(media.rendered(vectors)).collect()
-    assert len(got) == len(rows) + 3
-    found = {(x.query_class, r.image_id) for r in got for x in r.links if r.image_id is not None}
-    query = {r.image_id: r.class_id for r in got}
-    truth = {(query[50 * s], 50 * s + k) for s in range(6) for k in range(8) if query[50 * s + k] != query[50 * s]}
-    assert len(found & truth) / len(truth) >= 0.9 and len(found - truth) <= 2
-    shown = {i: media.described(media.render(i, v)) for i, v in rows}
-    brute_force = {(query[50 * s], i) for s in range(6) for i in shown if query[i] != query[50 * s] and votes(shown[i], shown[50 * s]) >= media.INLIERS}
-    assert len(found & brute_force) / len(brute_force) >= 0.9
-    assert media.copies(media.rendered(vectors.limit(0))).count() == 0
-
-
 def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [(d, t) for d, t in docs.select("doc_id", "text").collect()]
@@ -364,7 +331,7 @@ def test_pipeline(spark, sf):
         assert out.columns == docs.columns
         got = sorted((r.doc_id, r.text) for r in out.collect())
         if k == 1:
-            want = brute.components(rows)
+            want = brute.components(rows, 5, 4, 5)
             assert got == sorted((d, t) for d, t in rows if want[d][1] == d)
         if k == 2:
             want = brute.removals(rows)

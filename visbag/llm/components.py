@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import materialised
 
-FOREST_EDGES = 200_000
+FOREST_EDGES, SALTS = 200_000, 8
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -60,6 +60,12 @@ def forest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield edges()
 
 
+def _salted(edges: DataFrame, node: str, other: str, found: DataFrame) -> DataFrame:
+    """``edges`` joined to ``found`` (a row for each ``node``); the edges of one node are dealt over SALTS tasks."""
+    found = found.withColumn("salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
+    return edges.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(SALTS))).join(found, [node, "salt"]).drop("salt")
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """node, root (the least node of its component) for every node of ``edges`` (a, b)."""
     edges = materialised(edges.select("a", "b").where("a <> b").mapInArrow(forest, "a bigint, b bigint"))
@@ -68,10 +74,10 @@ def connected(edges: DataFrame) -> DataFrame:
         # large star: a node's larger neighbours move to its least neighbour
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").where("b <> m").select(F.col("m").alias("a"), "b").distinct()
+        large = _salted(both.where("b > a"), "a", "b", least).where("b <> m").select(F.col("m").alias("a"), "b").distinct()
         # small star: a node and its smaller neighbours move to the least of them; edges are (smaller, larger)
         down = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(down, "b").selectExpr("m as a", "case when a = m then b else a end as b").where("a <> b").distinct()
+        small = _salted(large, "b", "a", down).selectExpr("m as a", "case when a = m then b else a end as b").where("a <> b").distinct()
         edges = materialised(small)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
