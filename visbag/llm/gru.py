@@ -13,7 +13,7 @@ import heapq
 
 import numpy as np
 
-HIDDEN, WIDTH, TAILS, WINDOW, STREAMS, STEP, RATE = 8, 16, 8, 24, 512, 6000, 0.05
+HIDDEN, WIDTH, TAILS, WINDOW, STREAMS, STEP, RATE, BLOCK = 32, 16, 8, 24, 512, 6000, 0.05, 1024
 
 
 class Model:
@@ -48,75 +48,109 @@ class Model:
 
     def step(self, x: np.ndarray, h: np.ndarray):
         a = self.inputs[x]
-        zr = 1 / (1 + np.exp(-(a[:, : 2 * HIDDEN] + h @ self.gates)))
+        zr = h @ self.gates
+        zr += a[:, : 2 * HIDDEN]
+        zr *= 0.5
+        np.tanh(zr, out=zr)  # the logistic function, by the tangent of the half
+        zr *= 0.5
+        zr += 0.5
         z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
         rh = r * h
-        new = np.tanh(a[:, 2 * HIDDEN :] + rh @ self.state)
-        return new + z * (h - new), (z, r, rh, new)
+        new = rh @ self.state
+        new += a[:, 2 * HIDDEN :]
+        np.tanh(new, out=new)
+        out = h - new
+        out *= z
+        out += new
+        return out, (z, r, rh, new)
+
+    def _softmax(self, rows: np.ndarray, w: np.ndarray, b: np.ndarray, chosen: np.ndarray, learn: tuple | None):
+        """Natural log probabilities of ``chosen``; with ``learn`` (gradients of w and b) also the gradient of ``rows``."""
+        e = rows @ w
+        most = np.abs(w).sum(0)  # the state is within -1 and 1
+        high, low = float((b + most).max()), float(b.max() - most.max())
+        if high - low < 80:
+            e += b - np.float32(high)  # the largest of a row is no smaller than exp(-80)
+        else:
+            e += b
+            e -= e.max(1, keepdims=True)
+        k = np.arange(len(rows))
+        log_p = e[k, chosen]
+        np.exp(e, out=e)
+        total = e @ np.ones(e.shape[1], np.float32)
+        log_p -= np.log(total)
+        if learn is None:
+            return log_p, None
+        e *= (1 / total)[:, None]
+        e[k, chosen] -= 1
+        learn[0][:] += rows.T @ e
+        learn[1][:] += e.sum(0)
+        return log_p, e @ w.T
 
     def _outputs(self, hs: np.ndarray, target: np.ndarray, learn: dict | None):
-        """Natural log probabilities of ``target``; with ``learn``, its gradients too, and those of ``hs``."""
-        logits = hs @ self.class_w + self.class_b
-        logits -= logits.max(1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(1)
+        """Natural log probabilities of ``target``; with ``learn``, its gradients too, and those of ``hs``. Rows are taken
+        in the order of their classes, in blocks that stay in the processor's cache."""
         class_ = np.where(target < 0, self.classes - 1 - target, target // self.width)
-        rows = np.arange(len(hs))
-        log_p = logits[rows, class_] - np.log(total)
-        if learn is not None:
-            d = e / total[:, None]
-            d[rows, class_] -= 1
-            learn["class_w"] += hs.T @ d
-            learn["class_b"] += d.sum(0)
-            dh = d @ self.class_w.T
         order = np.argsort(class_, kind="stable")
-        cuts = np.searchsorted(class_[order], np.arange(self.classes + 1))
-        for c in range(self.classes):
-            at = order[cuts[c] : cuts[c + 1]]
-            if not len(at):
-                continue
-            part, inside = hs[at], target[at] - c * self.width
-            logits = part @ self.word_w[c] + self.word_b[c]
-            logits -= logits.max(1, keepdims=True)
-            e = np.exp(logits)
-            total = e.sum(1)
-            k = np.arange(len(at))
-            log_p[at] += logits[k, inside] - np.log(total)
+        hs, class_, target = hs[order], class_[order], target[order]
+        log_p, dh = np.empty(len(hs), np.float32), np.empty_like(hs) if learn is not None else None
+        grads = (learn["class_w"], learn["class_b"]) if learn is not None else None
+        for a in range(0, len(hs), BLOCK):
+            part = slice(a, a + BLOCK)
+            log_p[part], d = self._softmax(hs[part], self.class_w, self.class_b, class_[part], grads)
             if learn is not None:
-                d = e / total[:, None]
-                d[k, inside] -= 1
-                learn["word_w"][c] += part.T @ d
-                learn["word_b"][c] += d.sum(0)
-                dh[at] += d @ self.word_w[c].T
-        return (log_p, dh) if learn is not None else (log_p, None)
-
-    def window(self, x: np.ndarray, target: np.ndarray, fresh: np.ndarray, h: np.ndarray, grads: dict | None):
-        """Runs the rows of ``x`` (steps x streams) from state ``h``: log probabilities, the last state, and gradients."""
-        hs, cache = [], []
-        for t in range(len(x)):
-            h = np.where(fresh[t][:, None], np.float32(0), h)
+                dh[part] = d
+        cuts = np.searchsorted(class_, np.arange(self.classes + 1)).tolist()
+        for c in range(self.classes):
+            for a in range(cuts[c], cuts[c + 1], BLOCK):
+                part = slice(a, min(a + BLOCK, cuts[c + 1]))
+                grads = (learn["word_w"][c], learn["word_b"][c]) if learn is not None else None
+                more, d = self._softmax(hs[part], self.word_w[c], self.word_b[c], target[part] - c * self.width, grads)
+                log_p[part] += more
+                if learn is not None:
+                    dh[part] += d
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return log_p[back], dh[back] if learn is not None else None
+
+    def window(self, x: np.ndarray, target: np.ndarray, fresh: np.ndarray, h: np.ndarray, grads: dict | None, valid: np.ndarray | None = None):
+        """Runs the rows of ``x`` (steps x streams) from state ``h``: log probabilities, the last state, and gradients.
+        Places that are not ``valid`` (streams that have ended) count for nothing."""
+        steps, streams = x.shape
+        there = slice(None) if valid is None or valid.all() else np.flatnonzero(valid)
+        hs, cache = np.empty((steps, streams, HIDDEN), np.float32), []
+        for t in range(steps):
+            if fresh[t].any():
+                h = np.where(fresh[t][:, None], np.float32(0), h)
             before = h
             h, kept = self.step(x[t], h)
-            hs.append(h)
+            hs[t] = h
             if grads is not None:
                 cache.append((before, *kept))
-        steps, streams = x.shape
-        log_p, dh = self._outputs(np.concatenate(hs), target.reshape(-1), grads)
+        log_p = np.zeros(steps * streams, np.float32)
+        log_p[there], d_out = self._outputs(hs.reshape(-1, HIDDEN)[there], target.reshape(-1)[there], grads)
         if grads is not None:
-            dh, later = dh.reshape(steps, streams, HIDDEN), np.zeros((streams, HIDDEN), np.float32)
+            dh, later = np.zeros((steps * streams, HIDDEN), np.float32), np.zeros((streams, HIDDEN), np.float32)
+            dh[there] = d_out
+            dh = dh.reshape(steps, streams, HIDDEN)
             d_in = np.empty((steps, streams, 3 * HIDDEN), np.float32)
             for t in reversed(range(steps)):
                 before, z, r, rh, new = cache[t]
-                d = dh[t] + later
-                d_new = d * (1 - z) * (1 - new * new)
+                later += dh[t]
+                d_new = later * (1 - z)
+                d_new *= 1 - new * new
                 d_rh = d_new @ self.state.T
-                d_z = d * (before - new) * z * (1 - z)
-                d_r = d_rh * before * r * (1 - r)
-                d_in[t, :, :HIDDEN], d_in[t, :, HIDDEN : 2 * HIDDEN], d_in[t, :, 2 * HIDDEN :] = d_z, d_r, d_new
-                grads["state"] += rh.T @ d_new
-                grads["gates"] += before.T @ d_in[t, :, : 2 * HIDDEN]
-                later = (d * z + d_rh * r + d_in[t, :, : 2 * HIDDEN] @ self.gates.T) * ~fresh[t][:, None]
+                d_in[t, :, :HIDDEN] = later * (before - new) * z * (1 - z)
+                d_in[t, :, HIDDEN : 2 * HIDDEN] = d_rh * before * r * (1 - r)
+                d_in[t, :, 2 * HIDDEN :] = d_new
+                later *= z
+                later += d_rh * r
+                later += d_in[t, :, : 2 * HIDDEN] @ self.gates.T
+                if fresh[t].any():
+                    later *= ~fresh[t][:, None]
             flat, rows = x.reshape(-1), d_in.reshape(-1, 3 * HIDDEN)
+            grads["state"] += np.concatenate([c[3] for c in cache]).T @ rows[:, 2 * HIDDEN :]
+            grads["gates"] += np.concatenate([c[0] for c in cache]).T @ rows[:, : 2 * HIDDEN]
             order = np.argsort(flat, kind="stable")
             start = np.flatnonzero(np.concatenate([[True], np.diff(flat[order]) != 0]))
             grads["inputs"][flat[order][start]] += np.add.reduceat(rows[order], start, axis=0)
@@ -131,9 +165,9 @@ class Model:
             n = int(np.prod(shape))
             grads[name] = flat[at : at + n].reshape(shape)
             at += n
-        for x, target, fresh, _, h in self._windows(symbols, tails, first):
-            _, h[0] = self.window(x, target, fresh, h[0], grads)
-            seen += x.size
+        for x, target, fresh, _, h, valid in self._windows(symbols, tails, first):
+            _, h[0] = self.window(x, target, fresh, h[0], grads, valid)
+            seen += int(valid.sum())
             if seen >= STEP:  # the last streams are few: their windows together make a step
                 self._apply(flat, seen, rate)
                 seen = 0
@@ -142,18 +176,24 @@ class Model:
         return len(symbols)
 
     def _apply(self, flat: np.ndarray, tokens: int, rate: float) -> None:
-        """A step along the gradient summed in ``flat``, which is cleared."""
-        flat /= tokens
-        self.used += flat * flat
-        self.flat -= rate * flat / np.sqrt(self.used)
-        flat[:] = 0
+        """A step along the gradient summed in ``flat``, which is cleared; in pieces that stay in the cache."""
+        for a in range(0, self.size, 65536):
+            g, used = flat[a : a + 65536], self.used[a : a + 65536]
+            if not g.any():
+                continue
+            g *= np.float32(1 / tokens)
+            used += g * g
+            g /= np.sqrt(used)
+            g *= np.float32(rate)
+            self.flat[a : a + 65536] -= g
+            g[:] = 0
 
     def log_probabilities(self, symbols: np.ndarray, tails: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Natural log of each token's probability (other words: of their group)."""
         out = np.zeros(len(symbols))
-        for x, target, fresh, at, h in self._windows(symbols, tails, first):
-            log_p, h[0] = self.window(x, target, fresh, h[0], None)
-            out[at] = log_p
+        for x, target, fresh, at, h, valid in self._windows(symbols, tails, first):
+            log_p, h[0] = self.window(x, target, fresh, h[0], None, valid)
+            out[at[valid]] = log_p[valid]
         return out
 
     def _windows(self, symbols: np.ndarray, tails: np.ndarray, first: np.ndarray):
@@ -179,8 +219,12 @@ class Model:
         h, at = [np.zeros((count, HIDDEN), np.float32)], 0
         while at < ends[0]:
             active = int(np.searchsorted(-ends, -at, "left"))
-            steps = int(min(WINDOW, ends[active - 1] - at))
-            where = np.stack([p[at : at + steps] for p in places[:active]], 1)
+            steps = int(min(WINDOW, ends[0] - at))
+            step = at + np.arange(steps)[:, None]
+            where, valid = np.zeros((steps, active), np.int64), step < ends[:active]
+            for k, p in enumerate(places[:active]):
+                own = p[at : at + steps]
+                where[: len(own), k] = own
             h[0] = h[0][:active]
-            yield before[where], symbols[where], new[where], where, h
+            yield before[where], symbols[where], new[where], where, h, valid
             at += steps

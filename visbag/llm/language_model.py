@@ -65,8 +65,8 @@ _ANSWERS = "kind string, chunk int, bucket int, counts binary, hash bigint, coun
 def sizes(train_bytes: int) -> tuple[int, int, int]:
     """Frequent words, groups of other words, and words of an output class, for so many bytes of training text."""
     known = max(KNOWN, math.isqrt(train_bytes // 8))
-    width = 1 << (math.isqrt(known + 1).bit_length() - 1)
-    return -(-(known + 1) // width) * width - 1, 2 * width, width
+    width = 1 << round(math.log2(1.6 * math.sqrt(known + 1)))  # a known word's class and its place in it cost alike
+    return -(-(known + 1) // width) * width - 1, max(8, width // 4), width
 
 
 def _answers(table: pa.Table, known: int, groups: int) -> pa.Table:
@@ -184,7 +184,7 @@ def scored(docs: DataFrame, known: int | None = None, warm: int = WARM, chunk_by
 
     learned = docs.where("not held_out")
     every = max(1, ends // warm)
-    first = learned.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0).select("text").coalesce(1)  # about ``warm`` documents
+    first = learned.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0).select("text").repartition(1)  # about ``warm`` documents
     flat = model.flat
     for rows, passes, rate in ((first, 2, FIRST_RATE), (learned.select("text"), 1, SECOND_RATE)):
         found = _parameters(rows.mapInArrow(_learner(vocabulary, width, flat, passes, rate), _PARTS), model.size)
