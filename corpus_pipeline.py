@@ -26,9 +26,9 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of the Jaccard join, the document with the smallest doc_id."""
+    """Of each component of the Jaccard join, the document with the smallest doc_id: shingles of five words, from 0.8."""
     docs = columns(docs, **TYPES)
-    stay = jaccard.joined(docs).select(F.col("component_id").alias("doc_id")).where("doc_id is not null").distinct()
+    stay = jaccard.joined(docs, jaccard.Join(words=5, over=4, under=5)).select(F.col("component_id").alias("doc_id")).where("doc_id is not null").distinct()
     return docs.where("doc_id is not null").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")).select(*TYPES)
 
 
