@@ -6,8 +6,9 @@ windows' vocabulary, and only runs long enough to hold a window of their words a
 be part of an occurrence), separated from each other. Backward search through wavelet-tree ranks finds each window's
 rows, sampled suffix positions locate them, and the occurrences of a document merge into removal spans.
 
-The benchmark goes to the tasks in blocks of at most BLOCK_BYTES of text; with more than one, the documents pass
-through one narrow map a block, which merges its spans and items with those before. Nothing is shuffled.
+The benchmark goes to the tasks in blocks of at most BLOCK_BYTES of text (a block's windows are arrays of some 60 bytes
+a word); with more than one, the documents pass through one narrow map a block, which merges its spans and items with
+those before. Nothing is shuffled.
 
 Null and empty texts have no words and no hits; an empty benchmark contaminates nothing; items without words or with
 null text have no windows; items with a null id go by the empty id; items that share an id count once. Rows are kept
@@ -28,32 +29,37 @@ from .common import columns
 from .fm_index import FMIndex
 from .words import ALNUM_LOWER, Words, text_slices
 
-WINDOW, BLOCK_BYTES, SHARD_WORDS, SHARD_BYTES = 13, 16 << 20, 300_000, 24 << 20
+WINDOW, BLOCK_BYTES, SHARD_WORDS, SHARD_BYTES = 13, 4 << 20, 300_000, 24 << 20
 SPANS = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
 
 
 class Phrases:
-    """The distinct windows of some items, as rows of symbols by length."""
+    """The distinct windows of some items by length: rows of symbols, and whose they are (``owner[first[i] : first[i + 1]]``,
+    places in ``names``). All are arrays; ``member`` tells which symbols occur."""
 
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
+        self.names, number = np.unique(np.array([i or "" for i, _ in items], object), return_inverse=True) if items else (np.zeros(0, object), np.zeros(0, np.int64))
         batch = pa.record_batch({"text": pa.array([t or "" for _, t in items], pa.large_string())})
-        words = []
-        for _, _, data, offsets in text_slices(batch, "text", 1 << 40):
+        hashes, first = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+        for _, _, data, offsets in text_slices(batch, "text", 1 << 20):
             w = Words(data, offsets, ALNUM_LOWER)
-            words = [w.hash[a:b] for a, b in zip(w.first, w.first[1:])]
-        self.vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *words]))
-        found: dict[int, dict[tuple, set]] = {}
-        for (item, _), hashes in zip(items, words):
-            symbols = np.searchsorted(self.vocabulary, hashes) + 1
-            size = min(window, len(symbols))
-            for at in range(len(symbols) - size + 1 if size else 0):
-                found.setdefault(size, {}).setdefault(tuple(symbols[at : at + size].tolist()), set()).add(item or "")
+            hashes.append(w.hash)
+            first.append(w.first[1:] + first[-1][-1])
+        hashes, first = np.concatenate(hashes), np.concatenate(first)
+        self.vocabulary, symbols = np.unique(hashes, return_inverse=True)
+        symbols, count = (symbols + 1).astype(np.int32), np.diff(first)
         self.by_length = {}
-        for size, rows in sorted(found.items()):
+        for size in np.unique(np.minimum(count[count > 0], window)).tolist():
+            own = np.flatnonzero(count >= window if size == window else count == size)
+            n = count[own] - size + 1
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[own], n)
+            rows = np.lib.stride_tricks.sliding_window_view(symbols, size)[at]
+            table, which = np.unique(np.ascontiguousarray(rows).view(f"V{4 * size}").reshape(-1), return_inverse=True)
+            pairs = np.unique(which.astype(np.int64) * len(self.names) + np.repeat(number[own], n))
             member = np.zeros(len(self.vocabulary) + 1, bool)
-            table = np.array(list(rows), np.int64)
-            member[table] = True
-            self.by_length[size] = (table, [sorted(x) for x in rows.values()], member)
+            member[rows] = True
+            starts = np.searchsorted(pairs, np.arange(len(table) + 1, dtype=np.int64) * len(self.names))
+            self.by_length[size] = (table.view(np.int32).reshape(-1, size), starts, (pairs % len(self.names)).astype(np.int32), member)
 
     def symbols(self, hashes: np.ndarray) -> np.ndarray:
         """1 .. V, or 0 for words of no window."""
@@ -83,7 +89,7 @@ class Shard:
         words = Words(data, offsets, ALNUM_LOWER)
         symbols = self.phrases.symbols(words.hash)
         kept = np.zeros(len(symbols), bool)
-        for size, (_, _, member) in self.phrases.by_length.items():
+        for size, (*_, member) in self.phrases.by_length.items():
             kept |= long_runs(member[symbols], words.first, size)
         at = np.flatnonzero(kept)
         gap = np.ones(len(at), np.int64)  # a separator before each run and each document
@@ -113,7 +119,7 @@ class Shard:
         text = np.concatenate([np.zeros(0, np.int64), *self.symbols])
         if np.any(text):
             where, index = np.concatenate(self.words), FMIndex(text, len(self.phrases.vocabulary))
-            for size, (table, owners, _) in self.phrases.by_length.items():
+            for size, (table, starts, owners, _) in self.phrases.by_length.items():
                 low, high = index.find(table)
                 hits = high - low
                 which = np.repeat(np.arange(len(table)), hits)
@@ -124,7 +130,7 @@ class Shard:
                 doc = np.searchsorted(first, word, "right") - 1
                 pairs = np.unique(doc * np.int64(len(table)) + which)
                 for d, p in zip((pairs // len(table)).tolist(), (pairs % len(table)).tolist()):
-                    items.setdefault(d, set()).update(owners[p])
+                    items.setdefault(d, set()).update(self.phrases.names[owners[starts[p] : starts[p + 1]]])
         return counts, turns, items
 
 

@@ -8,7 +8,9 @@ terms by a Cholesky factor computed once at fitting time.
 Fitting needs the labelled rows' moments only (class counts, sums, sums of products): summed in Spark over all
 labelled rows, 2 x 90 numbers reach the driver. Scoring is a narrow pass. Null and empty texts have the statistics
 of an empty text and get a score like any other; rows without labels or with labels other than 0 and 1 are not
-learned from; without both classes the score is the share of label 1 (0.5 without labels).
+learned from; without both classes the score is the share of label 1 (0.5 without labels). Repeated rows each count and
+are each scored; a column of the name of the score is replaced, others pass through. Statistics are joined to labels, not
+texts: the statistics of unlabelled rows cost less than a shuffle of the labelled texts.
 """
 
 from __future__ import annotations
@@ -122,6 +124,7 @@ def _moments(batches):
 
 def scored(docs: DataFrame, model: Discriminant, column: str = "score") -> DataFrame:
     """``docs`` with the column ``column``: 0 to 1, higher where label 1 is likelier. Other columns pass through."""
+    docs = docs.drop(column)
     schema = docs.select("*", F.lit(0.0).alias(column)).schema
 
     def run(batches):
