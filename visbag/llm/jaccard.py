@@ -415,7 +415,8 @@ def _links(join: Join, placed: DataFrame) -> DataFrame:
 
 
 def joined(docs: DataFrame, join: Join = Join(), family: int = FAMILY, members: int = MEMBERS, pivots: int = PIVOTS) -> DataFrame:
-    """doc_id, class (of equal sets), n_shingles, component_id of every row of ``docs``."""
+    """doc_id, key (doc_id, or a hash of the text of a row without), class (of equal sets), n_shingles, component_id and
+    root (a class that stands for the component) of every row of ``docs``."""
     spark = prepared(docs.sparkSession)
     docs = columns(docs, doc_id="bigint", text="string").withColumn("key", F.coalesce("doc_id", F.xxhash64("text"))).withColumn("unnamed", F.col("doc_id").isNull())
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -461,6 +462,6 @@ def joined(docs: DataFrame, join: Join = Join(), family: int = FAMILY, members:
         both = one.unionByName(other.select(*one.columns)).withColumn("part", F.expr("cast(parts + piece * parts + block as int)")).dropDuplicates(["family", "part", "class"])
         links = materialised(links.unionByName(_links(join, _with_texts(both.select(*labelled.columns), texts))))
     linked = connected(links).select(F.col("node").alias("class"), "root").join(known.select("class", F.col("doc_id").alias("least")), "class")
-    named = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("class", "component_id")
-    whole = classes.select("class", F.col("doc_id").alias("least")).join(named, "class", "left").select("class", F.coalesce("component_id", "least").alias("component_id"))
-    return of_doc.join(whole, "class").select("doc_id", "class", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    named = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("class", "component_id", "root")
+    whole = classes.select("class", F.col("doc_id").alias("least")).join(named, "class", "left").select("class", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "class").alias("root"))
+    return of_doc.join(whole, "class").select("doc_id", "key", "class", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "root")
