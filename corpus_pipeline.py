@@ -1,14 +1,15 @@
 """A training corpus from raw documents: quality, near copies, repeated passages, contamination, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``.
-Rows whose doc_id is null stay unless a stage rejects their text; repeated rows of one doc_id become one in the second
-stage; texts may be null or empty. Columns other than those of ``documents`` are left out.
+Rows whose doc_id is null go by their text in the second stage; of rows that share a doc_id that stage keeps one, the
+first by text; texts may be null or empty (those without words stay). Columns other than those of ``documents`` are left
+out. The first stage learns from the labels that its query learns from.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from visbag.llm import byte_bpe, decontaminate, jaccard, quality, substring
@@ -21,15 +22,21 @@ LEAST_SCORE = 0.3
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored LEAST_SCORE or more by the discriminant learned from the labelled ones."""
     docs = columns(docs, **TYPES)
-    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    known = docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
+    model = quality.fit(known, table(spark, sf_dir, "labels"))
     return quality.scored(docs, model).where(F.col("score") >= LEAST_SCORE).select(*TYPES)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of the Jaccard join, the document with the smallest doc_id: shingles of five words, from 0.8."""
     docs = columns(docs, **TYPES)
-    stay = jaccard.joined(docs, jaccard.Join(words=5, over=4, under=5)).select(F.col("component_id").alias("doc_id")).where("doc_id is not null").distinct()
-    return docs.where("doc_id is not null").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")).select(*TYPES)
+    found = jaccard.joined(docs, jaccard.Join(words=5, over=4, under=5)).withColumn("unnamed", F.col("doc_id").isNull())
+    first = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct("unnamed", "key")).alias("first")).select("first.*")
+    stay = first.unionByName(found.where("n_shingles = 0").select("unnamed", "key")).distinct()
+    rows = docs.withColumn("key", F.coalesce("doc_id", F.xxhash64("text"))).withColumn("unnamed", F.col("doc_id").isNull())
+    order = Window.partitionBy("unnamed", "key").orderBy(F.col("text").asc_nulls_last(), *(c for c in TYPES if c not in ("doc_id", "text")))
+    kept = rows.join(stay, ["unnamed", "key"], "left_semi").withColumn("nth", F.row_number().over(order))
+    return kept.where("nth = 1").select(*TYPES)
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
