@@ -1,35 +1,127 @@
-"""Ranked search of histograms: an inverted-index join on words instead of a scan of all pairs.
+"""Ranked search of histograms: queries go to the items in blocks; each task keeps the best items of each query.
 
 Lower scores are better. ``reference``: the absolute difference at the highest word that both histograms hold; an item
 without a common word scores 0, so comes first. ``euclidean``: the root of the summed squared differences over the
 common words; an item without any gets ``no_overlap``.
+
+No row is made for a pair of query and item: an item's terms meet in one row, a block of at most BLOCK_TERMS terms of
+queries is a narrow pass over these rows, and what leaves a task is ``list_size`` items a query.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-LIST_SIZE, URL, MOST_QUERIES = 100, "http://foo/", 100_000
+LIST_SIZE, URL, BLOCK_TERMS = 100, "http://foo/", 1_000_000
 
 
-def scores(queries: DataFrame, base: DataFrame, mode: str = "reference", no_overlap: float = 0.0) -> DataFrame:
-    """query_id, item_id, score of every query and item. Both inputs: id, word, value; zero values count as absent.
+def _rows(terms: DataFrame, name: str) -> DataFrame:
+    """A row for each id, with its non-zero terms in order of their words."""
+    held = F.filter(F.collect_list(F.struct("word", F.col("value").cast("double").alias("value"))), lambda t: t.value != 0)
+    return terms.groupBy(F.col("id").alias(name)).agg(F.array_sort(held).alias("terms"))
 
-    The ids of the queries (a stated set, checked to be at most MOST_QUERIES) are broadcast to the items' ids.
-    """
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words and values of all rows, and where each row's begin."""
+    rows = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    first = rows.offsets.to_numpy()
+    flat = rows.flatten()
+    return flat.field("word").to_numpy(), flat.field("value").to_numpy(), first - first[0]
+
+
+class Queries:
+    """A block of queries, and a place for each of their words."""
+
+    def __init__(self, ids: list, terms: pa.Array):
+        self.ids = ids
+        self.words, self.values, self.first = _flat(terms)
+        self.vocabulary, self.places = np.unique(self.words, return_inverse=True)
+
+    def scores(self, words: np.ndarray, values: np.ndarray, first: np.ndarray, mode: str, no_overlap: float):
+        """For each query its scores of all the items given."""
+        table = np.full((len(first) - 1, len(self.vocabulary) + 1), np.nan)
+        at = np.minimum(np.searchsorted(self.vocabulary, words), max(0, len(self.vocabulary) - 1))
+        known = self.vocabulary[at] == words if len(self.vocabulary) else np.zeros(len(words), bool)
+        table[np.repeat(np.arange(len(first) - 1), np.diff(first))[known], at[known]] = values[known]
+        for k in range(len(self.ids)):
+            part = slice(self.first[k], self.first[k + 1])
+            diff = table[:, self.places[part]] - self.values[part]
+            both = ~np.isnan(diff)
+            if mode == "euclidean":
+                yield np.where(both.any(1), np.sqrt(np.where(both, diff * diff, 0).sum(1)), no_overlap)
+            else:
+                last = diff.shape[1] - 1 - np.argmax(both[:, ::-1], axis=1) if diff.shape[1] else np.zeros(len(table), np.int64)
+                yield np.where(both.any(1), np.abs(np.take_along_axis(diff, last[:, None], 1)[:, 0]), 0.0) if diff.shape[1] else np.zeros(len(table))
+
+
+def _blocks(queries: DataFrame):
+    """The queries in blocks; ids are dealt by their hash."""
+    size = queries.agg(F.sum(F.size("terms"))).first()[0] or 0
+    blocks = max(1, -(-size // BLOCK_TERMS))
+    for k in range(blocks):
+        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
+        table = part.toArrow()
+        if len(table):
+            yield Queries(table.column("query_id").to_pylist(), table.column("terms").combine_chunks())
+
+
+def _passes(queries: DataFrame, base: DataFrame, mode: str, no_overlap: float, most: int | None, digits: int | None) -> DataFrame:
     if mode not in ("reference", "euclidean"):
         raise ValueError(f"unknown mode {mode!r}")
-    q = queries.where("value <> 0").select(F.col("id").alias("query_id"), "word", F.col("value").alias("q"))
-    b = base.where("value <> 0").select(F.col("id").alias("item_id"), "word", F.col("value").alias("b"))
-    diff = F.col("q") - F.col("b")
-    value = F.max_by(F.abs(diff), F.col("word")) if mode == "reference" else F.sqrt(F.sum(diff * diff))
-    common = b.join(q, "word").groupBy("query_id", "item_id").agg(value.alias("score"))
-    ids = queries.select(F.col("id").alias("query_id")).distinct()
-    if (n := ids.count()) > MOST_QUERIES:
-        raise ValueError(f"{n} queries at once; at most {MOST_QUERIES}")
-    pairs = base.select(F.col("id").alias("item_id")).distinct().join(F.broadcast(ids))
-    return pairs.join(common, ["query_id", "item_id"], "left").select("query_id", "item_id", F.coalesce("score", F.lit(no_overlap if mode == "euclidean" else 0.0)).alias("score"))
+    asked, items = _rows(queries, "query_id"), _rows(base, "item_id")
+    schema = asked.select("query_id").schema.add(items.schema["item_id"]).add("score", "double")
+    out = None
+
+    def searched(block: Queries):
+        def run(batches):
+            best: list = [None] * len(block.ids)
+
+            def cut(k: int) -> None:
+                score, ids = (np.concatenate(x) for x in zip(*best[k]))
+                order = np.lexsort((ids, score if digits is None else np.round(score, digits)))[:most]
+                best[k] = [(score[order], ids[order])]
+
+            for batch in batches:
+                ids = np.array(batch.column("item_id").to_pylist())
+                for k, score in enumerate(block.scores(*_flat(batch.column("terms")), mode, no_overlap)):
+                    if most is None:
+                        yield _scored(schema, block.ids[k], ids, score)
+                        continue
+                    best[k] = (best[k] or []) + [(score, ids)]
+                    if sum(len(x) for x, _ in best[k]) > 4 * most + 4096:
+                        cut(k)
+            for k in range(len(block.ids)):
+                if best[k]:
+                    cut(k)
+                    yield _scored(schema, block.ids[k], best[k][0][1], best[k][0][0])
+
+        return run
+
+    for block in _blocks(asked):
+        more = items.mapInArrow(searched(block), schema)
+        out = more if out is None else out.unionByName(more)
+    return out if out is not None else base.sparkSession.createDataFrame([], schema)
+
+
+def _scored(schema, query, ids: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kinds = to_arrow_schema(schema)
+    return pa.RecordBatch.from_arrays([pa.array([query] * len(ids), kinds[0].type), pa.array(ids.tolist(), kinds[1].type), pa.array(score)], schema=kinds)
+
+
+def scores(queries: DataFrame, base: DataFrame, mode: str = "reference", no_overlap: float = 0.0) -> DataFrame:
+    """query_id, item_id, score of every query and item. Both inputs: id, word, value; zero values count as absent."""
+    return _passes(queries, base, mode, no_overlap, None, None)
+
+
+def top(queries: DataFrame, base: DataFrame, mode: str = "reference", no_overlap: float = 0.0, list_size: int | None = LIST_SIZE, digits: int | None = None) -> DataFrame:
+    """The ``list_size`` best items of each query: query_id, rank, item_id, score; ties by item_id; no padding."""
+    size = LIST_SIZE if list_size is None else list_size
+    return ranked(_passes(queries, base, mode, no_overlap, size, digits), size, digits)
 
 
 def ranked(scored: DataFrame, list_size: int | None = LIST_SIZE, digits: int | None = None) -> DataFrame:

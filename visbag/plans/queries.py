@@ -112,7 +112,7 @@ def bow_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _search(spark: SparkSession, sf_dir: str, mode: str, k: int = K) -> DataFrame:
     base = histograms(spark, sf_dir, k).select(F.col("image_id").alias("id"), "word", "value")
-    return search.ranked(search.scores(base.where(F.col("id") % QUERY_STEP == 0), base, mode, 9.0), TOP, 6)
+    return search.top(base.where(F.col("id") % QUERY_STEP == 0), base, mode, 9.0, TOP, 6)
 
 
 def search_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
