@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_BYTES, NEIGHBOURS, AVERAGED = 64 << 20, 32, 10_000
+BLOCK_BYTES, NEIGHBOURS, AVERAGED, SQUARED_BYTES = 64 << 20, 32, 10_000, 8 << 20
 
 
 def blocks(codebook: DataFrame, block_bytes: int = BLOCK_BYTES):
@@ -35,9 +35,11 @@ def blocks(codebook: DataFrame, block_bytes: int = BLOCK_BYTES):
 def squared(a: np.ndarray, centers: np.ndarray, rows: int = 64) -> np.ndarray:
     """Squared L2 distances: float differences and products, double sums."""
     out = np.empty((len(a), len(centers)))
+    width = max(1, SQUARED_BYTES // (4 * rows * max(1, a.shape[1])))
     for i in range(0, len(a), rows):
-        d = a[i : i + rows, None, :] - centers[None]
-        out[i : i + rows] = (d * d).sum(2, dtype=np.float64)
+        for j in range(0, len(centers), width):
+            d = a[i : i + rows, None, :] - centers[None, j : j + width]
+            out[i : i + rows, j : j + width] = np.square(d, out=d).sum(2, dtype=np.float64)
     return out
 
 

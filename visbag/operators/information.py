@@ -34,7 +34,7 @@ def _clean(samples: DataFrame) -> DataFrame:
 
 def split_counts(samples: DataFrame, thresholds: DataFrame) -> DataFrame:
     """node, label, left (val <= threshold), right; ``thresholds``: node, threshold, one a node."""
-    return _clean(samples).join(F.broadcast(thresholds), "node").groupBy("node", "label").agg(F.count_if(F.col("val") <= F.col("threshold")).alias("left"), F.count_if(F.col("val") > F.col("threshold")).alias("right"))
+    return _clean(samples).join(thresholds, "node").groupBy("node", "label").agg(F.count_if(F.col("val") <= F.col("threshold")).alias("left"), F.count_if(F.col("val") > F.col("threshold")).alias("right"))
 
 
 def split_scores(counts: DataFrame, method: str, *keys: str) -> DataFrame:
@@ -47,7 +47,9 @@ def split_scores(counts: DataFrame, method: str, *keys: str) -> DataFrame:
     sums = rows.groupBy(*keys).agg(F.sum(part(both, F.col("n"))).alias("hc"), joint.alias("hct"), F.first("nl").alias("nl"), F.first("nr").alias("nr"), F.first("n").alias("n"))
     ht = part(F.col("nl"), F.col("n")) + part(F.col("nr"), F.col("n"))
     mi = F.col("hc") + ht - F.col("hct")
-    if checked(method) in ("Sc", "ScWithError"):
+    if method == "ScWithError":
+        raise ValueError("ScWithError depends on the order of the values: evaluated() and best_threshold() have it")
+    if checked(method) == "Sc":
         score = 2 * mi / F.nullif(F.col("hc") + ht, F.lit(0.0))
     elif method == "MutualInformation":
         score = mi
@@ -58,8 +60,84 @@ def split_scores(counts: DataFrame, method: str, *keys: str) -> DataFrame:
     return sums.select(*keys, F.when((F.col("nl") > 0) & (F.col("nr") > 0), score).alias("score"))
 
 
+def steps_with_error(samples: DataFrame, right: int) -> DataFrame:
+    """node, bin, val, label, nth and step: what each value, in the order of values and labels, adds to the sum that
+    ScWithError takes for the common information; ``right``: how often the values count on the right at first.
+
+    The criterion is known to be wrong (a value changes its own label's terms only), but gives usable splits. With l of
+    L values on the left of the value's label, r of R on the right, a step is h(l, L) + h(r, R) - h(l + 1, L + 1)
+    - h(r - 1, R - 1), h(a, b) = -a / n log2(a / b). Bins of the value range are counted first, so a node of any size
+    is spread over BINS windows.
+    """
+    rows = _clean(samples).select("node", "label", F.col("val").cast("double").alias("val"))
+    ends = rows.groupBy("node").agg(F.min("val").alias("low"), F.max("val").alias("high"), F.count("*").alias("n"))
+    width = F.nullif(F.col("high") - F.col("low"), F.lit(0.0))
+    bin_ = F.coalesce(F.least(F.lit(BINS - 1), F.floor((F.col("val") - F.col("low")) / width * BINS)), F.lit(0)).cast("int")
+    rows = rows.join(ends, "node").withColumn("bin", bin_).drop("low", "high")
+    totals = rows.groupBy("node", "label").agg(F.count("*").alias("t"))
+    by_label = rows.groupBy("node", "bin", "label").agg(F.count("*").alias("c"))
+    before = Window.partitionBy("node", "label").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    by_label = by_label.withColumn("l0", F.coalesce(F.sum("c").over(before), F.lit(0))).join(totals, ["node", "label"])
+    by_bin = by_label.groupBy("node", "bin").agg(F.sum("c").alias("cb"))
+    by_bin = by_bin.withColumn("n0", F.coalesce(F.sum("cb").over(Window.partitionBy("node").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rows = rows.join(by_label.select("node", "bin", "label", "l0", "t"), ["node", "bin", "label"]).join(by_bin.select("node", "bin", "n0"), ["node", "bin"])
+    own = F.row_number().over(Window.partitionBy("node", "bin", "label").orderBy("val")) - 1
+    nth = F.row_number().over(Window.partitionBy("node", "bin").orderBy("val", "label")) - 1
+    rows = rows.withColumns({"l": F.col("l0") + own, "nth": F.col("n0") + nth})
+    rows = rows.withColumns({"r": F.col("t") - F.col("l"), "rest": F.lit(right) * F.col("n") - F.col("nth")})
+    h = lambda a, b: F.when(a > 0, -a / F.col("n") * F.log2(a / b)).otherwise(0.0)
+    step = h(F.col("l"), F.col("nth")) + h(F.col("r"), F.col("rest")) - h(F.col("l") + 1, F.col("nth") + 1) - h(F.col("r") - 1, F.col("rest") - 1)
+    return rows.select("node", "bin", "val", "label", "nth", "n", step.alias("step"))
+
+
+def _halves(left: Column, right: Column, n: Column) -> Column:
+    """Entropy of the two sides, of counts that need not add up to n; 0 if one is empty."""
+    h = lambda a: -a / n * F.log2(a / n)
+    return F.when((left > 0) & (right > 0), h(left) + h(right)).otherwise(0.0)
+
+
+def _with_error(samples: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """ScWithError of given thresholds: the class entropy counts as 0, the right side's values twice."""
+    rows = steps_with_error(samples, 2).join(thresholds, "node")
+    left = rows.groupBy("node").agg(F.sum(F.when(F.col("val") <= F.col("threshold"), F.col("step"))).alias("i"), F.count_if(F.col("val") <= F.col("threshold")).alias("left"), F.first("n").alias("n"))
+    score = 2 * F.col("i") / F.nullif(_halves(F.col("left"), 2 * F.col("n") - F.col("left"), F.col("n")), F.lit(0.0))
+    return left.select("node", F.when((F.col("left") > 0) & (F.col("left") < F.col("n")), score).alias("score"))
+
+
+def _best_with_error(samples: DataFrame) -> DataFrame:
+    rows = steps_with_error(samples, 1)
+    sums = rows.groupBy("node", "bin").agg(F.sum("step").alias("s"), F.min("val").alias("first"))
+    order = Window.partitionBy("node").orderBy("bin")
+    sums = sums.select("node", "bin", F.coalesce(F.sum("s").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("s0"), F.lead("first").over(order).alias("after"))
+    classes = _clean(samples).groupBy("node", "label").agg(F.count("*").alias("c"))
+    entropy = classes.withColumn("n", F.sum("c").over(Window.partitionBy("node"))).groupBy("node").agg(F.sum(part(F.col("c"), F.col("n"))).alias("hc"))
+    run = Window.partitionBy("node", "bin").orderBy("nth")
+    rows = rows.join(sums, ["node", "bin"]).join(entropy, "node")
+    i = F.col("s0") + F.sum("step").over(run.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    left = F.col("nth") + 1
+    rows = rows.withColumns({"i": i, "next": F.coalesce(F.lead("val").over(run), F.col("after")), "ht": _halves(left, F.col("n") - left, F.col("n"))})
+    rows = rows.withColumn("score", F.round(2 * F.col("i") / F.nullif(F.col("hc") + F.col("ht"), F.lit(0.0)), 12)).where("score > 0")
+    threshold = F.coalesce((F.col("val") + F.col("next")) / 2, F.col("val"))
+    best = rows.groupBy("node").agg(F.max_by(F.struct(threshold.alias("threshold"), "score"), F.struct("score", -F.col("nth"))).alias("b"))
+    return best.select("node", "b.threshold", "b.score")
+
+
+def roulette(draws: DataFrame, values: DataFrame, most: int | None = None) -> DataFrame:
+    """``draws`` (id, u in 0 .. 1) with ``choice``: the first id of ``values`` (id, value: small) whose running sum of
+    squared values, negative ones read as 0, reaches u times their sum, over the first ``most`` of them."""
+    square = F.pow(F.greatest(F.col("value"), F.lit(0.0)), 2)
+    order = Window.orderBy("id")  # one number a direction
+    wheel = values.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most) if most else values
+    wheel = wheel.select("id", F.sum(square).over(order).alias("upto"))
+    slots = wheel.agg(F.array_sort(F.collect_list(F.struct(F.col("upto"), F.col("id")))).alias("slots"), F.max("upto").alias("total"))
+    hit = F.filter("slots", lambda s: s.upto >= F.col("u") * F.col("total"))
+    return draws.join(F.broadcast(slots)).select("id", "u", F.get(hit, F.lit(0)).id.alias("choice"))
+
+
 def evaluated(samples: DataFrame, thresholds: DataFrame, method: str) -> DataFrame:
     """node, score of a given threshold for each node."""
+    if method == "ScWithError":
+        return _with_error(samples, thresholds)
     return split_scores(split_counts(samples, thresholds), method)
 
 
@@ -69,7 +147,7 @@ def candidates(samples: DataFrame) -> DataFrame:
     ends = counts.groupBy("node").agg(F.min("val").cast("double").alias("low"), F.max("val").cast("double").alias("high"))
     width = F.nullif(F.col("high") - F.col("low"), F.lit(0.0))
     bin_ = F.coalesce(F.least(F.lit(BINS - 1), F.floor((F.col("val").cast("double") - F.col("low")) / width * BINS)), F.lit(0)).cast("int")
-    binned = counts.join(F.broadcast(ends), "node").withColumn("bin", bin_).drop("low", "high")
+    binned = counts.join(ends, "node").withColumn("bin", bin_).drop("low", "high")
     totals = counts.groupBy("node", "label").agg(F.sum("c").alias("t"))
     # bins x labels of a node: bounded
     by_bin = binned.groupBy("node", "bin", "label").agg(F.sum("c").alias("bc"), F.min("val").alias("first"))
@@ -96,9 +174,12 @@ def best_threshold(samples: DataFrame, method: str = "Sc") -> DataFrame:
 
     Entropy may also split after the last value (threshold: that value). Balanced takes the middle of the values at
     ranks n/2 and n/2 + 1 (of fewer than 3, of what there is), Mean the mean; both score the population variance.
-    A node without a split of positive score has no row. ScWithError scores like Sc.
+    A node without a split of positive score has no row. ScWithError (see ``steps_with_error``) may split within equal
+    values, which go by label; its threshold after the last value is that value.
     """
     checked(method)
+    if method == "ScWithError":
+        return _best_with_error(samples)
     if method == "Mean":
         return _clean(samples).groupBy("node").agg(F.avg(F.col("val").cast("double")).alias("threshold"), F.var_pop(F.col("val").cast("double")).alias("score"))
     if method == "Balanced":

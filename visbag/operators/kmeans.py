@@ -5,22 +5,42 @@ The codebook (words x dim numbers) is on the driver between steps; features neve
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import projection
 from .codebook import nearest_word
 
 
+def drawn_hash(key: str, seed: int) -> Column:
+    """Sixteen hexadecimal digits that depend on seed and key alone."""
+    return F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), 1, 16)
+
+
 def seeded_sample(rows: DataFrame, n: int, key: str, seed: int = 1) -> DataFrame:
     """``n`` rows without replacement, the same whenever the keys are."""
-    return rows.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    return rows.orderBy(drawn_hash(key, seed), key).limit(n)
+
+
+def numbered(rows: DataFrame, key: str, digits: int = 2) -> DataFrame:
+    """``rows`` with ``number``, 0 .. n - 1, by the first digits of the key's hash, then the key: counts of the 16**digits
+    buckets give each bucket its first number, and each is numbered by itself."""
+    dealt = rows.withColumn("_bucket", F.substring(drawn_hash(key, 0), 1, digits))
+    counts = dealt.groupBy("_bucket").agg(F.count("*").alias("_n"))
+    starts = counts.withColumn("_start", F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).select("_bucket", "_start")
+    place = F.row_number().over(Window.partitionBy("_bucket").orderBy(key))
+    return dealt.join(F.broadcast(starts), "_bucket").withColumn("number", F.col("_start") + place - 1).drop("_bucket", "_start")
 
 
 def sample_with_replacement(rows: DataFrame, n: int, key: str, seed: int = 1) -> DataFrame:
-    """``n`` draws: each draw takes the first row at or after its hash, around the circle of the keys' hashes."""
-    share = n / max(1, rows.count())
-    return rows.sample(withReplacement=True, fraction=share, seed=seed)
+    """``draw`` (0 .. n - 1) and the row that it takes: the draw's hash names a number of the rows'."""
+    spark, total = rows.sparkSession, rows.count()
+    draws = spark.range(n if total else 0).withColumnRenamed("id", "draw")
+    number = F.conv(F.substring(drawn_hash("draw", seed), 1, 12), 16, 10).cast("bigint") % F.lit(max(1, total))
+    return draws.select("draw", number.alias("number")).join(numbered(rows, key), "number").drop("number")
 
 
 def initial_words(features: DataFrame, words: int, key: str = "feature_id", seed: int = 1, first: bool = False) -> DataFrame:
@@ -32,10 +52,30 @@ def initial_words(features: DataFrame, words: int, key: str = "feature_id", seed
 
 
 def means(assigned: DataFrame) -> DataFrame:
-    """word, n, center of assigned features; a partial sum a task and word, by dimension."""
-    flat = assigned.select("word", F.posexplode("descriptor").alias("dim", "val")).groupBy("word", "dim").agg(F.avg(F.col("val").cast("double")).alias("m"), F.count("*").alias("n"))
-    center = F.transform(F.array_sort(F.collect_list(F.struct("dim", "m"))), lambda s: s.m.cast("float"))
-    return flat.groupBy("word").agg(F.max("n").alias("n"), center.alias("center"))
+    """word, n, center of assigned features: a count and a sum a task and word, added up by word."""
+
+    def partial(batches):
+        total: dict[int, list] = {}
+        for batch in batches:
+            batch = batch.filter(pc.and_(pc.is_valid(batch.column("word")), pc.is_valid(batch.column("descriptor"))))
+            if len(batch):
+                x = batch.column("descriptor").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(batch), -1)
+                used, at, n = np.unique(batch.column("word").to_numpy(), return_inverse=True, return_counts=True)
+                sums = np.zeros((len(used), x.shape[1]))
+                np.add.at(sums, at, x)
+                for w, k, s in zip(used.tolist(), n.tolist(), sums):
+                    entry = total.setdefault(w, [0, 0.0])
+                    entry[0] += k
+                    entry[1] = entry[1] + s
+        yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array([v[0] for v in total.values()], pa.int64()), pa.array([v[1].tolist() for v in total.values()], pa.list_(pa.float64()))], ["word", "n", "s"])
+
+    def added(table: pa.Table) -> pa.Table:
+        n = int(pc.sum(table.column("n")).as_py())
+        center = np.array(table.column("s").to_pylist()).sum(0) / n
+        return pa.table([table.column("word")[:1], pa.array([n]), pa.array([center.astype(np.float32).tolist()], pa.list_(pa.float32()))], ["word", "n", "center"])
+
+    parts = assigned.select(F.col("word").cast("int").alias("word"), F.col("descriptor").cast("array<float>").alias("descriptor")).mapInArrow(partial, "word int, n bigint, s array<double>")
+    return parts.groupBy("word").applyInArrow(added, "word int, n bigint, center array<float>")
 
 
 def step(features: DataFrame, codebook: DataFrame) -> DataFrame:

@@ -64,6 +64,27 @@ def second_moments(vectors: DataFrame, values: str) -> DataFrame:
     return all_.where("i >= 0 and j >= 0").join(F.broadcast(n)).select("i", "j", (F.col("s") / F.col("n")).alias("m"))
 
 
+def centred(vectors: DataFrame, values: str) -> DataFrame:
+    """i, j, c: the population covariance."""
+    all_ = moments(vectors, values)
+    sums = all_.where("i = -1").select(F.col("j").alias("k"), F.col("s").alias("total"))  # dim + 1 rows
+    n = sums.where("k = -1").select(F.col("total").alias("n"))
+    rows = all_.where("i >= 0 and j >= 0").join(F.broadcast(n))
+    for side in ("i", "j"):
+        rows = rows.join(F.broadcast(sums.select(F.col("k").alias(side), F.col("total").alias(f"s{side}"))), side)
+    return rows.select("i", "j", (F.col("s") / F.col("n") - F.col("si") / F.col("n") * F.col("sj") / F.col("n")).alias("c"))
+
+
+def label_subset(rows: DataFrame, label: str, classes: int, seed: int = 1) -> DataFrame:
+    """``rows`` of ``classes`` drawn labels; of all if ``classes`` is below 2 or not fewer than there are."""
+    if classes < 2:
+        return rows
+    from .kmeans import drawn_hash
+
+    drawn = rows.select(label).where(F.col(label).isNotNull()).distinct().orderBy(drawn_hash(label, seed), label).limit(classes)
+    return rows.join(drawn, label, "left_semi").select(*rows.columns)
+
+
 def covariance(vectors: DataFrame, values: str) -> tuple[np.ndarray, np.ndarray, int]:
     """Mean, population covariance and count: dim x dim numbers reach the driver."""
     rows = moments(vectors, values).collect()

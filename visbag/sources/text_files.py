@@ -71,9 +71,14 @@ def read_codebook(spark: SparkSession, path: str) -> Codebook:
     return parse_codebook(_read(spark, path).decode())
 
 
-def write_codebook(book: Codebook, path: str) -> None:
+def write_codebook(book: Codebook, path: str, spark: SparkSession | None = None) -> None:
+    """With a session, an average word distance that is not set is computed first."""
+    from ..operators.codebook import average_word_distance
     from .vector_file import _opened
 
+    if book.average is None and spark is not None and book.word_count > 1:
+        book = Codebook(book.centers, book.projection, average_word_distance(book.frame(spark)).first()[0], book.exact)
+
     with _opened(path, write=True) as f:
         f.write(format_codebook(book).encode())
 

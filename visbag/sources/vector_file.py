@@ -3,12 +3,14 @@
 Layout (little endian): magic, int64 count, int64 offset of each vector; at its offset a tag (0 null, 1 float32,
 2 uint8), a density byte, int32 dimension, for sparse ones int32 number of entries, the values, and their int32 ids.
 Reading makes a partition for each range of the index and honours filters on vec_id; ``option("size", n)`` sets the
-range. Writing gathers the rows in vec_id order in one task, as one file has one index.
+range. Writing: each task writes its vectors to a part file beside the target and reports ids and sizes; the commit
+writes the index in the order of vec_id and copies the vectors from the parts, a block at a time.
 """
 
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,13 +20,19 @@ from pyspark.sql.types import Row, StructType
 
 from ..schema import VECTOR_FILE
 
-MAGIC, RANGE = b"FeatureVectorFile2.0", 10_000  # fixed value of the format
+MAGIC, RANGE, BLOCK = b"FeatureVectorFile2.0", 10_000, 8 << 20  # the first is a fixed value of the format
 
 
-def _opened(path: str, write: bool = False):
+def _located(path: str):
     from pyarrow import fs
 
-    system, name = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+def _opened(path: str, write: bool = False):
+    system, name = _located(path)
+    if write and "/" in name:
+        system.create_dir(name.rpartition("/")[0])
     return system.open_output_stream(name) if write else system.open_input_file(name)
 
 
@@ -85,7 +93,8 @@ class Reader(DataSourceReader):
                 if isinstance(f, EqualTo):
                     self.low, self.high = max(self.low, value), value + 1 if self.high is None else min(self.high, value + 1)
                 elif isinstance(f, In):
-                    self.only = set(value)
+                    found = {x for x in value if x is not None}
+                    self.only = found if self.only is None else self.only & found
                 elif isinstance(f, (GreaterThan, GreaterThanOrEqual)):
                     self.low = max(self.low, value + isinstance(f, GreaterThan))
                 elif isinstance(f, (LessThan, LessThanOrEqual)):
@@ -98,8 +107,15 @@ class Reader(DataSourceReader):
         n, out = len(offsets), []
         high = n if self.high is None else min(n, self.high)
         wanted = sorted(i for i in self.only if self.low <= i < high) if self.only is not None else None
-        if wanted is not None:
-            return [Range(i, i + 1, [int(offsets[i])], None) for i in wanted]
+        if wanted is not None:  # neighbours share a partition; nothing but what is wanted is read
+            ends = np.append(np.sort(offsets)[1:], 0)[np.argsort(np.argsort(offsets, kind="stable"), kind="stable")]
+            for i in wanted:
+                if out and i == out[-1].last and i - out[-1].first < self.size and offsets[i] == out[-1].end:
+                    out[-1].last, out[-1].end = i + 1, int(ends[i]) or None
+                    out[-1].offsets.append(int(offsets[i]))
+                else:
+                    out.append(Range(i, i + 1, [int(offsets[i])], int(ends[i]) or None))
+            return out
         for at in range(max(0, self.low), high, self.size):
             last = min(high, at + self.size)
             out.append(Range(at, last, offsets[at:last].tolist(), int(offsets[last]) if last < n and offsets[last] > offsets[at] else None))
@@ -118,35 +134,52 @@ class Reader(DataSourceReader):
 
 
 class Part(WriterCommitMessage):
-    def __init__(self, rows: list):
-        self.rows = rows
+    """A part file, and the ids, places and sizes of its vectors."""
 
+    def __init__(self, path: str, ids: np.ndarray, sizes: np.ndarray):
+        self.path, self.ids, self.sizes = path, ids, sizes
 
-class Writer(DataSourceWriter):
-    """Tasks send encoded vectors; the commit orders them, writes the index and the vectors."""
 
+class Writer(DataSourceWriter):
     def __init__(self, options: dict):
         self.path, self.capacity = options["path"], options.get("capacity")
+        self.parts = f"{self.path}.parts-{uuid.uuid4().hex}"
 
     def write(self, iterator) -> Part:
-        return Part([(r.vec_id, encoded(r.vector)) for r in iterator])
+        path, ids, sizes = f"{self.parts}/{uuid.uuid4().hex}", [], []
+        with _opened(path, write=True) as f:
+            for r in iterator:
+                data = encoded(r.vector)
+                f.write(data)
+                ids.append(r.vec_id)
+                sizes.append(len(data))
+        return Part(path, np.array(ids, np.int64), np.array(sizes, np.int64))
 
     def commit(self, messages: list[Part | None]) -> None:
-        rows = sorted((r for m in messages if m for r in m.rows), key=lambda r: r[0])
-        capacity = int(self.capacity or len(rows))
-        if len(rows) > capacity:
-            raise ValueError(f"{len(rows)} vectors; the index has room for {capacity}")
-        at, offsets = len(MAGIC) + 8 + 8 * capacity, []
-        for _, data in rows:
-            offsets.append(at)
-            at += len(data)
+        parts = [m for m in messages if m and len(m.ids)]
+        none = np.zeros(0, np.int64)
+        ids, sizes = (np.concatenate([none, *(getattr(p, k) for p in parts)]) for k in ("ids", "sizes"))
+        capacity = int(self.capacity or len(ids))
+        if len(ids) > capacity:
+            self.abort(messages)
+            raise ValueError(f"{len(ids)} vectors; the index has room for {capacity}")
+        # the vectors lie as the parts hold them; the index lists them in the order of vec_id
+        order = np.argsort(ids, kind="stable")
+        offsets = len(MAGIC) + 8 + 8 * capacity + np.cumsum(sizes) - sizes
         with _opened(self.path, write=True) as f:
-            f.write(MAGIC + struct.pack("<q", len(rows)) + np.array(offsets, "<i8").tobytes() + b"\0" * (8 * (capacity - len(rows))))
-            for _, data in rows:
-                f.write(data)
+            f.write(MAGIC + struct.pack("<q", len(ids)) + offsets[order].astype("<i8").tobytes() + b"\0" * (8 * (capacity - len(ids))))
+            for p in parts:
+                with _opened(p.path) as part:
+                    while block := part.read(BLOCK):
+                        f.write(block)
+        self.abort(messages)
 
     def abort(self, messages) -> None:
-        pass
+        from pyarrow import fs
+
+        system, name = _located(self.parts)
+        if system.get_file_info(name).type != fs.FileType.NotFound:
+            system.delete_dir(name)
 
 
 class VectorFile(DataSource):
@@ -174,3 +207,16 @@ def selected(spark: SparkSession, path: str, ids):
     all_ = spark.range(len(header(path))).withColumnRenamed("id", "vec_id")
     found = spark.read.format("fvf").load(path).join(ids.select("vec_id").distinct(), "vec_id", "left_semi")
     return all_.join(found, "vec_id", "left")
+
+
+def looked_up(spark: SparkSession, path: str, vec_id: int, check: bool = False):
+    """One row: vec_id and its vector. ``check``: an error if there is no such vector."""
+    n = len(header(path))
+    if not 0 <= vec_id < n:
+        raise IndexError(f"vector {vec_id} of {n}")
+    row = spark.read.format("fvf").load(path).where(f"vec_id = {int(vec_id)}")
+    if not check:
+        return row
+    from pyspark.sql import functions as F
+
+    return row.select("vec_id", F.when(F.col("vector").isNotNull(), F.col("vector")).otherwise(F.raise_error(F.lit(f"vector {vec_id} is null")).cast(row.schema["vector"].dataType)).alias("vector"))

@@ -78,13 +78,17 @@ def extraction_stage(extract) -> Stage:
 
 
 def words_stage(book: DataFrame, sigma: float, k: int = codebook.NEIGHBOURS) -> Stage:
-    """Blob of features to blob of soft-assigned words: the six header values, then (word, weight) pairs."""
+    """Blob of features to blob of soft-assigned words: the six header values, then (word, weight) pairs, as many as
+    the request's neighborCount says (``k`` if it has none)."""
     n = book.count()
     spark = book.sparkSession
 
     def stage(envelopes: DataFrame) -> DataFrame:
-        rows = envelope.header_and_descriptor(envelope.matrix_rows(envelopes, "blob", "uuid"))
-        found = codebook.nearest(rows.where(F.size("descriptor") > 0), book, k)
+        wanted = F.coalesce(F.when(head().translate.neighborCount > 0, head().translate.neighborCount), F.lit(k)).cast("int")
+        most = envelopes.agg(F.max(wanted)).first()[0] or k
+        rows = envelope.header_and_descriptor(envelope.matrix_rows(envelopes.withColumn("_k", wanted), "blob", "uuid", "_k"))
+        found = codebook.nearest(rows.where(F.size("descriptor") > 0), book, min(most, n))
+        found = found.withColumns({c: F.slice(c, 1, F.col("_k")) for c in ("words", "distances")})
         soft = bow.soft_assigned(found, spark.createDataFrame([(float(sigma),)], "s double"))
         pairs = F.flatten(F.transform(F.arrays_zip("words", "weights"), lambda s: F.array((s.words + 1).cast("float"), s.weights.cast("float"))))
         values = F.concat(F.array(*(F.col(c) for c in ("x", "y", "size", "angle", "response", "octave"))), pairs)
@@ -95,19 +99,29 @@ def words_stage(book: DataFrame, sigma: float, k: int = codebook.NEIGHBOURS) ->
     return stage
 
 
-def search_stage(base: DataFrame, names: DataFrame, mode: str = "reference") -> Stage:
-    """Blob of words to a result list, ``listSize`` long (100 if absent). ``base``: id, word, value; ``names``: item_id, name."""
+def search_stage(base: DataFrame, names: DataFrame, mode: str = "reference", databases: dict[str, tuple[DataFrame, DataFrame]] | None = None) -> Stage:
+    """Blob of words to a result list, ``listSize`` long (100 if absent), from the request's database: one of
+    ``databases``, or ``base`` and ``names`` where it names none; an unknown one is an error. ``base``: id, word, value;
+    ``names``: item_id, name."""
+    known = {"": (base, names)} | (databases or {})
 
     def stage(envelopes: DataFrame) -> DataFrame:
-        rows = envelope.matrix_rows(envelopes, "blob", "uuid")
-        flat = rows.select("uuid", F.explode(F.expr("sequence(6, size(values) - 2, 2)")).alias("i"), "values").where("size(values) > 7")
-        terms = flat.select("uuid", F.get("values", F.col("i")).cast("int").alias("word"), F.get("values", F.col("i") + 1).cast("double").alias("weight"))
-        hist = bow.histogram(terms.withColumnRenamed("uuid", "image_id")).select(F.col("image_id").alias("id"), "word", "value")
-        size = envelopes.select(F.col("uuid").alias("query_id"), F.coalesce(head().match.listSize, F.lit(search.LIST_SIZE)).alias("list_size"))
-        ranking = search.ranked(search.scores(hist, base, mode), 2**31 - 1).join(size, "query_id").where("rank <= list_size").drop("list_size")
-        found = search.result_lists(ranking, names).select(F.col("query_id").alias("uuid"), "result")
-        out = envelopes.drop("result").join(found, "uuid", "left")
-        return failed(out, head().match.isNull(), "no match configuration")
+        asked = F.coalesce(head().match.database, F.lit(""))
+        size = F.coalesce(head().match.listSize, F.lit(search.LIST_SIZE))
+        sizes = envelopes.select(F.col("uuid").alias("query_id"), size.alias("list_size"))
+        most = {r.d: r.n for r in envelopes.groupBy(asked.alias("d")).agg(F.max(size).alias("n")).where(F.col("d").isin(*known)).collect()}
+        found = None
+        for name, limit in sorted(most.items()):
+            rows = envelope.matrix_rows(envelopes.where(asked == name), "blob", "uuid")
+            flat = rows.select("uuid", F.explode(F.expr("sequence(6, size(values) - 2, 2)")).alias("i"), "values").where("size(values) > 7")
+            terms = flat.select("uuid", F.get("values", F.col("i")).cast("int").alias("word"), F.get("values", F.col("i") + 1).cast("double").alias("weight"))
+            hist = bow.histogram(terms.withColumnRenamed("uuid", "image_id")).select(F.col("image_id").alias("id"), "word", "value")
+            ranking = search.top(hist, known[name][0], mode, list_size=limit).join(sizes, "query_id").where("rank <= list_size").drop("list_size")
+            lists = search.result_lists(ranking, known[name][1]).select(F.col("query_id").alias("uuid"), "result")
+            found = lists if found is None else found.unionByName(lists)
+        out = envelopes.drop("result").join(found, "uuid", "left") if found is not None else envelopes
+        out = failed(out, head().match.isNull(), "no match configuration")
+        return failed(out, head().match.isNotNull() & ~asked.isin(*known), "unknown database")
 
     return stage
 
