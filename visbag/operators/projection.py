@@ -41,20 +41,22 @@ def pca(features: DataFrame, column: str, n: int) -> tuple[np.ndarray, np.ndarra
     return vectors[:, order].T, values[order]
 
 
-def pairs(features: DataFrame, column: str, label: str, n: int, same: bool, key: str = "feature_id", seed: int = 1) -> DataFrame:
-    """About ``n`` random pairs (columns a, b: arrays) of one class, or of two; by neighbours in a seeded order.
+def pairs(features: DataFrame, column: str, label: str, n: int | None, same: bool, key: str = "feature_id", seed: int = 1) -> DataFrame:
+    """About ``n`` random pairs (columns a, b: arrays) of one class, or of two (all that the order gives if ``n`` is None);
+    by neighbours in a seeded order.
 
     Each of up to 2n drawn features is paired with the next ones in the hash order of its class (or overall), so
     the join is on positions, never all against all. Classes of one are without pairs.
     """
-    total = features.count()
+    from .kmeans import drawn_hash
+
     drawn = features.where(F.col(label).isNotNull()).select(F.col(key).alias("k"), F.col(label).alias("l"), F.col(column).alias("v"))
-    part = max(1, total // max(1, 2 * n))
-    drawn = drawn.where(F.pmod(F.xxhash64("k", F.lit(seed)), F.lit(part)) == 0)
-    order = Window.partitionBy("l" if same else F.pmod(F.xxhash64("k", F.lit(seed + 1)), F.lit(64))).orderBy(F.xxhash64("k", F.lit(seed + 2)), "k")
+    if n is not None:
+        drawn = drawn.where(F.pmod(F.xxhash64("k", F.lit(seed)), F.lit(max(1, features.count() // max(1, 2 * n)))) == 0)
+    order = Window.partitionBy("l" if same else F.substring(drawn_hash("k", seed + 1), 1, 2)).orderBy(drawn_hash("k", seed + 2), "k")
     ahead = [F.lead(F.struct("l", "v"), d).over(order) for d in (1, 2, 3)]
     rows = drawn.select("l", F.col("v").alias("a"), F.array(*ahead).alias("next")).select("l", "a", F.explode("next").alias("o")).where("o is not null")
-    return rows.where(F.col("l") == F.col("o.l") if same else F.col("l") != F.col("o.l")).select("a", F.col("o.v").alias("b")).limit(n)
+    return rows.where(F.col("l") == F.col("o.l") if same else F.col("l") != F.col("o.l")).select("a", F.col("o.v").alias("b")).transform(lambda x: x if n is None else x.limit(n))
 
 
 def ldp(features: DataFrame, column: str, label: str, n: int, key: str = "feature_id", seed: int = 1, unit: bool = False, pair_count: int = PAIRS) -> tuple[np.ndarray, np.ndarray]:

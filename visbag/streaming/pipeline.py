@@ -133,8 +133,9 @@ def run(envelopes: DataFrame, stages: list[Stage]) -> DataFrame:
     return envelopes
 
 
-def start(envelopes: DataFrame, stages: list[Stage], out: str, dead: str, checkpoint: str):
-    """A running query: each batch goes through the stages, to a folder for each next queue; the dead letters apart."""
+def start(envelopes: DataFrame, stages: list[Stage], out: str, dead: str, checkpoint: str, once: bool = False):
+    """A running query: each batch goes through the stages, to a folder for each next queue; the dead letters apart.
+    ``once``: it ends when what is there has been taken."""
 
     def batch(rows: DataFrame, number: int) -> None:
         alive, lost = dead_letters(rows)
@@ -142,4 +143,5 @@ def start(envelopes: DataFrame, stages: list[Stage], out: str, dead: str, checkp
         run(alive.select(*ids), stages).write.mode("overwrite").partitionBy("next_queue").json(f"{out}/batch={number}")
         lost.select(*ids).write.mode("overwrite").json(f"{dead}/batch={number}")
 
-    return envelopes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
+    writer = envelopes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
