@@ -185,6 +185,30 @@ def test_projections(spark):
     assert statistics.covariance(df.limit(0), "descriptor")[2] == 0
 
 
+def test_tree_nodes_by_their_own_rows(spark):
+    """Statistics of a level's nodes, a block of nodes at a time, against numpy; directions; label subsets."""
+    _, x, _, feats = book_and_features(spark, n=300)
+    x, labels = x.astype(np.float64), (x[:, 0] > 0).astype(int)
+    rows = feats.select("label", F.col("descriptor").alias("x"), F.xxhash64("descriptor").alias("key"))
+    decided = [{"dim1": 1, "threshold": 0.0, "left_node": 1, "right_node": 2}, None, None]
+    got = trees._node_stats(rows, "TERC", decided, [1, 2], 5, 4, True)
+    for n, mine in ((1, x[:, 1] <= 0), (2, x[:, 1] > 0)):
+        v = x[mine]
+        assert got[n].n == len(v) and np.allclose(got[n].mean, v.mean(0)) and np.allclose(got[n].deviation, v.std(0)) and np.allclose(got[n].products, v.T @ v)
+        assert all(np.allclose(got[n].classes[c][1:], v[labels[mine] == c].sum(0)) for c in (0, 1)) and len(got[n].drawn) == 4
+        assert all(np.abs(v - d).sum(1).min() < 1e-6 for d in got[n].drawn)
+        values, directions = got[n].directions("PCA")
+        assert np.allclose(values, np.linalg.eigvalsh(np.cov(v, rowvar=False, bias=True))[::-1])
+        assert abs(got[n].directions("LDP")[1][0][0]) > 0.9  # the dimension that tells the labels apart
+    rng = np.random.default_rng(1)
+    turns = np.bincount([trees.wheel(rng, np.array([2.0, 1.0, -5.0, 9.0]), 3) for _ in range(2000)], minlength=4)
+    assert turns[2] == turns[3] == 0 and 0.75 < turns[0] / 2000 < 0.85
+    whole, few = (trees.grown(feats, "TERC", tries=4, levels=4, seed=3, classes=c) for c in (0, 5))
+    assert whole == few and trees.grown(feats, "TPC", tries=2, levels=2, seed=3, random_threshold=False, method="ScWithError")
+    with pytest.raises(ValueError):
+        trees.grown(feats, "TERC", method="ScWithError")
+
+
 def test_trees(spark):
     _, _, _, feats = book_and_features(spark, n=300)
     for kind, options in (("TERC", {}), ("TERC", {"random_threshold": False}), ("TCMP", {}), ("TPC", {}), ("TPC", {"directions": "PCA"}), ("TPC", {"directions": "LDP"})):

@@ -1,8 +1,8 @@
 """Randomised clustering trees, grown a level at a time: all nodes of a level at once, as Spark aggregates.
 
 Three kinds of tests send a row left: TERC x[dim1] <= threshold; TCMP x[dim1] <= x[dim2]; TPC projection . x <= threshold.
-Node tables (``visbag.schema.NODES``) are small: a level has at most 2^depth nodes, depth at most MAX_LEVELS. Rows
-carry only their node; each level scores all nodes' candidate tests from counts by (node, test, label).
+Node tables (``visbag.schema.NODES``) are small: a level has at most 2^depth nodes. Rows carry only their node; each level
+scores its nodes' candidate tests from counts by (node, test, label); with best thresholds, from the tests' values.
 Randomness is seeded. Words are numbered depth-first, left to right.
 """
 
@@ -16,9 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import NODES
-from . import information, projection
+from . import information
 
-MAX_LEVELS, LEAST_SCORE, BINS, MOST = 16, 1e-6, 500, 5.0
+LEAST_SCORE, AT_ONCE = 1e-6, 256
+BINS, MOST = 500, 5.0  # fixed values, like the half step of the tail table below
 KINDS = ("TERC", "TCMP", "TPC")
 
 
@@ -44,19 +45,115 @@ def _values(x: np.ndarray, kind: str, test: dict) -> np.ndarray:
     return x @ np.asarray(test["projection"], np.float64)
 
 
-def _tests(rng, kind: str, dims: int, tries: int, means: np.ndarray, deviations: np.ndarray, directions: list) -> list[dict]:
-    out = []
-    for i in range(tries):
+class NodeStats:
+    """What a node's own rows give its tests: count, sums, sums of squares, drawn rows, and for directions the sums of
+    products and of each class."""
+
+    def __init__(self, dims: int):
+        self.n, self.sums, self.squares, self.products, self.drawn, self.classes = 0.0, np.zeros(dims), np.zeros(dims), None, np.zeros((0, dims)), {}
+
+    @property
+    def mean(self) -> np.ndarray:
+        return self.sums / max(self.n, 1)
+
+    @property
+    def deviation(self) -> np.ndarray:
+        return np.sqrt(np.maximum(self.squares / max(self.n, 1) - self.mean**2, 0))
+
+    def directions(self, method: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """Eigenvalues, the largest first, and directions (rows): of the covariance (PCA), or of the scatter of all
+        pairs over that of pairs of one class (LDP). None if there are none."""
+        total = self.products / self.n - np.outer(self.mean, self.mean)
+        if method == "PCA":
+            values, vectors = np.linalg.eigh(total)
+            return values[::-1], vectors.T[::-1]
+        within = self.products / self.n - sum(np.outer(c[1:], c[1:]) / c[0] for c in self.classes.values()) / self.n
+        trace = float(np.trace(within)) / len(within)
+        if trace <= 0 or len(self.classes) < 2:
+            return None
+        white = np.linalg.inv(np.linalg.cholesky(within + 1e-6 * trace * np.eye(len(within))))
+        values, vectors = np.linalg.eigh(white @ total @ white.T)
+        rows = (white.T @ vectors[:, ::-1]).T
+        return values[::-1], rows / np.linalg.norm(rows, axis=1, keepdims=True)
+
+
+def wheel(rng, values: np.ndarray, most: int) -> int:
+    """A roulette wheel: a place drawn by the squares of the first ``most`` values, negative ones read as 0."""
+    upto = np.cumsum(np.maximum(values[:most], 0) ** 2)
+    return int(min(np.searchsorted(upto, rng.random() * upto[-1]), len(upto) - 1))
+
+
+def _tests(rng, kind: str, dims: int, tries: int, stats: NodeStats | None, method: str) -> list[dict]:
+    """The tests that a node tries, in order."""
+    out, chosen = [], None
+    if kind == "TPC" and method in ("PCA", "LDP"):
+        found = stats.directions(method)
+        if found is None or found[0][0] <= 1e-5:
+            return []
+        chosen = found[1][wheel(rng, found[0], tries)]
+    for _ in range(tries):
         if kind == "TERC":
             d = int(rng.integers(dims))
-            out.append({"dim1": d, "threshold": float(rng.normal(means[d], max(deviations[d], 1e-12)))})
+            out.append({"dim1": d, "threshold": float(rng.normal(stats.mean[d], stats.deviation[d]))})
         elif kind == "TCMP":
             a, b = rng.choice(dims, 2, replace=dims < 2)
             out.append({"dim1": int(a), "dim2": int(b), "threshold": 0.0})
         else:
-            p = np.asarray(directions[i % len(directions)]) if directions else rng.standard_normal(dims)
+            p = chosen if chosen is not None else rng.standard_normal(dims)
             p = p / max(np.linalg.norm(p), 1e-12)
-            out.append({"projection": p.tolist(), "threshold": float(rng.normal(p @ means, max(math.sqrt(float((p * deviations) @ (p * deviations))), 1e-12)))})
+            out.append({"projection": p.tolist(), "threshold": float(p @ stats.drawn[int(rng.integers(len(stats.drawn)))])})
+    return out
+
+
+_STATS = "node int, what int, label int, key bigint, v array<double>"
+
+
+def _node_stats(rows: DataFrame, kind: str, decided: list, wanted: list[int], dims: int, draws: int, products: bool) -> dict[int, NodeStats]:
+    """Statistics of the nodes ``wanted``: sums by task, then by node; ``draws`` rows of each, by their hash."""
+    decided, wanted = list(decided), set(wanted)
+    own = pa.schema([("node", pa.int32()), ("what", pa.int32()), ("label", pa.int32()), ("key", pa.int64()), ("v", pa.list_(pa.float64()))])
+
+    def run(batches):
+        sums: dict[tuple, np.ndarray] = {}
+        drawn: dict[int, tuple] = {}
+        for batch in batches:
+            x, labels, keys = _batches(batch, "x"), batch.column("label").to_numpy(), batch.column("key").to_numpy()
+            at = _descend(x, kind, decided)
+            for n in wanted & set(np.unique(at).tolist()):
+                here = np.flatnonzero(at == n)
+                v = x[here]
+                parts = {(n, 0, 0): np.concatenate([[len(v)], v.sum(0), (v * v).sum(0)])}
+                if products:
+                    parts[n, 1, 0] = (v.T @ v).reshape(-1)
+                    for c in np.unique(labels[here]).tolist():
+                        mine = v[labels[here] == c]
+                        parts[n, 2, c] = np.concatenate([[len(mine)], mine.sum(0)])
+                for k, p in parts.items():
+                    sums[k] = sums[k] + p if k in sums else p
+                if draws:
+                    k, r = (np.concatenate(z) for z in zip((keys[here], v), drawn[n])) if n in drawn else (keys[here], v)
+                    least = np.argsort(k, kind="stable")[:draws]
+                    drawn[n] = k[least], r[least]
+        found = [(n, w, c, 0, v.tolist()) for (n, w, c), v in sums.items()] + [(n, 3, 0, k, r.tolist()) for n, (ks, rs) in drawn.items() for k, r in zip(ks.tolist(), rs)]
+        yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], own[i].type) for i in range(5)], schema=own)
+
+    def added(table: pa.Table) -> pa.Table:
+        if table.column("what")[0].as_py() == 3:
+            return table.sort_by("key").slice(0, draws)
+        v = np.array(table.column("v").to_pylist()).sum(0)
+        return pa.table([*(table.column(c)[:1] for c in ("node", "what", "label", "key")), pa.array([v.tolist()], pa.list_(pa.float64()))], schema=own)
+
+    out: dict[int, NodeStats] = {}
+    for r in rows.mapInArrow(run, _STATS).groupBy("node", "what", "label").applyInArrow(added, _STATS).collect():  # of AT_ONCE nodes at most
+        node, v = out.setdefault(r.node, NodeStats(dims)), np.array(r.v)
+        if r.what == 0:
+            node.n, node.sums, node.squares = v[0], v[1 : dims + 1], v[dims + 1 :]
+        elif r.what == 1:
+            node.products = v.reshape(dims, dims)
+        elif r.what == 2:
+            node.classes[r.label] = v
+        else:
+            node.drawn = np.vstack([node.drawn, v])
     return out
 
 
@@ -65,58 +162,63 @@ def _batches(batch: pa.RecordBatch, column: str) -> np.ndarray:
     return c.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(c), -1)
 
 
-def grown(samples: DataFrame, kind: str, tries: int = 20, levels: int = 8, least: float = 1.0, method: str = "Sc", random_threshold: bool = True, directions: str = "", seed: int = 1, column: str = "descriptor", label: str = "label", tree: int = 0) -> list[dict]:
+def grown(samples: DataFrame, kind: str, tries: int = 20, levels: int = 8, least: float = 1.0, method: str = "Sc", random_threshold: bool = True, directions: str = "", seed: int = 1, column: str = "descriptor", label: str = "label", tree: int = 0, classes: int = 0) -> list[dict]:
     """Node rows of one tree. ``least``: of the tests in order, the first to score it is taken, else the best.
 
-    A node stays a leaf at the last level, with fewer than 2 rows, or if no test scores over LEAST_SCORE.
-    ``directions`` (TPC): "" or RND or RANDOM for random ones, PCA or LDP for those of the whole sample.
-    ``random_threshold`` False: each test's threshold is the best one for it.
+    A node stays a leaf at the last level, with fewer than 2 rows, or if no test scores over LEAST_SCORE. Thresholds and
+    directions come from the node's own rows: TERC draws from a normal of their mean and deviation in the dimension, TPC
+    takes the projected value of one of them. ``directions`` (TPC): "" or RND or RANDOM for random ones; PCA or LDP for
+    one of the node's leading ones, drawn by a roulette wheel. ``random_threshold`` False: each test's threshold is the
+    best one for it. ``classes``: only rows of so many drawn labels (below 2: of all). A level's nodes are taken AT_ONCE
+    at a time, so what reaches the driver does not grow with the depth.
     """
     if kind not in KINDS:
         raise ValueError(f"unknown kind {kind!r}; one of {KINDS}")
     information.checked(method)
+    if method == "ScWithError" and (random_threshold or kind == "TCMP"):
+        raise ValueError("ScWithError scores orders of values: it needs random_threshold=False")
     if directions not in ("", "RND", "RANDOM", "PCA", "LDP"):
         raise ValueError(f"unknown directions {directions!r}")
-    spark = samples.sparkSession
-    rows = samples.where(F.col(column).isNotNull() & F.col(label).isNotNull()).select(F.monotonically_increasing_id().alias("id"), F.col(label).cast("int").alias("label"), F.col(column).alias("x"))
-    from .statistics import covariance
+    from .statistics import label_subset
 
-    means, cov, count = covariance(rows, "x")
-    if not count:
+    rows = label_subset(samples.where(F.col(column).isNotNull() & F.col(label).isNotNull()), label, classes, seed)
+    rows = rows.select(F.col(label).cast("int").alias("label"), F.col(column).alias("x"), F.xxhash64(F.col(column), F.lit(seed)).alias("key"))
+    first = rows.select(F.size("x").alias("n")).first()
+    if first is None:
         return []
-    dims, deviations = len(means), np.sqrt(np.maximum(np.diag(cov), 0))
-    chosen = []
-    if kind == "TPC" and directions in ("PCA", "LDP"):
-        n = min(dims, tries)
-        found = projection.pca(rows, "x", n) if directions == "PCA" else projection.ldp(rows, "x", "label", n, key="id", seed=seed)
-        chosen = list(found[0])
-    rng = np.random.default_rng(seed)
+    dims, rng = first.n, np.random.default_rng(seed)
     nodes = [{"tree": tree, "node": 0}]
     decided: list[dict | None] = [None]
     level = [0]
-    for depth in range(min(levels, MAX_LEVELS)):
-        if not level:
-            break
-        tests = {n: _tests(rng, kind, dims, tries, means, deviations, chosen) for n in level}
-        if not random_threshold and kind != "TCMP":
-            tests = _best_thresholds(rows, kind, decided, tests, method)
-        counts = _counts(rows, kind, decided, tests)
-        scores = information.split_scores(counts, method, "node", "test").where("score is not null").collect()
-        by_node: dict[int, list] = {}
-        for r in scores:
-            by_node.setdefault(r.node, []).append((r.test, r.score))
-        following = []
-        for n in level:
-            found = sorted(by_node.get(n, []))
-            good = next(((t, s) for t, s in found if s >= least), None) or max(found, key=lambda x: (x[1], -x[0]), default=None)
-            if good is None or good[1] <= LEAST_SCORE:
+    for _ in range(levels):
+        following, before = [], list(decided)
+        for at in range(0, len(level), AT_ONCE):
+            own = level[at : at + AT_ONCE]
+            stats: dict = {}
+            if kind != "TCMP":
+                stats = _node_stats(rows, kind, before, own, dims, tries if kind == "TPC" else 0, directions in ("PCA", "LDP"))
+            tests = {n: _tests(rng, kind, dims, tries, stats.get(n), directions) for n in own if kind == "TCMP" or n in stats and stats[n].n >= 2}
+            tests = {n: t for n, t in tests.items() if t}
+            if not tests:
                 continue
-            nodes[n] |= tests[n][good[0]] | {"left_node": len(nodes), "right_node": len(nodes) + 1}
-            decided[n] = nodes[n]
-            following += [len(nodes), len(nodes) + 1]
-            nodes += [{"tree": tree, "node": len(nodes)}, {"tree": tree, "node": len(nodes) + 1}]
-            decided += [None, None]
+            scores = None
+            if not random_threshold and kind != "TCMP":
+                tests, scores = _best_thresholds(rows, kind, before, tests, method)
+            if method != "ScWithError":
+                scores = {(r.node, r.test): r.score for r in information.split_scores(_counts(rows, kind, before, tests), method, "node", "test").where("score is not null").collect()}
+            for n in own:
+                found = sorted((t, s) for (m, t), s in scores.items() if m == n)
+                good = next(((t, s) for t, s in found if s >= least), None) or max(found, key=lambda x: (x[1], -x[0]), default=None)
+                if good is None or good[1] <= LEAST_SCORE:
+                    continue
+                nodes[n] |= tests[n][good[0]] | {"left_node": len(nodes), "right_node": len(nodes) + 1}
+                decided[n] = nodes[n]
+                following += [len(nodes), len(nodes) + 1]
+                nodes += [{"tree": tree, "node": len(nodes)}, {"tree": tree, "node": len(nodes) + 1}]
+                decided += [None, None]
         level = following
+        if not level:
+            break
     if kind == "TPC":
         _deviations(rows, decided, nodes)
     return assign_words(_folded(nodes))
@@ -157,7 +259,8 @@ def _counts(rows: DataFrame, kind: str, decided: list, tests: dict[int, list[dic
     return parts.groupBy("node", "test", "label").agg(F.sum("left").alias("left"), F.sum("right").alias("right"))
 
 
-def _best_thresholds(rows: DataFrame, kind: str, decided: list, tests: dict[int, list[dict]], method: str) -> dict:
+def _best_thresholds(rows: DataFrame, kind: str, decided: list, tests: dict[int, list[dict]], method: str) -> tuple[dict, dict]:
+    """The tests with their best thresholds, and the scores of these by (node, test)."""
     decided, width = list(decided), max(map(len, tests.values()))
 
     def run(batches):
@@ -170,8 +273,9 @@ def _best_thresholds(rows: DataFrame, kind: str, decided: list, tests: dict[int,
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(here), n * width + t)), labels.take(pa.array(here)), pa.array(_values(x[here], kind, test))], ["node", "label", "val"])
 
     values = rows.select("label", "x").mapInArrow(run, "node bigint, label int, val double")
-    best = {r.node: r.threshold for r in information.best_threshold(values, method).collect()}
-    return {n: [test | {"threshold": float(best.get(n * width + t, test["threshold"]))} for t, test in enumerate(own)] for n, own in tests.items()}
+    best = {r.node: r for r in information.best_threshold(values, method).collect()}
+    better = {n: [test | {"threshold": float(best[n * width + t].threshold if n * width + t in best else test["threshold"])} for t, test in enumerate(own)] for n, own in tests.items()}
+    return better, {(k // width, k % width): r.score for k, r in best.items()}
 
 
 def _deviations(rows: DataFrame, decided: list, nodes: list[dict]) -> None:
@@ -271,7 +375,7 @@ def words(rows: DataFrame, nodes: list[dict], kind: str, column: str = "descript
     return rows.mapInArrow(run, rows.withColumn("tree_words", F.expr("cast(null as array<int>)")).schema)
 
 
-def descended(rows: DataFrame, nodes: DataFrame, key: str, column: str, levels: int = MAX_LEVELS) -> DataFrame:
+def descended(rows: DataFrame, nodes: DataFrame, key: str, column: str, levels: int = 16) -> DataFrame:
     """key, tree, word of single-dimension trees by built-in joins alone: one broadcast join a level."""
     at = rows.select(key, column).join(F.broadcast(nodes.select("tree").distinct())).withColumns({"node": F.lit(0), "word": F.lit(None).cast("int")})
     table = nodes.select("tree", "node", "left_node", "right_node", "left_word", "right_word", "dim1", "dim2", "threshold")
