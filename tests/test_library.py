@@ -337,3 +337,72 @@ def test_no_module_needs_the_llm_folder():
     root = Path(__file__).resolve().parents[1]
     code = "import sys; sys.modules['visbag.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert len(e.queries()) > 50 and len(e.oracle_sql()) > 50"
     assert subprocess.run([sys.executable, "-c", code], cwd=root).returncode == 0
+
+
+def png(image: np.ndarray, kind: int) -> bytes:
+    """A PNG whose lines all use one filter."""
+    import struct
+    import zlib
+
+    depth, out, x = image.shape[2], b"", image.astype(np.int64)
+    for y in range(len(x)):
+        left = np.vstack([np.zeros((1, depth), int), x[y, :-1]])
+        up = x[y - 1] if y else np.zeros_like(x[y])
+        corner = np.vstack([np.zeros((1, depth), int), up[:-1]])
+        guess = left + up - corner
+        a, b, c = abs(guess - left), abs(guess - up), abs(guess - corner)
+        paeth = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
+        out += bytes([kind]) + ((x[y] - (0, left, up, (left + up) // 2, paeth)[kind]) & 255).astype(np.uint8).tobytes()
+    part = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
+    head = struct.pack(">IIBBBBB", image.shape[1], image.shape[0], 8, {1: 0, 3: 2, 4: 6}[depth], 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(out)) + part(b"IEND", b"")
+
+
+def test_keypoints(spark, tmp_path):
+    from visbag.sources import keypoints
+
+    rng = np.random.default_rng(4)
+    color = rng.integers(0, 256, (9, 7, 3), dtype=np.uint8)
+    want = np.rint(color @ np.array(keypoints.WEIGHTS)).astype(np.uint8)
+    for kind in range(5):
+        assert np.array_equal(keypoints.grey(png(color, kind)), want)
+    assert np.array_equal(keypoints.grey(png(np.dstack([color, color[:, :, :1]]), 4)), want)
+    assert np.array_equal(keypoints.grey(b"P6 7 9 255\n" + color.tobytes()), want)
+    assert np.array_equal(keypoints.grey(b"P5\n# c\n7 9\n255\n" + want.tobytes()), want)
+    for bad in (b"", b"P5 1", b"\x89PNG\r\n\x1a\n"):
+        with pytest.raises(Exception):
+            keypoints.grey(bad)
+    (tmp_path / "a.png").write_bytes(png(color, 1))
+    row = keypoints.grey_images(spark, str(tmp_path)).first()
+    assert (row.height, row.width) == (9, 7) and np.abs(np.array(row["values"]).reshape(9, 7) - want.astype(int)).max() <= 1
+    image = np.kron(rng.integers(0, 256, (12, 12)), np.ones((10, 10))).astype(np.uint8)
+    moved = np.roll(image, (10, 10), (0, 1))
+    points, values = keypoints.described(image)
+    others, found = keypoints.described(moved)
+    assert len(points) > 10 and np.allclose(np.linalg.norm(values, axis=1), 1, atol=1e-5)
+    at = {(p[0], p[1], p[5]): v for p, v in zip(others, found)}
+    same = [np.abs(v - at[p[0] + 10, p[1] + 10, p[5]]).max() < 1e-5 for p, v in zip(points, values) if (p[0] + 10, p[1] + 10, p[5]) in at]
+    assert len(same) > 5 and sum(same) / len(same) > 0.9
+    images = spark.createDataFrame([(1, bytearray(b"P5 120 120 255\n" + image.tobytes())), (2, bytearray(b"x")), (3, None)], "image_id bigint, image binary")
+    got = envelope.extracted(images, keypoints.extract)
+    assert {r.image_id for r in got.collect()} == {1} and got.count() == len(points)
+
+
+def test_requests_choose_neighbours_and_database(spark):
+    book = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(4)], "word int, center array<float>")
+    rows = np.array([[0, 0, 1, 0, 0, 0, 0.4, 0.0], [0, 0, 1, 0, 0, 0, 2.2, 0.0]], "<f4")
+    slip = lambda k, db: [("bow", None, (k,) if k is not None else None, None, None), ("search", None, None, (2, db), None)]
+    from visbag.schema import ENVELOPE
+
+    data = [(str(i), None, slip(k, db), [], 0, None, "back", None, ([8, 2], bytearray(rows.tobytes())), None) for i, (k, db) in enumerate(((2, ""), (None, "other"), (0, "none")))]
+    envelopes = spark.createDataFrame(data, ENVELOPE)
+    worded = pipeline.words_stage(book, 1.0, 3)(envelopes)
+    size = {r.uuid: r.blob.dim[0] for r in worded.collect()}
+    assert size == {"0": 6 + 2 * 2, "1": 6 + 2 * 3, "2": 6 + 2 * 3}
+    base = spark.createDataFrame([(10, 1, 0.5), (11, 2, 0.5)], "id bigint, word int, value double")
+    other = spark.createDataFrame([(20, 1, 0.5)], "id bigint, word int, value double")
+    names = spark.createDataFrame([(10, "a"), (11, "b"), (20, "c")], "item_id bigint, name string")
+    asked = pipeline.routed(worded).select(*(f.name for f in ENVELOPE.fields))
+    got = {r.uuid: r for r in pipeline.search_stage(base, names, databases={"other": (other, names)})(asked).collect()}
+    assert {x.url[-1] for x in got["0"].result} == {"a", "b"} and [x.url[-1] for x in got["1"].result] == ["c"]
+    assert got["2"].result is None and got["2"].errorCode == 10 and "unknown database" in got["2"].message

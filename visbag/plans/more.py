@@ -13,7 +13,7 @@ from ..functions import distance as D
 from ..functions import vectors as V
 from ..operators import bow, codebook, information, kmeans, projection, search, statistics, trees
 from ..schema import ENVELOPE, HEADER
-from ..sources import envelope, text_files, vector_file
+from ..sources import envelope, queue, text_files, vector_file
 from ..streaming import pipeline
 from . import queries as Q
 
@@ -294,8 +294,19 @@ def stream_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("uuid", "next_queue", "errorCode", F.size("configuration").alias("left_over"))
 
 
+def queue_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The envelopes published to a queue and its return queue, and the first taken from there as a stream."""
+    path = scratch(spark)
+    transport = queue.Transport(spark, f"{path}/broker", "features")
+    coded = envelope.encode(_envelopes(spark, sf_dir))
+    transport.publish(coded.withColumn("queue", F.when(F.pmod(F.col("uuid").cast("bigint"), F.lit(3)) == 0, F.lit("back")).otherwise(F.lit("features"))))
+    taken = envelope.decode(transport.incoming()).select("uuid", F.size("configuration").alias("steps"))
+    taken.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("uuid string, steps int").parquet(f"{path}/out")
+
+
 QUERIES = {f.__name__: f for f in (
     covariance_matrix, change_ratio, sample_without_replacement, sample_with_replacement, label_subset, pairs_same_class, pairs_two_classes, roulette_wheel, split_score_sc_with_error, best_threshold_sc_with_error,
     sparse_l2sq, norm_by_name, vector_rows, word_range, search_names, blob_round_trip, header_split, envelope_round_trip, malformed_messages, dead_letter_split, message_log, vector_file_round_trip, vector_file_lookup,
-    codebook_file_round_trip, tree_assign_tcmp, tree_assign_tpc, tree_soft_words, normal_tail, forest_file_round_trip, kmeans_from_first, dummy_features, stream_route,
+    codebook_file_round_trip, tree_assign_tcmp, tree_assign_tpc, tree_soft_words, normal_tail, forest_file_round_trip, kmeans_from_first, dummy_features, stream_route, queue_round_trip,
 )}

@@ -105,5 +105,6 @@ SELECT vec_id, word, round(weight, 5) AS weight FROM (SELECT vec_id, unnest([0,
     "forest_file_round_trip": " UNION ALL ".join(f"SELECT vec_id, '{k}' AS kind, ({x})::INT AS word FROM {E}" for k, x in (("TERC", TERC), ("TCMP", TCMP), ("TPC", TPC))),
     "kmeans_from_first": f"{_two_steps} SELECT word, dim::INT AS dim, round(m::DOUBLE, 3) + 0.0 AS c FROM m1",
     "dummy_features": f"SELECT (i // 50)::INT AS row, (i % 50)::INT AS col, round((i * 3.1415926::DOUBLE)::FLOAT::DOUBLE, 1) AS v FROM range((SELECT count(DISTINCT vec_id // 10) * 50 FROM {E})) r(i)",
+    "queue_round_trip": f"SELECT vec_id::VARCHAR AS uuid, (label % 4)::INT AS steps FROM {E} WHERE vec_id % 3 <> 0",
     "stream_route": f"SELECT vec_id::VARCHAR AS uuid, CASE label % 4 WHEN 2 THEN 'bow' WHEN 3 THEN 'bow' ELSE 'back' END AS next_queue, (CASE label % 4 WHEN 0 THEN 10 ELSE 0 END)::BIGINT AS errorCode, greatest(label % 4 - 1, 0)::INT AS left_over FROM {E}",
 }
