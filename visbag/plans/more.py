@@ -89,6 +89,34 @@ def best_threshold_sc_with_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("node", Q.r6(F.col("threshold")).alias("threshold"), Q.r6(F.col("score")).alias("score"))
 
 
+def pca_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The variances along all principal directions add up to those along the dimensions."""
+    _, values = projection.pca(Q.embeddings(spark, sf_dir), "embedding", 64)
+    return spark.createDataFrame([(float(values.sum()), bool((values[:-1] >= values[1:]).all()))], "total double, falling boolean").select(Q.r6(F.col("total")).alias("total"), "falling")
+
+
+def project_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The projection of ``project_linear`` as a matrix product a batch."""
+    import numpy as np
+
+    rows = projection.applied(Q.embeddings(spark, sf_dir).select("vec_id", "embedding"), np.array(Q.WEIGHTS), "embedding")
+    return rows.select("vec_id", F.posexplode("embedding").alias("component", "p")).select("vec_id", "component", F.round(F.col("p").cast("double"), 4).alias("p") + F.lit(0.0)).toDF("vec_id", "component", "p")
+
+
+def knn_by_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest words by built-in expressions alone."""
+    out = codebook.nearest_join(Q.features(spark, sf_dir), Q.book(spark, sf_dir), 3)
+    return out.select("feature_id", "rank", "word", Q.r6(F.col("distance")).alias("distance"))
+
+
+def base_file_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of the histograms, as thousandths, through a base file."""
+    path = scratch(spark)
+    terms = Q.histograms(spark, sf_dir, 1).select(F.concat(F.lit("image"), F.col("image_id").cast("string")).alias("name"), "word", F.floor(F.round("value", 6) * 1000).cast("long").alias("value"))
+    text_files.write_base(terms, path)
+    return text_files.read_base(spark, path).select("name", "word", Q.r6(F.col("value")).alias("value"))
+
+
 # --- vectors and distances
 
 
@@ -306,7 +334,7 @@ def queue_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    covariance_matrix, change_ratio, sample_without_replacement, sample_with_replacement, label_subset, pairs_same_class, pairs_two_classes, roulette_wheel, split_score_sc_with_error, best_threshold_sc_with_error,
+    covariance_matrix, pca_variance, project_batches, knn_by_expressions, base_file_round_trip, change_ratio, sample_without_replacement, sample_with_replacement, label_subset, pairs_same_class, pairs_two_classes, roulette_wheel, split_score_sc_with_error, best_threshold_sc_with_error,
     sparse_l2sq, norm_by_name, vector_rows, word_range, search_names, blob_round_trip, header_split, envelope_round_trip, malformed_messages, dead_letter_split, message_log, vector_file_round_trip, vector_file_lookup,
     codebook_file_round_trip, tree_assign_tcmp, tree_assign_tpc, tree_soft_words, normal_tail, forest_file_round_trip, kmeans_from_first, dummy_features, stream_route, queue_round_trip,
 )}

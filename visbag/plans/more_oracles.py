@@ -64,10 +64,17 @@ SPREAD = f"sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUB
 CELLS = "SELECT vec_id, dim::INT AS dim, {} AS val FROM (SELECT vec_id, unnest(x) AS val, generate_subscripts(x, 1) - 1 AS dim FROM ({}))"
 _placed = f"(SELECT row_number() OVER (ORDER BY vec_id) - 1 AS vec_id, {{}} AS x FROM {E})"
 _distance = "list_sum(list_transform(list_transform(list_zip(d, center), lambda z: (z[1]-z[2])*(z[1]-z[2])), lambda v: v::DOUBLE))"
-_two_steps = f"WITH {FEATURES}, c0 AS (SELECT (row_number() OVER (ORDER BY feature_id) - 1)::INT AS word, d AS center FROM f ORDER BY feature_id LIMIT 8)"
-for _i in (0, 1):
-    _two_steps += f""", a{_i} AS (SELECT feature_id, word FROM (SELECT feature_id, word, {_distance} AS dist FROM f, c{_i}) QUALIFY row_number() OVER (PARTITION BY feature_id ORDER BY dist, word) = 1),
-m{_i} AS (SELECT word, dim, avg(v::DOUBLE)::FLOAT AS m FROM (SELECT word, unnest(d) AS v, generate_subscripts(d, 1) - 1 AS dim FROM a{_i} JOIN f USING (feature_id)) GROUP BY ALL), c{_i + 1} AS (SELECT word, list(m ORDER BY dim) AS center FROM m{_i} GROUP BY word)"""
+
+
+def lloyd(words: int, iterations: int, order: str) -> str:
+    """Steps of k-means from the first features in an order; the last centers are m<iterations - 1>."""
+    out = f"WITH {FEATURES}, c0 AS (SELECT (row_number() OVER (ORDER BY {order}) - 1)::INT AS word, d AS center FROM f ORDER BY {order} LIMIT {words})"
+    for i in range(iterations):
+        out += f""", a{i} AS MATERIALIZED (SELECT feature_id, word FROM (SELECT feature_id, word, {_distance} AS dist FROM f, c{i}) QUALIFY row_number() OVER (PARTITION BY feature_id ORDER BY dist, word) = 1),
+m{i} AS (SELECT word, dim, avg(v::DOUBLE)::FLOAT AS m FROM (SELECT word, unnest(d) AS v, generate_subscripts(d, 1) - 1 AS dim FROM a{i} JOIN f USING (feature_id)) GROUP BY ALL), c{i + 1} AS MATERIALIZED (SELECT word, list(m ORDER BY dim) AS center FROM m{i} GROUP BY word)"""
+    return out + f" SELECT word, dim::INT AS dim, round(m::DOUBLE, 3) + 0.0 AS c FROM m{iterations - 1}"
+
+
 _pairs = f"SELECT a.vec_id AS a_id, b.vec_id AS b_id FROM o a JOIN o b ON a.part = b.part AND b.i - a.i BETWEEN 1 AND 3"
 _ordered = f"row_number() OVER (PARTITION BY {{0}} ORDER BY {drawn('vec_id', SEED + 2)}, vec_id) AS i FROM {E} WHERE label IS NOT NULL"
 
@@ -103,7 +110,12 @@ s AS (SELECT vec_id, {', '.join(f'{left(n)} AS s{n}' for n in _tpc)} FROM v)
 SELECT vec_id, word, round(weight, 5) AS weight FROM (SELECT vec_id, unnest([0, 1, 2, 3]) AS word, unnest([s0 * s1, s0 * (1 - s1), (1 - s0) * s2, (1 - s0) * (1 - s2)]) AS weight FROM s) WHERE weight > 0""",
     "normal_tail": f"WITH {TAIL} SELECT vec_id, round({tail('(embedding[1]::DOUBLE * 10)')}, 5) AS tail FROM {E}, tt",
     "forest_file_round_trip": " UNION ALL ".join(f"SELECT vec_id, '{k}' AS kind, ({x})::INT AS word FROM {E}" for k, x in (("TERC", TERC), ("TCMP", TCMP), ("TPC", TPC))),
-    "kmeans_from_first": f"{_two_steps} SELECT word, dim::INT AS dim, round(m::DOUBLE, 3) + 0.0 AS c FROM m1",
+    "kmeans_from_first": lloyd(8, 2, "feature_id"),
+    "kmeans_train": lloyd(16, 3, f"{drawn('feature_id', 1)}, feature_id"),
+    "pca_variance": f"WITH {_flat}, v AS (SELECT dim, var_pop(val::DOUBLE) AS v FROM flat GROUP BY dim) SELECT {r6('sum(v)')} AS total, true AS falling FROM v",
+    "project_batches": f"WITH {PROJECTED} SELECT vec_id, component, round(p::FLOAT::DOUBLE, 4) + 0.0 AS p FROM pr",
+    "knn_by_expressions": f"WITH {BOOK}, {FEATURES}, {NEAR} SELECT feature_id, rank::INT AS rank, word, {r6('dist')} AS distance FROM near WHERE rank <= 3",
+    "base_file_round_trip": soft(1) + " SELECT 'image' || image_id AS name, word, floor(round(value, 6) * 1000)::DOUBLE AS value FROM h",
     "dummy_features": f"SELECT (i // 50)::INT AS row, (i % 50)::INT AS col, round((i * 3.1415926::DOUBLE)::FLOAT::DOUBLE, 1) AS v FROM range((SELECT count(DISTINCT vec_id // 10) * 50 FROM {E})) r(i)",
     "queue_round_trip": f"SELECT vec_id::VARCHAR AS uuid, (label % 4)::INT AS steps FROM {E} WHERE vec_id % 3 <> 0",
     "stream_route": f"SELECT vec_id::VARCHAR AS uuid, CASE label % 4 WHEN 2 THEN 'bow' WHEN 3 THEN 'bow' ELSE 'back' END AS next_queue, (CASE label % 4 WHEN 0 THEN 10 ELSE 0 END)::BIGINT AS errorCode, greatest(label % 4 - 1, 0)::INT AS left_over FROM {E}",
