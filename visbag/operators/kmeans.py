@@ -132,7 +132,7 @@ def supervised(features: DataFrame, target: int, words: int, iterations: int, me
 
 def joint(features: DataFrame, target: int, words: int, iterations: int, key: str = "feature_id", seed: int = 1):
     """(projection rows, codebook): assign, learn a discriminative projection of the clusters, project, take means."""
-    book = trained(features, words, 1, key, seed)
+    book = initial_words(features, words, key, seed)  # random clusters to begin with
     labels = nearest_word(features, book).select(key, F.col("word").alias("label"))
     weights = None
     for i in range(max(1, iterations)):

@@ -126,6 +126,13 @@ def sparse_l2sq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.pairs(spark, sf_dir).select("a_id", "b_id", Q.r6(both).alias("d"))
 
 
+def kernel_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kernel that a name tells: one of four for each pair, by its first id."""
+    a, b = Q.positive(F.col("a")), Q.positive(F.col("b"))
+    chosen = F.element_at(F.array(*(D.KERNELS[n](a, b).cast("double") for n in sorted(D.KERNELS))), F.pmod(F.col("a_id"), F.lit(4)).cast("int") + 1)
+    return Q.pairs(spark, sf_dir).select("a_id", "b_id", Q.r6(chosen).alias("d"))
+
+
 def norm_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The normalisation that a name tells: one of three for each vector."""
     v = F.col("embedding")
@@ -335,6 +342,6 @@ def queue_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     covariance_matrix, pca_variance, project_batches, knn_by_expressions, base_file_round_trip, change_ratio, sample_without_replacement, sample_with_replacement, label_subset, pairs_same_class, pairs_two_classes, roulette_wheel, split_score_sc_with_error, best_threshold_sc_with_error,
-    sparse_l2sq, norm_by_name, vector_rows, word_range, search_names, blob_round_trip, header_split, envelope_round_trip, malformed_messages, dead_letter_split, message_log, vector_file_round_trip, vector_file_lookup,
+    sparse_l2sq, kernel_by_name, norm_by_name, vector_rows, word_range, search_names, blob_round_trip, header_split, envelope_round_trip, malformed_messages, dead_letter_split, message_log, vector_file_round_trip, vector_file_lookup,
     codebook_file_round_trip, tree_assign_tcmp, tree_assign_tpc, tree_soft_words, normal_tail, forest_file_round_trip, kmeans_from_first, dummy_features, stream_route, queue_round_trip,
 )}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .more import CLASSES, DRAWN, RANGE, SEED, TCMP_TREE, TPC_TREE
-from .oracles import BOOK, BYTES, FEATURES, L1_NORM, L2_NORM, NEAR, PAIRS, PROJECTED, SIGMA, THIN, E, _case, _flat, entries, g, r6, ranking, soft
+from .oracles import BOOK, BYTES, DISTANCES, FEATURES, L1_NORM, L2_NORM, NEAR, PAIRS, PROJECTED, SIGMA, THIN, E, _case, _flat, entries, g, r6, ranking, soft
 from .queries import CUT, K, WEIGHTS
 
 
@@ -90,6 +90,7 @@ ORACLES = {
     "split_score_sc_with_error": f"{steps(2)}, s AS (SELECT node, any_value(n) AS n, sum(step) FILTER (val <= 0) AS i, count(*) FILTER (val <= 0) AS l FROM st GROUP BY node) SELECT node, CASE WHEN l > 0 AND l < n THEN {r6('2 * i / ' + halves('l', '(2 * n - l)'))} END AS score FROM s",
     "best_threshold_sc_with_error": f"{steps(1)}, k AS (SELECT node, sum({g('c', 'n')}) AS hc FROM (SELECT dim AS node, label, count(*) AS c, sum(count(*)) OVER (PARTITION BY dim) AS n FROM flat GROUP BY dim, label) GROUP BY node), u AS (SELECT *, sum(step) OVER (PARTITION BY node ORDER BY nth ROWS UNBOUNDED PRECEDING) AS i, lead(val) OVER (PARTITION BY node ORDER BY nth) AS next, {halves('(nth + 1)', '(n - nth - 1)')} AS ht FROM st), b AS (SELECT *, round(2 * i / (hc + ht), 12) AS score FROM u JOIN k USING (node)) SELECT node, {r6('coalesce((val + next) / 2, val)')} AS threshold, {r6('score')} AS score FROM b WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY node ORDER BY score DESC, nth) = 1",
     "sparse_l2sq": f"WITH {PAIRS} SELECT a_id, b_id, {r6(f'list_sum(list_transform(list_zip({THIN.replace("embedding", "a")}, {THIN.replace("embedding", "b")}), lambda z: ((z[1]-z[2])*(z[1]-z[2]))::DOUBLE))')} AS d FROM p",
+    "kernel_by_name": f"WITH p AS (SELECT a_id, b_id, list_transform(a, lambda x: abs(x)) AS a, list_transform(b, lambda x: abs(x)) AS b FROM (WITH {PAIRS} SELECT * FROM p)) SELECT a_id, b_id, CASE a_id % 4 {' '.join(f'WHEN {k} THEN {r6(DISTANCES[n])}' for k, n in enumerate(('dist_l1', 'dist_l2', 'dot', 'dist_x2')))} END AS d FROM p",
     "norm_by_name": entries(f"list_transform(embedding, lambda x: CASE vec_id % 3 WHEN 0 THEN (x::DOUBLE / {L1_NORM.replace('lambda x: abs(x', 'lambda y: abs(y')})::FLOAT WHEN 1 THEN (x::DOUBLE / {L2_NORM.replace('lambda x: x::DOUBLE * x', 'lambda y: y::DOUBLE * y')})::FLOAT ELSE ((x::DOUBLE - {MEAN}) / {SPREAD})::FLOAT END)"),
     "vector_rows": f"SELECT vec_id, 64 AS dimension, true AS dense, 64 AS n, len(list_filter(embedding, lambda x: abs(x::DOUBLE) >= {CUT}))::INT AS sparse_n FROM {E}",
     "word_range": soft(K) + f" SELECT image_id, word, {r6('value')} AS value FROM h WHERE word <= {RANGE}",
