@@ -330,6 +330,11 @@ def test_pipeline(spark, sf):
         out = stage(spark, docs, sf)
         assert out.columns == docs.columns
         got = sorted((r.doc_id, r.text) for r in out.collect())
+        if k == 0:
+            labels = spark.read.parquet(f"{sf}/labels.parquet")
+            model = quality.fit(spark.createDataFrame([(d, t) for d, t in rows if brute.remainder(d, 5)], "doc_id bigint, text string"), labels)
+            score = {d: model.score(quality.statistics(np.frombuffer((t or "").encode(), np.uint8), np.array([0, len((t or "").encode())])))[0] for d, t in rows}
+            assert [d for d, _ in got] == sorted(d for d, _ in rows if score[d] >= corpus_pipeline.LEAST_SCORE)
         if k == 1:
             want = brute.components(rows, 5, 4, 5)
             assert got == sorted((d, t) for d, t in rows if want[d][1] == d)
@@ -342,7 +347,10 @@ def test_pipeline(spark, sf):
             want = brute.contamination(rows, items)
             assert got == sorted((d, t) for d, t in rows if not want[d][4])
         docs, rows = spark.createDataFrame(out.collect(), docs.schema), got
-    assert corpus_pipeline.run(spark, sf).count() == len(rows)
+    encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=byte_bpe.ranks(PATH), special_tokens={})
+    want = {d: encoding.encode_ordinary(t or "") for d, t in rows}
+    tokens = {r.doc_id: r for r in corpus_pipeline.run(spark, sf).collect()}
+    assert len(tokens) == len(rows) and all([int(x) for x in tokens[d].ids.split()] == ids and tokens[d].n_tokens == len(ids) for d, ids in want.items())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

@@ -44,20 +44,20 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def _tables(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}"
+def _tables(spark: SparkSession, kind: str = "tables") -> str:
+    return f"{shared_dir(spark)}/{kind}-{spark.sparkContext.applicationId}"
 
 
 def forgotten(spark: SparkSession) -> None:
-    """Removes the tables that this application has materialised; results that were not written must not be read after."""
+    """Removes the tables that operators of this application have materialised; their results must have been written."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_tables(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialised(df: DataFrame, *partitions: str) -> DataFrame:
+def materialised(df: DataFrame, *partitions: str, kind: str = "tables") -> DataFrame:
     """``df`` written to the shared folder and read again: later plans start from files any executor can read."""
     spark = df.sparkSession
-    path = f"{_tables(spark)}/{uuid.uuid4().hex}"
+    path = f"{_tables(spark, kind)}/{uuid.uuid4().hex}"
     df.write.partitionBy(*partitions).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

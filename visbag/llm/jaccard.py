@@ -434,6 +434,7 @@ def joined(docs: DataFrame, join: Join = Join(), family: int = FAMILY, members:
     lists = lists.repartition(tasks_for(spark, 0, 1), "gram").sortWithinPartitions("gram")
     edges = lists.mapInArrow(_edges(join), "a bigint, b bigint").unionByName(listed.where("kind = 'edge'").select("a", "b"))
     edges = edges.unionByName(rows.where("kind = 'edge'").select("grams", "classes").mapInArrow(_unpacked_edges, "a bigint, b bigint"))
+    edges = materialised(edges)  # a stage with one Python step at a time: executors keep a worker for each
     classes, of_doc = classes.drop("sketch"), of_doc.drop("sketch")
     families = connected(edges).select(F.col("node").alias("class"), F.col("root").alias("family"))
     known = materialised(families.join(classes, "class"))
