@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``.
 Rows whose doc_id is null go by their text in the second stage; of rows that share a doc_id that stage keeps one, the
 first by text; texts may be null or empty (those without words stay). Columns other than those of ``documents`` are left
-out. The first stage learns from the labels that its query learns from.
+out. The first stage learns from the labels that its query learns from. A stage's result must have been written when the
+next one is called: the third removes the tables that the second has left in the shared folder.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from visbag.llm import byte_bpe, decontaminate, jaccard, quality, substring
-from visbag.llm.common import columns, materialised, table
+from visbag.llm.common import columns, forgotten, materialised, table
 
 TYPES = {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"}
 LEAST_SCORE = 0.3
@@ -41,6 +42,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of passages that start in an earlier document go; where none go, the text is left as it is."""
+    forgotten(spark)  # what the join has materialised may be larger than its input
     out = substring.deduplicated(columns(docs, **TYPES), keep=tuple(TYPES))
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
     return out.withColumn("text", text).withColumn("n_chars", F.length("text").cast("bigint")).select(*TYPES)
@@ -73,5 +75,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = materialised(docs)
+            docs = materialised(docs, kind="stages")
     return docs
