@@ -4,7 +4,8 @@ Symbols: 0 ends a document, 1 .. K are frequent words, -1 .. -G the groups of ot
 classes of ``width`` symbols each and the G groups, then a softmax inside the class; what distinguishes the words of a
 group is the caller's. Inputs: the symbol before (0 at the start), other words by their hashes (``tails``, as many as
 groups, TAILS at least). Documents are laid out in streams that run in parallel; the state is carried from window to
-window and cleared where a document starts.
+window and cleared where a document starts. Scores carry it through the whole document; learning clears it after SEGMENT
+tokens too, so that one very long document does not run alone.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import heapq
 
 import numpy as np
 
-HIDDEN, WIDTH, TAILS, WINDOW, STREAMS, STEP, RATE, BLOCK = 32, 16, 8, 24, 512, 6000, 0.05, 1024
+HIDDEN, WIDTH, TAILS, WINDOW, STREAMS, STEP, RATE, BLOCK, SEGMENT, TOKENS = 24, 16, 8, 24, 512, 6000, 0.05, 1024, 1024, 12_288
 
 
 class Model:
@@ -165,7 +166,7 @@ class Model:
             n = int(np.prod(shape))
             grads[name] = flat[at : at + n].reshape(shape)
             at += n
-        for x, target, fresh, _, h, valid in self._windows(symbols, tails, first):
+        for x, target, fresh, _, h, valid in self._windows(symbols, tails, first, SEGMENT):
             _, h[0] = self.window(x, target, fresh, h[0], grads, valid)
             seen += int(valid.sum())
             if seen >= STEP:  # the last streams are few: their windows together make a step
@@ -196,9 +197,18 @@ class Model:
             out[at[valid]] = log_p[valid]
         return out
 
-    def _windows(self, symbols: np.ndarray, tails: np.ndarray, first: np.ndarray):
-        """Windows over streams of whole documents, the longest streams first; h[0] holds their states."""
-        lengths = np.diff(first)
+    def _windows(self, symbols: np.ndarray, tails: np.ndarray, first: np.ndarray, segment: int | None = None):
+        """Windows over streams of whole documents (or their segments), the longest streams first; h[0] holds their states.
+
+        With segments (to learn) windows have WINDOW steps; without, more as fewer streams are left, TOKENS places in all."""
+        before, lengths = np.empty(len(symbols), np.int64), np.diff(first)
+        before[1:] = np.where(symbols[:-1] < 0, self.words + 1 + tails[:-1], symbols[:-1])
+        before[first[:-1][lengths > 0]] = 0
+        if segment is not None:
+            parts = np.maximum(-(-lengths // segment), 1)
+            nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+            first = np.append(np.repeat(first[:-1], parts) + nth * segment, first[-1])
+            lengths = np.diff(first)
         docs = np.argsort(-lengths, kind="stable")
         docs = docs[lengths[docs] > 0]
         if not len(docs):
@@ -209,17 +219,14 @@ class Model:
             load, s = heapq.heappop(heap)
             streams[s].append(d)
             heapq.heappush(heap, (load + int(lengths[d]), s))
-        before = np.empty(len(symbols), np.int64)
-        before[1:] = np.where(symbols[:-1] < 0, self.words + 1 + tails[:-1], symbols[:-1])
         new = np.zeros(len(symbols), bool)
         new[first[:-1][lengths > 0]] = True
-        before[new] = 0
         places = sorted((np.concatenate([np.arange(first[d], first[d + 1]) for d in s]) for s in streams), key=len, reverse=True)
         ends = np.array([len(p) for p in places])
         h, at = [np.zeros((count, HIDDEN), np.float32)], 0
         while at < ends[0]:
             active = int(np.searchsorted(-ends, -at, "left"))
-            steps = int(min(WINDOW, ends[0] - at))
+            steps = int(min(WINDOW if segment is not None else max(WINDOW, TOKENS // active), ends[0] - at))
             step = at + np.arange(steps)[:, None]
             where, valid = np.zeros((steps, active), np.int64), step < ends[:active]
             for k, p in enumerate(places[:active]):
