@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, html_extract, jaccard, language_model, licenses, media, quality, sharding, substring
+from . import byte_bpe, curriculum, decontaminate, html_extract, jaccard, language_model, licenses, media, merkle, quality, sharding, substring, trie
 from .common import columns, table
 from .oracles import ORACLES  # noqa: F401  beside QUERIES
 
@@ -70,4 +70,20 @@ def op10_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("image_id", "vec_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_decontamination, op3_jaccard_join, op4_byte_bpe, op5_lm_score, op6_substring_dedup, op7_quality, op8_license_scan, op9_feistel_shards, op10_image_copies)}
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = curriculum.scheduled(table(spark, sf_dir, "documents"))
+    rows = plan.withColumn("first_position", F.round(F.expr("array_min(transform(passes, p -> p.position))"), 6))
+    rows = rows.repartitionByRange("first_position", "source", "doc_id").sortWithinPartitions("first_position", "source", "doc_id")
+    return rows.select("doc_id", "size", "source_size", "target", "taken", "first_position")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return merkle.manifest(table(spark, sf_dir, "documents"), tampered, merkle.lower_cased(F.col("text")))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_decontamination, op3_jaccard_join, op4_byte_bpe, op5_lm_score, op6_substring_dedup, op7_quality, op8_license_scan, op9_feistel_shards, op10_image_copies, op11_conversation_trie, op12_curriculum, op13_merkle_manifest)}
