@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from visbag.functions import distance as D
+from visbag.functions import sparse
 from visbag.functions import vectors as V
-from visbag.operators import bow, codebook, information, kmeans, projection, search, statistics, trees
+from visbag.operators import bow, codebook, information, kdtree, kmeans, projection, search, statistics, trees
 from visbag.operators.repair import repair_file
 from visbag.schema import ENVELOPE, VECTOR_FILE
 from visbag.sources import envelope, text_files, vector_file
@@ -83,11 +84,57 @@ def test_soft_weights_sum_to_one(spark):
     assert bow.histogram(bow.long_form(soft), 3).where("word > 3").count() == 0
 
 
-def test_approximate_search_recall(spark):
-    _, _, book, feats = book_and_features(spark, words=40)
-    exact = {(r.feature_id, r.word) for r in codebook.long_form(codebook.nearest(feats, book, 3)).collect()}
-    near = {(r.feature_id, r.word) for r in codebook.approximate_nearest(feats, book, 3).collect()}
-    assert len(exact & near) / len(exact) > 0.9
+def test_kd_tree_without_a_limit_is_exact():
+    rng = np.random.default_rng(5)
+    for words, dim, k in ((1, 3, 4), (7, 2, 3), (500, 4, 10), (3000, 16, 5)):
+        centers = np.round(rng.standard_normal((words, dim)), 1).astype(np.float32)  # ties and equal words
+        x = np.round(rng.standard_normal((300, dim)), 1).astype(np.float32)
+        names = rng.permutation(words).astype(np.int64)
+        tree = kdtree.KdTree(names, centers)
+        got_w, got_d, compared = tree.search(x, k)
+        w, d = codebook._best(names, codebook.squared(x, centers), k)
+        assert (got_w == w).all() and (got_d == d).all() and compared.max() <= words
+    assert compared.mean() < words  # boxes spare comparisons
+    assert kdtree.KdTree(np.arange(100), np.ones((100, 2), np.float32)).search(np.zeros((1, 2), np.float32), 100)[0].tolist() == [list(range(100))]
+
+
+def test_kd_tree_recall_at_the_default_limit():
+    """Descriptors lie in clusters, as those of images do; 200 of 20,000 words are compared."""
+    rng = np.random.default_rng(6)
+    middle = rng.standard_normal((400, 32)).astype(np.float32)
+    draw = lambda n: (middle[rng.integers(0, 400, n)] + rng.standard_normal((n, 32)) * 0.25).astype(np.float32)
+    centers, x = draw(20_000), draw(400)
+    tree = kdtree.KdTree(np.arange(20_000), centers)
+    w, _ = codebook._best(np.arange(20_000), codebook.squared(x, centers), 10)
+    recall = {}
+    for visits in (200, 2000):
+        got, _, compared = tree.search(x, 10, visits)
+        assert compared.max() < visits + kdtree.LEAF
+        recall[visits] = np.mean([len(set(a) & set(b)) / 10 for a, b in zip(got.tolist(), w.tolist())])
+    assert recall[200] > 0.7 and recall[2000] > 0.95, recall
+
+
+def test_approximate_search_in_blocks(spark):
+    c, x, book, feats = book_and_features(spark, words=40)
+    exact = {r.feature_id: (r.words, r.distances) for r in codebook.nearest(feats, book, 3).collect()}
+    for block in (1 << 20, 300):
+        near = codebook.approximate_nearest(feats, book, 3, None, block_bytes=block).collect()
+        assert {r.feature_id: (r.words, r.distances) for r in near} == exact and all(0 < r.compared <= 40 for r in near)
+    one = feats.withColumn("descriptor", F.when(F.col("feature_id") > 3, F.col("descriptor")))
+    assert {r.feature_id for r in codebook.approximate_nearest(one, book, 3).where("words is null and compared is null").collect()} == {0, 1, 2, 3}
+    assert codebook.approximate_nearest(feats, book.limit(0), 3).first().words == []
+
+
+def test_sparse_distances_equal_dense_ones(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(60):
+        a, b = (np.where(rng.random(20) < rng.choice([0, 0.2, 0.9]), np.abs(rng.standard_normal(20)), 0).astype(np.float32) for _ in "ab")
+        rows.append((i, a.tolist(), b.tolist()))
+    df = spark.createDataFrame(rows, "i int, a array<float>, b array<float>").withColumns({c + "s": V.sparse(F.col(c)) for c in "ab"})
+    for f, g in ((D.l2sq, sparse.l2sq), (D.l1_raw, sparse.l1_raw), (D.l1, sparse.l1), (D.l2, sparse.l2), (D.x2, sparse.x2), (D.dot, sparse.dot), (D.intersection, sparse.intersection), (lambda a, b: D.ln(a, b, 4), lambda a, b: sparse.ln(a, b, 4))):
+        assert df.where(~f(F.col("a"), F.col("b")).eqNullSafe(g(F.col("as"), F.col("bs")))).count() == 0
+    assert df.select(sparse.l1(F.col("as"), F.lit(None).cast(df.schema["bs"].dataType)).alias("d")).first().d is None
 
 
 def test_search_traps(spark):

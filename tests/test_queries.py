@@ -4,11 +4,11 @@ import oracle
 import pytest
 
 import __spark_entry__ as entry
-from visbag.plans import more, more_oracles
+from visbag.plans import later, more, more_oracles
 from visbag.plans.oracles import ORACLES as FIRST
 from visbag.plans.queries import QUERIES as SECOND
 
-ORACLES, QUERIES = FIRST | more_oracles.ORACLES, SECOND | more.QUERIES
+ORACLES, QUERIES = FIRST | more_oracles.ORACLES | later.ORACLES, SECOND | more.QUERIES | later.QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

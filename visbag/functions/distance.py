@@ -1,8 +1,7 @@
 """Distances and similarities of array columns, as Catalyst expressions.
 
 ``*_raw`` forms sum in double; the others, for whole vectors, sum in float and give 1e-30 where the result is 0.
-Sparse vectors (struct of dimension, ids, data) go through ``visbag.functions.vectors.dense`` first: both forms of a
-vector have the same distance. Null vectors give null.
+``visbag.functions.sparse`` has those of sparse vectors. Null vectors give null.
 """
 
 from __future__ import annotations
@@ -13,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TINY = 1e-30
+#: sums a term over the entries of two vectors, in a type
+Over = Callable[[Column, Column, Callable[[Column, Column], Column], str], Column]
 
 
 def _sum(values: Column, kind: str) -> Column:
@@ -36,13 +37,13 @@ def bounded(value: Column, most: float) -> Column:
     return F.when(value > most, F.lit(most + 1.0)).otherwise(value)
 
 
-def l2sq(a: Column, b: Column) -> Column:
+def l2sq(a: Column, b: Column, over: Over = _over) -> Column:
     """Squared Euclidean distance: float differences and products, double sum."""
-    return _over(a, b, lambda x, y: (x - y) * (x - y), "double")
+    return over(a, b, lambda x, y: (x - y) * (x - y), "double")
 
 
-def l1_raw(a: Column, b: Column) -> Column:
-    return _over(a, b, lambda x, y: F.abs(x - y), "double")
+def l1_raw(a: Column, b: Column, over: Over = _over) -> Column:
+    return over(a, b, lambda x, y: F.abs(x - y), "double")
 
 
 def lr_raw(a: Column, b: Column, power: float) -> Column:
@@ -60,33 +61,33 @@ def x2_raw(a: Column, b: Column) -> Column:
     return _over(a, b, term, "double")
 
 
-def x2(a: Column, b: Column) -> Column:
+def x2(a: Column, b: Column, over: Over = _over) -> Column:
     """Chi-square; entries whose sum is 0 count nothing."""
-    return _some(_over(a, b, lambda x, y: _per_sum(x, y, (x - y) * (x - y)), "float"))
+    return _some(over(a, b, lambda x, y: _per_sum(x, y, (x - y) * (x - y)), "float"))
 
 
-def l1(a: Column, b: Column) -> Column:
-    return _some(_over(a, b, lambda x, y: F.abs(x - y), "float"))
+def l1(a: Column, b: Column, over: Over = _over) -> Column:
+    return _some(over(a, b, lambda x, y: F.abs(x - y), "float"))
 
 
-def l2(a: Column, b: Column) -> Column:
-    return _some(F.sqrt(_over(a, b, lambda x, y: (x - y) * (x - y), "float")))
+def l2(a: Column, b: Column, over: Over = _over) -> Column:
+    return _some(F.sqrt(over(a, b, lambda x, y: (x - y) * (x - y), "float")))
 
 
-def ln(a: Column, b: Column, power: int) -> Column:
+def ln(a: Column, b: Column, power: int, over: Over = _over) -> Column:
     """Even powers only; 0 for odd ones."""
     if power % 2:
         return F.lit(0.0).cast("float")
-    return _some(F.pow(_over(a, b, lambda x, y: F.pow((x - y).cast("double"), F.lit(float(power))).cast("float"), "float").cast("double"), F.lit(1.0 / power)))
+    return _some(F.pow(over(a, b, lambda x, y: F.pow((x - y).cast("double"), F.lit(float(power))).cast("float"), "float").cast("double"), F.lit(1.0 / power)))
 
 
-def dot(a: Column, b: Column) -> Column:
-    return _over(a, b, lambda x, y: x * y, "float")
+def dot(a: Column, b: Column, over: Over = _over) -> Column:
+    return over(a, b, lambda x, y: x * y, "float")
 
 
-def intersection(a: Column, b: Column) -> Column:
+def intersection(a: Column, b: Column, over: Over = _over) -> Column:
     """Histogram intersection, each bin over its sum; empty bins count nothing."""
-    return _some(_over(a, b, lambda x, y: _per_sum(x, y, F.least(x, y)), "float"))
+    return _some(over(a, b, lambda x, y: _per_sum(x, y, F.least(x, y)), "float"))
 
 
 KERNELS = {"X2": x2, "LINEAR": dot, "L1": l1, "L2": l2}

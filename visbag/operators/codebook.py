@@ -1,4 +1,4 @@
-"""Assignment of features to codebook words: exact nearest neighbours, soft weights, the average word distance.
+"""Assignment of features to codebook words: exact and approximate nearest neighbours, the average word distance.
 
 A codebook (word, center, with an optional projection before it) is small by nature; it goes to the tasks in blocks
 of at most BLOCK_BYTES, each a narrow pass over the features that merges the best words so far. No row is made for a
@@ -12,7 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_BYTES, NEIGHBOURS, AVERAGED, SQUARED_BYTES = 64 << 20, 32, 10_000, 8 << 20
+from .kdtree import KdTree
+
+BLOCK_BYTES, NEIGHBOURS, AVERAGED, SQUARED_BYTES, VISITS = 64 << 20, 32, 10_000, 8 << 20, 200
 
 
 def blocks(codebook: DataFrame, block_bytes: int = BLOCK_BYTES):
@@ -61,37 +63,67 @@ def nearest(features: DataFrame, codebook: DataFrame, k: int = NEIGHBOURS, descr
     k beyond the number of words gives all of them. ``exclude`` names a column whose word is left out. Null
     descriptors get null arrays.
     """
-    out, keep = features, features.columns
-    found = False
-    for words, centers in blocks(codebook, block_bytes):
-        out = _pass(out, words, centers, k + bool(exclude), descriptor, found)
-        found = True
-    if not found:
-        out = out.withColumns({"words": F.expr("cast(array() as array<int>)"), "distances": F.expr("cast(array() as array<double>)")})
+    out = _passes(features, codebook, k + bool(exclude), descriptor, block_bytes, lambda words, centers: lambda x, k: (*_best(words, squared(x, centers), k), np.full(len(x), len(words))))
     if exclude:
         both = F.slice(F.filter(F.arrays_zip("words", "distances"), lambda s: s.words != F.col(exclude)), 1, k)
         out = out.withColumns({"words": F.transform(both, lambda s: s.words), "distances": F.transform(both, lambda s: s.distances)})
-    return out.select(*keep, "words", "distances")
+    return out.select(*features.columns, "words", "distances")
+
 
+def approximate_nearest(features: DataFrame, codebook: DataFrame, k: int, visits: int | None = VISITS, descriptor: str = "descriptor", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``features`` with ``words`` and ``distances`` as ``nearest`` gives them, by a kd-tree that compares at most
+    ``visits`` words (a leaf more; k at least) with a feature in each block of the codebook, and ``compared``, the number
+    of them. Without a limit the result is exact."""
 
-def _pass(features: DataFrame, words: np.ndarray, centers: np.ndarray, k: int, descriptor: str, more: bool) -> DataFrame:
-    schema = features.schema if more else features.withColumns({"words": F.expr("cast(null as array<int>)"), "distances": F.expr("cast(null as array<double>)")}).schema
-    names = features.columns
+    def searched(words, centers):
+        tree = KdTree(words, centers)
+        return lambda x, k: tree.search(x, k, visits)
+
+    return _passes(features, codebook, k, descriptor, block_bytes, searched).select(*features.columns, "words", "distances", "compared")
+
+
+def _passes(features: DataFrame, codebook: DataFrame, k: int, descriptor: str, block_bytes: int, searcher) -> DataFrame:
+    """A pass for each block of the codebook; ``searcher`` makes of a block what finds the k nearest words of a matrix's
+    rows: words, distances, words compared."""
+    out, found = features, False
+    for words, centers in blocks(codebook, block_bytes):
+        out = _pass(out, searcher(words, centers), k, descriptor, found)
+        found = True
+    if not found:
+        out = out.withColumns({"words": F.expr("cast(array() as array<int>)"), "distances": F.expr("cast(array() as array<double>)"), "compared": F.lit(0).cast("bigint")})
+    return out
+
+
+def _lists(values: np.ndarray, there: np.ndarray, rows: int, kind: pa.DataType) -> pa.Array:
+    """A list for each row that is there, from a matrix of theirs; null for the others."""
+    sizes = np.zeros(rows + 1, np.int32)
+    sizes[there + 1] = values.shape[1] if len(there) else 0
+    missing = np.ones(rows, bool)
+    missing[there] = False
+    return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(values.reshape(-1), kind), mask=pa.array(missing))
+
+
+def _pass(features: DataFrame, search, k: int, descriptor: str, more: bool) -> DataFrame:
+    keep = [c for c in features.columns if not more or c not in ("words", "distances", "compared")]
+    schema = features.select(*keep).withColumns({"words": F.expr("cast(null as array<int>)"), "distances": F.expr("cast(null as array<double>)"), "compared": F.expr("cast(null as bigint)")}).schema
 
     def run(batches):
         for batch in batches:
             column = batch.column(descriptor)
             there = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
-            w, d = _best(words, squared(_matrix(column.take(pa.array(there))), centers), k) if len(there) else (None, None)
-            if more and len(there):
-                old_w, old_d = (np.array([batch.column(c)[int(i)].as_py() for i in there]) for c in ("words", "distances"))
-                all_w, all_d = np.concatenate([old_w, w], 1), np.concatenate([old_d, d], 1)
-                order = np.lexsort((all_w, all_d), axis=1)[:, :k]
-                w, d = np.take_along_axis(all_w, order, 1), np.take_along_axis(all_d, order, 1)
-            out_w, out_d = [None] * len(column), [None] * len(column)
-            for i, a, b in zip(there.tolist(), w if w is not None else (), d if d is not None else ()):
-                out_w[i], out_d[i] = a.tolist(), b.tolist()
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names if c not in ("words", "distances")), pa.array(out_w, pa.list_(pa.int32())), pa.array(out_d, pa.list_(pa.float64()))], [*(c for c in names if c not in ("words", "distances")), "words", "distances"])
+            w, d, n = np.zeros((0, 0), np.int64), np.zeros((0, 0)), np.zeros(0, np.int64)
+            if len(there):
+                w, d, n = search(_matrix(column.take(pa.array(there))), k)
+                if more:
+                    old_w, old_d = (batch.column(c).take(pa.array(there)).flatten().to_numpy().reshape(len(there), -1) for c in ("words", "distances"))
+                    all_w, all_d = np.concatenate([old_w, w], 1), np.concatenate([old_d, d], 1)
+                    order = np.lexsort((all_w, all_d), axis=1)[:, :k]
+                    w, d = np.take_along_axis(all_w, order, 1), np.take_along_axis(all_d, order, 1)
+                    n = n + batch.column("compared").take(pa.array(there)).to_numpy()
+            compared = np.zeros(len(column), np.int64)
+            compared[there] = n
+            found = [_lists(w, there, len(column), pa.int32()), _lists(d, there, len(column), pa.float64()), pa.array(compared, mask=~np.isin(np.arange(len(column)), there))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *found], [*keep, "words", "distances", "compared"])
 
     return features.mapInArrow(run, schema)
 
@@ -123,15 +155,3 @@ def average_word_distance(codebook: DataFrame, estimate: int = AVERAGED, seed: i
     ``estimate`` words drawn without replacement (all of them if there are fewer)."""
     drawn = codebook.orderBy(F.xxhash64("word", F.lit(seed)), "word").limit(estimate).select(F.col("word").alias("own"), F.col("center").alias("descriptor"))
     return nearest(drawn, codebook, 1, exclude="own").agg(F.avg(F.get("distances", F.lit(0))).alias("avg_word_distance"))
-
-
-def approximate_nearest(features: DataFrame, codebook: DataFrame, k: int, bucket: float = 2.0, tables: int = 6, seed: int = 3) -> DataFrame:
-    """feature_id, rank, word, distance by random-projection hashing: approximate, for codebooks beyond exact search."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    a = features.select("feature_id", array_to_vector(F.col("descriptor")).alias("v"))
-    b = codebook.select("word", array_to_vector(F.col("center")).alias("v"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=seed).fit(b)
-    pairs = model.approxSimilarityJoin(a, b, float("inf"), distCol="d").select(F.col("datasetA.feature_id").alias("feature_id"), F.col("datasetB.word").alias("word"), (F.col("d") * F.col("d")).alias("distance"))
-    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("feature_id").orderBy("distance", "word"))).where(F.col("rank") <= k)
