@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import sparse
 from ..operators import codebook
+from ..sources import envelope, queue
 from . import queries as Q
+from .more import _envelopes, scratch
 from .oracles import E, r6, some, total
 
 K, VISITS = 5, 40
@@ -84,3 +86,20 @@ for _name, _f, _positive, _terms, _result in (
     ("sparse_merge_intersection", sparse.intersection, True, _per.format("least(x, y)"), some(total("t", "FLOAT"))),
 ):
     QUERIES[_name], ORACLES[_name] = _merge(_f, _positive), _merge_sql(_terms, _result, _positive)
+
+# --- the queue: the second half is published when the first has been taken, under names that sort before it
+
+
+def queue_late_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark)
+    transport = queue.Transport(spark, f"{path}/broker", "features")
+    coded = envelope.encode(_envelopes(spark, sf_dir)).withColumn("queue", F.lit("features"))
+    for half, prefix in ((0, "b"), (1, "a")):
+        transport.publish(coded.where(F.pmod(F.col("uuid").cast("bigint"), F.lit(2)) == half).withColumn("name", F.concat(F.lit(prefix), F.lpad("uuid", 20, "0"))))
+        taken = envelope.decode(transport.incoming()).select("uuid", F.size("configuration").alias("steps"))
+        taken.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("uuid string, steps int").parquet(f"{path}/out")
+
+
+QUERIES["queue_late_messages"] = queue_late_messages
+ORACLES["queue_late_messages"] = f"SELECT vec_id::VARCHAR AS uuid, (label % 4)::INT AS steps FROM {E}"
