@@ -175,6 +175,24 @@ def split_score(labels, left, method):
     return mi if method == "MutualInformation" else 2 * mi / (hc + ht)
 
 
+@pytest.mark.parametrize("method", ["Sc", "MutualInformation", "Entropy", "Balanced", "ScWithError"])
+def test_thresholds_do_not_depend_on_ranges(spark, method):
+    """Nodes of any size, values nearly all in one place, repeated values, labels: ranges of any size give one result."""
+    rng = np.random.default_rng(8)
+    rows = [(1, int(k % 3), float(v)) for k, v in enumerate(rng.random(300) * 1e-3)] + [(1, 0, 1.0), (1, 1, 1000.0)]
+    rows += [(2, int(k), float(v)) for k, v in zip(rng.integers(0, 2, 200), rng.integers(0, 6, 200))] + [(3, 1, 2.0), (3, 0, float("nan")), (4, 5, 1.0), (4, 6, 2.0)]
+    samples = spark.createDataFrame(rows, "node bigint, label int, val double").repartition(3)
+    whole, cut, fine = ({r.node: (r.threshold, round(r.score, 9)) for r in information.best_threshold(samples, method, n).collect()} for n in (10**6, 40, 3))
+    assert whole == cut == fine and {1, 2, 4} <= set(whole)
+
+
+def test_skewed_values_spread_evenly(spark):
+    """All values but one lie in one 256th of the range; no range has many more counts than another."""
+    samples = spark.range(40_000).select(F.lit(1).alias("node"), (F.col("id") % 2).alias("label"), F.when(F.col("id") == 0, 1e9).otherwise(F.sqrt(F.col("id").cast("double"))).alias("val"))
+    ranges = [r["count"] for r in information._running(samples).groupBy("range").count().collect()]
+    assert len(ranges) == information.RANGES and max(ranges) < 2 * 40_000 / len(ranges)
+
+
 @pytest.mark.parametrize("method", ["Sc", "MutualInformation", "Entropy"])
 def test_best_threshold_is_the_best(spark, method):
     rng = np.random.default_rng(4)
