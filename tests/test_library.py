@@ -137,6 +137,39 @@ def test_sparse_distances_equal_dense_ones(spark):
     assert df.select(sparse.l1(F.col("as"), F.lit(None).cast(df.schema["bs"].dataType)).alias("d")).first().d is None
 
 
+@pytest.mark.parametrize("mode", ["reference", "euclidean"])
+def test_search_by_posting_lists(spark, monkeypatch, mode):
+    """Blocks of queries and of items, ties, items without terms or common words, more words than memory would have rows:
+    what is skipped by its bound never comes first."""
+    rng = np.random.default_rng(9)
+    held = {i: {int(w) * 10_000_019: round(float(v), 1) for w, v in zip(rng.choice(40, rng.integers(1, 9), False), rng.random(9))} for i in range(400)}
+    base = spark.createDataFrame([(i, w, v) for i, t in held.items() for w, v in t.items()] + [(900, 1, 0.0), (901, None, None)], "id bigint, word int, value double").repartition(3)
+    asked = base.where("id % 8 = 0")
+
+    def plain(a, b):
+        common = sorted(w for w in held[a] if w in held.get(b, {}) and held[a][w] and held[b][w])
+        if mode == "reference":
+            return abs(held[a][common[-1]] - held[b][common[-1]]) if common else 0.0
+        return math.sqrt(sum((held[a][w] - held[b][w]) ** 2 for w in common)) if common else 0.9
+
+    want = {}
+    for a in (i for i in held if i % 8 == 0):
+        order = sorted((round(plain(a, b), 6), b) for b in [*held, 900, 901])[:12]
+        want |= {(a, n + 1): (b, s) for n, (s, b) in enumerate(order)}
+    for terms, rows in ((10**6, "10000"), (60, "10000"), (10**6, "16")):
+        monkeypatch.setattr(search, "BLOCK_TERMS", terms)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        try:
+            got = search.top(asked, base, mode, 0.9, 12, 6).collect()
+            seen = search.work(asked, base, mode, 0.9, 12, 6).collect()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert {(r.query_id, r["rank"]): (r.item_id, r.score) for r in got} == want
+        assert all(r.scored <= r["items"] == 402 for r in seen) and {r.query_id for r in seen} == {a for a, _ in want}
+    assert sum(r.skipped for r in seen) > 0 and sum(r.scored for r in seen) < 0.6 * sum(r["items"] for r in seen)
+    assert search.top(asked, base, mode, 0.9, 0).count() == 0
+
+
 def test_search_traps(spark):
     base = spark.createDataFrame([(1, 1, 0.5), (1, 3, 0.2), (2, 1, 0.1), (3, 2, 1.0), (4, 3, 0.0)], "id bigint, word int, value double")
     query = spark.createDataFrame([(9, 1, 0.4), (9, 3, 0.9)], "id bigint, word int, value double")

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import written
 from .kdtree import KdTree
 
 BLOCK_BYTES, NEIGHBOURS, AVERAGED, SQUARED_BYTES, VISITS = 64 << 20, 32, 10_000, 8 << 20, 200
@@ -87,6 +88,8 @@ def _passes(features: DataFrame, codebook: DataFrame, k: int, descriptor: str, b
     rows: words, distances, words compared."""
     out, found = features, False
     for words, centers in blocks(codebook, block_bytes):
+        if found:  # each pass's result is written, so that the driver and the plan hold one block at a time
+            out = written(out)
         out = _pass(out, searcher(words, centers), k, descriptor, found)
         found = True
     if not found:

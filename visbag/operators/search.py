@@ -5,7 +5,10 @@ without a common word scores 0, so comes first. ``euclidean``: the root of the s
 common words; an item without any gets ``no_overlap``.
 
 No row is made for a pair of query and item: an item's terms meet in one row, a block of at most BLOCK_TERMS terms of
-queries is a narrow pass over these rows, and what leaves a task is ``list_size`` items a query.
+queries is a narrow pass over these rows, and what leaves a task is ``list_size`` items a query. A task turns each batch
+of items into posting lists; a query reads those of its own words only, and skips a batch whose bound (from the range of
+each word's values and the smallest id) cannot beat what it has. Memory is the batch's terms and the lists, whatever the
+vocabulary.
 """
 
 from __future__ import annotations
@@ -15,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import new_folder, written
+
 LIST_SIZE, URL, BLOCK_TERMS = 100, "http://foo/", 1_000_000
 
 
@@ -32,29 +37,84 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return flat.field("word").to_numpy(), flat.field("value").to_numpy(), first - first[0]
 
 
+class Postings:
+    """A block of items in order of id, turned over: for each word the items that hold it, their values, and the least and
+    greatest of these."""
+
+    def __init__(self, ids: np.ndarray, words: np.ndarray, values: np.ndarray, first: np.ndarray):
+        self.order = np.argsort(ids, kind="stable")
+        self.ids = ids[self.order]
+        place = np.empty(len(ids), np.int64)
+        place[self.order] = np.arange(len(ids))
+        by_word = np.argsort(words, kind="stable")
+        self.items, self.values = np.repeat(place, np.diff(first))[by_word], values[by_word]
+        self.words, self.start = np.unique(words[by_word], return_index=True)
+        self.end = np.append(self.start[1:], len(words))
+        self.low, self.high = (f.reduceat(self.values, self.start) if len(words) else np.zeros(0) for f in (np.minimum, np.maximum))
+
+    def held(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``words`` occur here, and where their postings are."""
+        at = np.minimum(np.searchsorted(self.words, words), max(0, len(self.words) - 1))
+        there = np.flatnonzero(self.words[at] == words) if len(self.words) else np.zeros(0, np.int64)
+        return there, at[there]
+
+    def scored(self, words: np.ndarray, values: np.ndarray, mode: str) -> tuple[np.ndarray, np.ndarray]:
+        """The items with a common word (places in ``ids``) and their scores; no other item is looked at."""
+        there, at = self.held(words)
+        if not len(at):
+            return np.zeros(0, np.int64), np.zeros(0)
+        items = np.concatenate([self.items[self.start[i] : self.end[i]] for i in at])
+        diff = np.concatenate([self.values[self.start[i] : self.end[i]] - v for i, v in zip(at, values[there])])
+        if mode == "euclidean":
+            found, inverse = np.unique(items, return_inverse=True)
+            return found, np.sqrt(np.bincount(inverse, diff * diff))
+        found, last = np.unique(items[::-1], return_index=True)  # words ascend: the last posting is the highest word's
+        return found, np.abs(diff[::-1][last])
+
+    def bound(self, words: np.ndarray, values: np.ndarray, mode: str, apart: float) -> float:
+        """No item here scores less: one with a common word differs by at least the distance to the range of its values
+        there (of ``reference`` only the highest common word counts, which may be any), one without scores ``apart``."""
+        there, at = self.held(words)
+        v = values[there]
+        gap = np.maximum(np.maximum(self.low[at] - v, v - self.high[at]), 0)
+        covered = len(at) and (self.end[at] - self.start[at]).max() == len(self.ids)  # a word that all items hold
+        return min(gap.min(initial=np.inf), np.inf if covered else apart)
+
+
 class Queries:
-    """A block of queries, and a place for each of their words."""
+    """A block of queries."""
 
     def __init__(self, ids: list, terms: pa.Array):
         self.ids = ids
         self.words, self.values, self.first = _flat(terms)
-        self.vocabulary, self.places = np.unique(self.words, return_inverse=True)
-
-    def scores(self, words: np.ndarray, values: np.ndarray, first: np.ndarray, mode: str, no_overlap: float):
-        """For each query its scores of all the items given."""
-        table = np.full((len(first) - 1, len(self.vocabulary) + 1), np.nan)
-        at = np.minimum(np.searchsorted(self.vocabulary, words), max(0, len(self.vocabulary) - 1))
-        known = self.vocabulary[at] == words if len(self.vocabulary) else np.zeros(len(words), bool)
-        table[np.repeat(np.arange(len(first) - 1), np.diff(first))[known], at[known]] = values[known]
-        for k in range(len(self.ids)):
-            part = slice(self.first[k], self.first[k + 1])
-            diff = table[:, self.places[part]] - self.values[part]
-            both = ~np.isnan(diff)
-            if mode == "euclidean":
-                yield np.where(both.any(1), np.sqrt(np.where(both, diff * diff, 0).sum(1)), no_overlap)
-            else:
-                last = diff.shape[1] - 1 - np.argmax(both[:, ::-1], axis=1) if diff.shape[1] else np.zeros(len(table), np.int64)
-                yield np.where(both.any(1), np.abs(np.take_along_axis(diff, last[:, None], 1)[:, 0]), 0.0) if diff.shape[1] else np.zeros(len(table))
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+    def terms(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        part = slice(self.first[k], self.first[k + 1])
+        return self.words[part], self.values[part]
+
+
+class Best:
+    """The best items of one query so far: ``most`` at most, by score (rounded) and id."""
+
+    def __init__(self, most: int, digits: int | None):
+        self.most, self.digits = most, digits
+        self.scores, self.ids = np.zeros(0), None
+
+    def open_to(self, bound: float, least_id) -> bool:
+        """Whether an item of that score, or more, and id, or greater, can still come in."""
+        if len(self.scores) < self.most or not self.most:
+            return self.most > 0
+        last, step = self.scores[-1], 0.0 if self.digits is None else 10.0**-self.digits
+        return bound <= last + step and not (bound == last and not step and least_id > self.ids[-1]) and not (last == 0 and bound == 0 and least_id > self.ids[-1])
+
+    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
+        ids = ids if self.ids is None else np.concatenate([self.ids, ids])
+        scores = np.concatenate([self.scores, scores])
+        order = np.lexsort((ids, scores if self.digits is None else np.round(scores, self.digits)))[: self.most]
+        self.scores, self.ids = scores[order], ids[order]
 
 
 def _blocks(queries: DataFrame):
@@ -65,45 +125,83 @@ def _blocks(queries: DataFrame):
         part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
         table = part.toArrow()
         if len(table):
-            yield Queries(table.column("query_id").to_pylist(), table.column("terms").combine_chunks())
+            yield Queries(table.column("query_id").to_pylist(), table.column("terms").combine_chunks()), blocks == 1
+
+
+def _searched(block: Queries, schema, mode: str, no_overlap: float, most: int | None, digits: int | None, report: bool = False):
+    """What a task does with its items, block by block: each query carries the score and id to be beaten from one to the
+    next, and a block whose bound does not beat them is not scored. ``report``: query_id, items, scored, blocks, skipped."""
+    apart = no_overlap if mode == "euclidean" else 0.0
+
+    def run(batches):
+        best = [Best(most, digits) for _ in block.ids] if most is not None else []
+        work = np.zeros((len(block), 4), np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            posted = Postings(np.array(batch.column("item_id").to_pylist()), *_flat(batch.column("terms")))
+            for k in range(len(block)):
+                words, values = block.terms(k)
+                work[k] += (batch.num_rows, 0, 1, 0)
+                if most is not None and not best[k].open_to(posted.bound(words, values, mode, apart), posted.ids[0]):
+                    work[k, 3] += 1
+                    continue
+                items, scores = posted.scored(words, values, mode)
+                work[k, 1] += len(items)
+                if most is None:
+                    all_ = np.full(batch.num_rows, apart)
+                    all_[items] = scores
+                    yield _scored(schema, block.ids[k], posted.ids, all_)
+                    continue
+                if len(items):
+                    best[k].add(scores, posted.ids[items])
+                if len(items) < batch.num_rows and best[k].open_to(apart, posted.ids[0]):
+                    others = np.ones(batch.num_rows, bool)
+                    others[items] = False
+                    others = np.flatnonzero(others)[:most]  # the smallest ids: all score the same
+                    best[k].add(np.full(len(others), apart), posted.ids[others])
+        if report:
+            columns = [pa.array(block.ids, schema.types[0]), *(pa.array(c) for c in work.T)]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+        else:
+            for k, b in enumerate(best):
+                if len(b.scores):
+                    yield _scored(schema, block.ids[k], b.ids, b.scores)
+
+    return run
 
 
 def _passes(queries: DataFrame, base: DataFrame, mode: str, no_overlap: float, most: int | None, digits: int | None) -> DataFrame:
+    """A pass over the items for each block of queries. With several, items and each pass's result are written to the
+    shared folder, so that the driver holds one block at a time."""
     if mode not in ("reference", "euclidean"):
         raise ValueError(f"unknown mode {mode!r}")
-    asked, items = _rows(queries, "query_id"), _rows(base, "item_id")
+    asked, items = _rows(queries, "query_id"), _rows(base, "item_id").sortWithinPartitions("item_id")
     schema = asked.select("query_id").schema.add(items.schema["item_id"]).add("score", "double")
-    out = None
-
-    def searched(block: Queries):
-        def run(batches):
-            best: list = [None] * len(block.ids)
-
-            def cut(k: int) -> None:
-                score, ids = (np.concatenate(x) for x in zip(*best[k]))
-                order = np.lexsort((ids, score if digits is None else np.round(score, digits)))[:most]
-                best[k] = [(score[order], ids[order])]
-
-            for batch in batches:
-                ids = np.array(batch.column("item_id").to_pylist())
-                for k, score in enumerate(block.scores(*_flat(batch.column("terms")), mode, no_overlap)):
-                    if most is None:
-                        yield _scored(schema, block.ids[k], ids, score)
-                        continue
-                    best[k] = (best[k] or []) + [(score, ids)]
-                    if sum(len(x) for x, _ in best[k]) > 4 * most + 4096:
-                        cut(k)
-            for k in range(len(block.ids)):
-                if best[k]:
-                    cut(k)
-                    yield _scored(schema, block.ids[k], best[k][0][1], best[k][0][0])
-
-        return run
-
-    for block in _blocks(asked):
-        more = items.mapInArrow(searched(block), schema)
-        out = more if out is None else out.unionByName(more)
-    return out if out is not None else base.sparkSession.createDataFrame([], schema)
+    results = None
+    for block, only in _blocks(asked):
+        if only:
+            return items.mapInArrow(_searched(block, schema, mode, no_overlap, most, digits), schema)
+        if results is None:
+            results, items = new_folder(base.sparkSession), written(items)
+        items.mapInArrow(_searched(block, schema, mode, no_overlap, most, digits), schema).write.mode("append").parquet(results)
+    spark = base.sparkSession
+    return spark.createDataFrame([], schema) if results is None else spark.read.schema(schema).parquet(results)
+
+
+def work(queries: DataFrame, base: DataFrame, mode: str = "reference", no_overlap: float = 0.0, list_size: int = LIST_SIZE, digits: int | None = None) -> DataFrame:
+    """What ``top`` does for each query: query_id, items, scored (items whose score was computed), blocks of items, and
+    how many of these were skipped because of their bound."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    asked, items = _rows(queries, "query_id"), _rows(base, "item_id").sortWithinPartitions("item_id")
+    schema = asked.select("query_id").schema
+    for c in ("items", "scored", "blocks", "skipped"):
+        schema = schema.add(c, "long")
+    kinds, out = to_arrow_schema(schema), base.sparkSession.createDataFrame([], schema)
+    for block, _ in _blocks(asked):
+        out = out.unionByName(written(items.mapInArrow(_searched(block, kinds, mode, no_overlap, list_size, digits, True), schema)))
+    return out.groupBy("query_id").agg(*(F.sum(c).alias(c) for c in ("items", "scored", "blocks", "skipped")))
 
 
 def _scored(schema, query, ids: np.ndarray, score: np.ndarray) -> pa.RecordBatch:

@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sparse
-from ..operators import codebook
+from ..operators import codebook, search
+from ..scratch import new_folder as scratch
 from ..sources import envelope, queue
 from . import queries as Q
-from .more import _envelopes, scratch
+from .more import _envelopes
 from .oracles import E, r6, some, total
 
 K, VISITS = 5, 40
@@ -103,3 +104,13 @@ def queue_late_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["queue_late_messages"] = queue_late_messages
 ORACLES["queue_late_messages"] = f"SELECT vec_id::VARCHAR AS uuid, (label % 4)::INT AS steps FROM {E}"
+
+# --- what ranked search looks at
+
+
+def search_work(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = Q.histograms(spark, sf_dir, 1).select(F.col("image_id").alias("id"), "word", "value")
+    return search.work(base.where(F.col("id") % Q.QUERY_STEP == 0), base, "euclidean", 9.0, Q.TOP, 6)
+
+
+QUERIES["search_work"] = search_work

@@ -3,8 +3,6 @@ criteria, covariance, streams. The bindings are those of ``visbag.plans.queries`
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -13,6 +11,7 @@ from ..functions import distance as D
 from ..functions import vectors as V
 from ..operators import bow, codebook, information, kmeans, projection, search, statistics, trees
 from ..schema import ENVELOPE, HEADER
+from ..scratch import new_folder as scratch
 from ..sources import envelope, queue, text_files, vector_file
 from ..streaming import pipeline
 from . import queries as Q
@@ -21,18 +20,6 @@ DRAWN, SEED, CLASSES, RANGE = 50, 7, 3, 40
 NAMES = ("L1", "L2", "STDDEV")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that the cluster shares; only a local session may have none."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-
-        where = "file://" + tempfile.mkdtemp(prefix="scratch-")
-    return f"{where.rstrip('/')}/tables/{uuid.uuid4().hex}"
-
-
 # --- statistics, samples, pairs
 
 
