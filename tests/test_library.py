@@ -357,6 +357,37 @@ def test_vector_files(spark, tmp_path):
         vector_file.header(str(tmp_path / "bad"))
 
 
+def test_vector_files_in_ranges_and_in_one(spark, tmp_path):
+    """A folder of ranges, a folder of interleaved parts and one file written by all tasks hold the same; a table of ids
+    reads in proportion to the ids."""
+    vector_file.register(spark)
+    rng = np.random.default_rng(11)
+    rows = [(i * 3, None if i % 50 == 7 else (40, None, rng.random(40).astype(np.float32).tolist()) if i % 3 else (10**6, [5, 70_000 + i], [1.0, 2.0])) for i in range(3000)]
+    df = spark.createDataFrame(rows, VECTOR_FILE).repartition(5)
+    paths = {k: str(tmp_path / k) for k in ("ranges", "mixed", "one")}
+    vector_file.write(df, paths["ranges"], 4)
+    df.write.format("fvf").mode("append").save(paths["mixed"])
+    vector_file.write_file(df, paths["one"], 4, capacity=5000)
+    for k, path in paths.items():
+        assert vector_file.is_folder(path) == (k != "one") and ("merged" in (vector_file.Places(path).manifest or {})) == (k == "mixed")
+        for size in (700, 10**6):
+            got = [(r.vec_id, None if r.vector is None else tuple(r.vector)) for r in spark.read.format("fvf").option("size", size).load(path).orderBy("vec_id").collect()]
+            assert got == [(i, v) for i, (_, v) in enumerate(rows)]
+        wanted = [2, 3, 4, 7, 900, 901, 2999, 5000, -1]
+        picked = vector_file.picked(spark, path, spark.createDataFrame([(i,) for i in [*wanted, 3, None]], "vec_id bigint")).collect()
+        assert {r.vec_id: None if r.vector is None else tuple(r.vector) for r in picked} == {i: rows[i][1] for i in wanted if 0 <= i < 3000}
+        assert sum(r.bytes for r in picked) < 3000  # of some 400,000
+        assert vector_file.selected(spark, path, spark.createDataFrame([(1,)], "vec_id bigint")).count() == 3000
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["mixed", "one", "ranges"]
+    with pytest.raises(Exception, match="room for 10"):
+        vector_file.write_file(df, paths["one"], 4, capacity=10)
+    assert vector_file.Places(paths["one"]).count == 3000 and sorted(p.name for p in tmp_path.iterdir()) == ["mixed", "one", "ranges"]
+    vector_file.write(df.limit(0), paths["one"])
+    assert spark.read.format("fvf").load(paths["one"]).count() == 0
+    vector_file.write_file(df.limit(0), paths["ranges"])
+    assert spark.read.format("fvf").load(paths["ranges"]).count() == 0
+
+
 def test_codebook_files(spark, tmp_path):
     book = text_files.Codebook(np.array([[1.5, 2], [3, 4.25]]), np.array([[1.0, 0, 0], [0, 1, 0]]), 0.125, True)
     path = str(tmp_path / "book.txt")

@@ -22,4 +22,4 @@ def repair_file(spark, source: str, target: str) -> None:
     from ..sources import vector_file
 
     vector_file.register(spark)
-    repair(spark.read.format("fvf").load(source)).write.format("fvf").mode("overwrite").save(target)
+    vector_file.write_file(repair(spark.read.format("fvf").load(source)), target)

@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sparse
+from ..functions import vectors as V
 from ..operators import codebook, search
 from ..scratch import new_folder as scratch
-from ..sources import envelope, queue
+from ..sources import envelope, queue, vector_file
 from . import queries as Q
-from .more import _envelopes
+from .more import _envelopes, _values
+from .more_oracles import BYTES, CELLS, _placed
 from .oracles import E, r6, some, total
 
 K, VISITS = 5, 40
@@ -114,3 +116,39 @@ def search_work(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["search_work"] = search_work
+
+# --- vector files: folders of ranges, one file written by all tasks, and the vectors of a table of ids
+
+STEP = 7
+
+
+def _written(spark: SparkSession, sf_dir: str, whole: bool) -> str:
+    vector_file.register(spark)
+    path = scratch(spark)
+    vector = F.when(F.col("vec_id") % 2 == 0, V.sparse(Q.bytes_input(F.col("embedding")))).otherwise(V.vector(F.col("embedding")))
+    write = vector_file.write_file if whole and vector_file.is_local(path) else vector_file.write
+    write(Q.embeddings(spark, sf_dir).select("vec_id", vector.alias("vector")), path, 4)
+    return path
+
+
+def _vector_file(whole: bool) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        back = spark.read.format("fvf").load(_written(spark, sf_dir, whole))
+        return _values(back.select("vec_id", V.dense(F.col("vector")).alias("values")))
+
+    return query
+
+
+def vector_file_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the file of all vectors, every STEP-th in its place, the other places empty."""
+    ids = Q.embeddings(spark, sf_dir).select((F.col("vec_id") * STEP).alias("vec_id"))
+    rows = vector_file.selected(spark, _written(spark, sf_dir, True), ids)
+    out = rows.select("vec_id", F.posexplode_outer(V.dense(F.col("vector"))).alias("dim", "val"))
+    return out.select("vec_id", "dim", Q.r6(F.col("val")).alias("val"))
+
+
+_held = _placed.format(f"CASE WHEN vec_id % 2 = 0 THEN {BYTES} ELSE embedding END")
+QUERIES |= {"vector_file_ranges": _vector_file(False), "vector_file_one_file": _vector_file(True), "vector_file_selected": vector_file_selected}
+ORACLES |= {k: CELLS.format(r6("val"), _held) for k in ("vector_file_ranges", "vector_file_one_file")}
+ORACLES["vector_file_selected"] = f"""WITH h AS (SELECT * FROM {_held}) {CELLS.format(r6('val'), f'(SELECT * FROM h WHERE vec_id IN (SELECT vec_id * {STEP} FROM {E}))')}
+UNION ALL SELECT vec_id, NULL::INT, NULL::DOUBLE FROM h WHERE vec_id NOT IN (SELECT vec_id * {STEP} FROM {E})"""
