@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from visbag.functions import distance as D
 from visbag.functions import sparse
 from visbag.functions import vectors as V
-from visbag.operators import bow, codebook, information, kdtree, kmeans, projection, search, statistics, trees
+from visbag.operators import bow, codebook, information, kdtree, kmeans, places, projection, search, statistics, trees
 from visbag.operators.repair import repair_file
 from visbag.schema import ENVELOPE, VECTOR_FILE
 from visbag.sources import envelope, text_files, vector_file
@@ -330,6 +330,27 @@ def test_trees(spark):
     assert trees.tail(0) == pytest.approx(0.5, abs=0.01) and trees.tail(6) == 0
 
 
+def test_random_pairs(spark):
+    """One class has 90 % of the rows, some have one row; pairs are as many as asked, within or across classes, spread over
+    all rows, and no two rows of a class share a number."""
+    labels = [0] * 1800 + [1] * 150 + [2] * 40 + list(range(3, 13)) + [None] * 5
+    df = spark.createDataFrame([(i, l) for i, l in enumerate(labels)], "k bigint, label int").withColumn("v", F.col("k")).repartition(4)
+    of = dict(enumerate(labels))
+    for same in (True, False):
+        got = projection.random_pairs(df, "v", "label", 3000, same, "k", 5).collect()
+        assert len(got) == 3000 and all(r.a != r.b and (of[r.a] == of[r.b]) == same and None not in (of[r.a], of[r.b]) for r in got)
+        assert len({r.a for r in got}) > 1000 and len({(r.a, r.b) for r in got}) > 2500
+        again = projection.random_pairs(df.repartition(2), "v", "label", 3000, same, "k", 5).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, again))
+    share = sum(of[r.a] == 0 for r in projection.random_pairs(df, "v", "label", 3000, True, "k", 5).collect()) / 3000
+    assert share == pytest.approx(1800 / 1990, abs=0.03)
+    placed = places.numbered(df.withColumn("draw", F.md5(F.col("k").cast("string"))), "label", "draw", "k").collect()
+    assert sorted(r.start + r.nth for r in placed) == list(range(2000))
+    one = df.where("label = 0")
+    assert projection.random_pairs(one, "v", "label", 10, False, "k").count() == 0
+    assert projection.random_pairs(df.where("label > 2"), "v", "label", 10, True, "k").count() == 0
+
+
 def test_vector_files(spark, tmp_path):
     vector_file.register(spark)
     rows = [(0, (3, None, [1.0, 2.0, 255.0])), (1, None), (2, (4, [1, 3], [0.5, -1.0])), (3, (2, None, [float("nan"), 1.5])), (4, (0, None, []))]

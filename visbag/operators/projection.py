@@ -7,10 +7,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import written
 from . import statistics
+from .places import numbered
 
 PAIRS = 15_000
 
@@ -41,22 +43,43 @@ def pca(features: DataFrame, column: str, n: int) -> tuple[np.ndarray, np.ndarra
     return vectors[:, order].T, values[order]
 
 
-def pairs(features: DataFrame, column: str, label: str, n: int | None, same: bool, key: str = "feature_id", seed: int = 1) -> DataFrame:
-    """About ``n`` random pairs (columns a, b: arrays) of one class, or of two (all that the order gives if ``n`` is None);
-    by neighbours in a seeded order.
+def neighbour_pairs(features: DataFrame, column: str, label: str, same: bool, key: str = "feature_id", seed: int = 1) -> DataFrame:
+    """Pairs (columns l, a, b) of each row and the three after it in a seeded order of its class, or, for two classes, of
+    256 parts of all rows that are kept where the labels differ. Rows meet by their numbers, so no task holds a class."""
+    from .kmeans import drawn_hash
+
+    rows = features.where(F.col(label).isNotNull()).select(F.col(key).alias("k"), F.col(label).alias("l"), F.col(column).alias("v"))
+    rows = rows.withColumn("group", F.col("l") if same else F.substring(drawn_hash("k", seed + 1), 1, 2)).withColumn("draw", drawn_hash("k", seed + 2))
+    placed = numbered(rows, "group", "draw", "k")
+    ahead = placed.select("group", F.explode(F.array(*(F.col("nth") + d for d in (1, 2, 3)))).alias("nth"), "l", F.col("v").alias("a"))
+    met = ahead.join(placed.select("group", "nth", F.col("l").alias("o"), F.col("v").alias("b")), ["group", "nth"])
+    return met.where(F.col("l") == F.col("o") if same else F.col("l") != F.col("o")).select("l", "a", "b")
+
+
+def random_pairs(features: DataFrame, column: str, label: str, n: int, same: bool, key: str = "feature_id", seed: int = 1) -> DataFrame:
+    """``n`` random pairs (columns pair, a, b): the first of a pair is any row (for ``same``, any of a class of two or
+    more), the second any other row of its class, or any row of the other classes.
 
-    Each of up to 2n drawn features is paired with the next ones in the hash order of its class (or overall), so
-    the join is on positions, never all against all. Classes of one are without pairs.
+    Rows are numbered class by class, so a class is a range of numbers and the second one's number is arithmetic on the
+    first one's: two joins on numbers, and a class with most of the rows makes no large task. Repeats occur. None if there
+    is no such pair; null labels are left out.
     """
     from .kmeans import drawn_hash
 
-    drawn = features.where(F.col(label).isNotNull()).select(F.col(key).alias("k"), F.col(label).alias("l"), F.col(column).alias("v"))
-    if n is not None:
-        drawn = drawn.where(F.pmod(F.xxhash64("k", F.lit(seed)), F.lit(max(1, features.count() // max(1, 2 * n)))) == 0)
-    order = Window.partitionBy("l" if same else F.substring(drawn_hash("k", seed + 1), 1, 2)).orderBy(drawn_hash("k", seed + 2), "k")
-    ahead = [F.lead(F.struct("l", "v"), d).over(order) for d in (1, 2, 3)]
-    rows = drawn.select("l", F.col("v").alias("a"), F.array(*ahead).alias("next")).select("l", "a", F.explode("next").alias("o")).where("o is not null")
-    return rows.where(F.col("l") == F.col("o.l") if same else F.col("l") != F.col("o.l")).select("a", F.col("o.v").alias("b")).transform(lambda x: x if n is None else x.limit(n))
+    rows = features.where(F.col(label).isNotNull()).select(F.col(key).alias("k"), F.col(label).alias("l"), F.col(column).alias("v")).withColumn("draw", drawn_hash("k", seed + 2))
+    if same:
+        rows = rows.join(rows.groupBy("l").agg(F.count("*").alias("many")).where("many > 1").select("l"), "l", "left_semi")
+    placed = written(numbered(rows, "l", "draw", "k").select("v", "nth", "size", "start", (F.col("start") + F.col("nth")).alias("place")))
+    total = placed.count()
+    drawn = lambda of: F.conv(F.substring(drawn_hash("pair", seed + of), 1, 15), 16, 10).cast("bigint")
+    draws = features.sparkSession.range(n if total else 0).withColumnRenamed("id", "pair").select("pair", (drawn(3) % max(1, total)).alias("place"), drawn(4).alias("r"))
+    first = draws.join(placed, "place").select("pair", F.col("v").alias("a"), "nth", "size", "start", "r")
+    if same:
+        second = F.col("start") + (F.col("nth") + 1 + F.col("r") % (F.col("size") - 1)) % F.col("size")
+    else:
+        first = first.where(F.col("size") < total)
+        second = (F.col("start") + F.col("size") + F.col("r") % (total - F.col("size"))) % total
+    return first.select("pair", "a", second.alias("place")).join(placed.select("place", F.col("v").alias("b")), "place").select("pair", "a", "b")
 
 
 def ldp(features: DataFrame, column: str, label: str, n: int, key: str = "feature_id", seed: int = 1, unit: bool = False, pair_count: int = PAIRS) -> tuple[np.ndarray, np.ndarray]:
@@ -68,7 +91,7 @@ def ldp(features: DataFrame, column: str, label: str, n: int, key: str = "featur
 
     def moments(same: bool):
         d = F.zip_with("a", "b", lambda x, y: (x - y).cast("double"))
-        rows = pairs(features, column, label, pair_count, same, key, seed).select(d.alias("d"))
+        rows = random_pairs(features, column, label, pair_count, same, key, seed).select(d.alias("d"))
         if unit:
             norm = F.sqrt(F.aggregate("d", F.lit(0.0), lambda s, x: s + x * x))
             rows = rows.withColumn("n", norm).where("n > 0").select(F.expr("transform(d, x -> x / n)").alias("d"))

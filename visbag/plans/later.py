@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import sparse
 from ..functions import vectors as V
-from ..operators import codebook, search
+from ..operators import codebook, projection, search
 from ..scratch import new_folder as scratch
 from ..sources import envelope, queue, vector_file
 from . import queries as Q
 from .more import _envelopes, _values
-from .more_oracles import BYTES, CELLS, _placed
+from .more_oracles import BYTES, CELLS, _placed, drawn
 from .oracles import E, r6, some, total
 
 K, VISITS = 5, 40
@@ -152,3 +152,46 @@ QUERIES |= {"vector_file_ranges": _vector_file(False), "vector_file_one_file": _
 ORACLES |= {k: CELLS.format(r6("val"), _held) for k in ("vector_file_ranges", "vector_file_one_file")}
 ORACLES["vector_file_selected"] = f"""WITH h AS (SELECT * FROM {_held}) {CELLS.format(r6('val'), f'(SELECT * FROM h WHERE vec_id IN (SELECT vec_id * {STEP} FROM {E}))')}
 UNION ALL SELECT vec_id, NULL::INT, NULL::DOUBLE FROM h WHERE vec_id NOT IN (SELECT vec_id * {STEP} FROM {E})"""
+
+# --- random pairs, and the moments that a discriminative projection is made of
+
+PAIRS, DRAW = 500, 11
+
+
+def _pairs(same: bool) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = Q.embeddings(spark, sf_dir).withColumn("own", F.col("vec_id"))
+        return projection.random_pairs(rows, "own", "label", PAIRS, same, "vec_id", DRAW).select("pair", F.col("a").alias("a_id"), F.col("b").alias("b_id"))
+
+    return query
+
+
+def _moments(same: bool) -> Callable[[SparkSession, str], DataFrame]:
+    """Second moments of the first four dimensions' differences."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        pairs = projection.random_pairs(Q.embeddings(spark, sf_dir), "embedding", "label", PAIRS, same, "vec_id", DRAW)
+        d = pairs.select("pair", F.expr("transform(sequence(0, 3), i -> cast(a[i] as double) - cast(b[i] as double))").alias("d"))
+        cells = d.select("pair", "d", F.posexplode("d").alias("i", "x")).select("i", "x", F.posexplode("d").alias("j", "y"))
+        return cells.groupBy("i", "j").agg(Q.r6(F.avg(F.col("x") * F.col("y"))).alias("m"))
+
+    return query
+
+
+def _pairs_sql(same: bool) -> str:
+    """p: pair, a, b (rows of embeddings)."""
+    r = lambda of: f"('0x' || {drawn('pair', DRAW + of, 15)})::BIGINT"
+    second = "start + (nth + 1 + r % (size - 1)) % size" if same else "(start + size + r % (total - size)) % total"
+    return f"""WITH o AS (SELECT *, {drawn('vec_id', DRAW + 2)} AS draw, count(*) OVER (PARTITION BY label) AS size FROM {E} WHERE label IS NOT NULL),
+g AS (SELECT *, row_number() OVER (ORDER BY substr(md5(label::VARCHAR), 1, 3), label, draw, vec_id) - 1 AS place, row_number() OVER (PARTITION BY label ORDER BY draw, vec_id) - 1 AS nth, count(*) OVER () AS total FROM o {'WHERE size > 1' if same else ''}),
+w AS (SELECT *, place - nth AS start FROM g),
+q AS (SELECT pair, {r(3)} AS f, {r(4)} AS r FROM range({PAIRS}) t(pair)),
+x AS (SELECT pair, w.vec_id AS a_id, w.embedding AS a, {second} AS place FROM q JOIN w ON w.place = q.f % w.total {'' if same else 'WHERE size < total'}),
+p AS (SELECT pair, a_id, w.vec_id AS b_id, a, w.embedding AS b FROM x JOIN w USING (place))"""
+
+
+for _name, _same in (("same", True), ("two", False)):
+    QUERIES |= {f"random_pairs_{_name}": _pairs(_same), f"pair_moments_{_name}": _moments(_same)}
+    ORACLES[f"random_pairs_{_name}"] = f"{_pairs_sql(_same)} SELECT pair, a_id, b_id FROM p"
+    ORACLES[f"pair_moments_{_name}"] = f"""{_pairs_sql(_same)} SELECT i::INT AS i, j::INT AS j, {r6('avg((a[i + 1]::DOUBLE - b[i + 1]::DOUBLE) * (a[j + 1]::DOUBLE - b[j + 1]::DOUBLE))')} AS m
+FROM p, range(4) x(i), range(4) y(j) GROUP BY i, j"""

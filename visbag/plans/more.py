@@ -48,7 +48,7 @@ def label_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pairs(spark: SparkSession, sf_dir: str, same: bool) -> DataFrame:
     rows = Q.embeddings(spark, sf_dir)
-    found = projection.pairs(rows.select("vec_id", "label", F.array("vec_id").alias("own")), "own", "label", None, same, key="vec_id", seed=SEED)
+    found = projection.neighbour_pairs(rows.select("vec_id", "label", F.array("vec_id").alias("own")), "own", "label", same, key="vec_id", seed=SEED)
     return found.select(F.col("a")[0].alias("a_id"), F.col("b")[0].alias("b_id"))
 
 
