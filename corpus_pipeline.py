@@ -3,8 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``.
 Rows whose doc_id is null go by their text in the second stage; of rows that share a doc_id that stage keeps one, the
 first by text; texts may be null or empty (those without words stay). Columns other than those of ``documents`` are left
-out. The first stage learns from the labels that its query learns from. A stage's result must have been written when the
-next one is called: the third removes the tables that the second has left in the shared folder.
+out. The first stage learns from the labels that its query learns from. The second removes the tables that its
+join makes before it returns, and nothing else; stages and queries of one session do not touch one another.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from visbag.llm import byte_bpe, decontaminate, jaccard, quality, substring
-from visbag.llm.common import columns, forgotten, materialised, table
+from visbag.llm.common import columns, materialised, passing, table
 
 TYPES = {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"}
 LEAST_SCORE = 0.3
@@ -31,9 +31,10 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of the Jaccard join, the document with the smallest doc_id: shingles of five words, from 0.8."""
     docs = columns(docs, **TYPES)
-    found = jaccard.joined(docs, jaccard.Join(words=5, over=4, under=5)).withColumn("unnamed", F.col("doc_id").isNull())
-    first = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct("unnamed", "key")).alias("first")).select("first.*")
-    stay = first.unionByName(found.where("n_shingles = 0").select("unnamed", "key")).distinct()
+    with passing(spark):  # the join's tables may be larger than its input; the names of what stays are small
+        found = jaccard.joined(docs, jaccard.Join(words=5, over=4, under=5)).withColumn("unnamed", F.col("doc_id").isNull())
+        first = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct("unnamed", "key")).alias("first")).select("first.*")
+        stay = materialised(first.unionByName(found.where("n_shingles = 0").select("unnamed", "key")).distinct(), kind="stay")
     rows = docs.withColumn("key", F.coalesce("doc_id", F.xxhash64("text"))).withColumn("unnamed", F.col("doc_id").isNull())
     order = Window.partitionBy("unnamed", "key").orderBy(F.col("text").asc_nulls_last(), *(c for c in TYPES if c not in ("doc_id", "text")))
     kept = rows.join(stay, ["unnamed", "key"], "left_semi").withColumn("nth", F.row_number().over(order))
@@ -42,7 +43,6 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of passages that start in an earlier document go; where none go, the text is left as it is."""
-    forgotten(spark)  # what the join has materialised may be larger than its input
     out = substring.deduplicated(columns(docs, **TYPES), keep=tuple(TYPES))
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
     return out.withColumn("text", text).withColumn("n_chars", F.length("text").cast("bigint")).select(*TYPES)

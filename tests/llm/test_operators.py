@@ -362,5 +362,8 @@ def test_queries_equal_sql(spark, sf, name):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_queries_run(spark, sf, name):
+    if name.startswith("op11"):  # a row a node
+        assert QUERIES[name](spark, sf).where("depth = 0").count() == 1
+        return
     kind = "embeddings" if name.startswith("op10") else "pages" if name.startswith("op1_") else "documents"
     assert QUERIES[name](spark, sf).count() == spark.read.parquet(f"{sf}/{kind}.parquet").count()

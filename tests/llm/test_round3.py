@@ -134,3 +134,26 @@ def test_inverse_of_flat_pieces(spark):
 
 def test_checksum_is_the_contracts(spark):
     assert spark.sql("SELECT crc32(cast('-7' AS binary)) AS c").first().c == zlib.crc32(b"-7")
+
+
+def test_stages_leave_the_tables_of_other_queries(spark, sf):
+    """A join built before the pipeline's stages and read after them, twice; the stages' own join leaves no table."""
+    from pathlib import Path
+
+    import corpus_pipeline
+    from visbag.llm import common, jaccard
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    join = jaccard.joined(docs)
+    folders = lambda: {p.name for p in Path(common._tables(spark).removeprefix("file://")).parent.glob("passing-*")}
+    kept = corpus_pipeline.without_near_copies(spark, docs, sf)
+    other = corpus_pipeline.without_near_copies(spark, docs.where("doc_id < 100"), sf)
+    assert folders() == set()
+    third = corpus_pipeline.without_repeated_passages(spark, docs, sf)
+    assert third.count() == docs.count() == join.count() and join.where("component_id is null").count() == 0
+    assert 0 < other.count() < kept.count() < docs.count()
+    with pytest.raises(ZeroDivisionError):
+        with common.passing(spark):
+            common.materialised(docs.select("doc_id"))
+            1 / 0
+    assert folders() == set() and kept.count() > 0

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +18,7 @@ from pyspark.sql import functions as F
 #: Rows that go to Python at once. Texts have no bounded length, so the default of 10,000 rows does not bound memory.
 ARROW_ROWS = 512
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+_KIND = contextvars.ContextVar("kind", default="tables")
 
 
 def prepared(spark: SparkSession) -> SparkSession:
@@ -50,14 +54,31 @@ def _tables(spark: SparkSession, kind: str = "tables") -> str:
 
 def forgotten(spark: SparkSession) -> None:
     """Removes the tables that operators of this application have materialised; their results must have been written."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_tables(spark))
+    _removed(spark, _tables(spark))
+
+
+def _removed(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialised(df: DataFrame, *partitions: str, kind: str = "tables") -> DataFrame:
+@contextlib.contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """The tables that are materialised inside, under no kind of their own, are removed at the end, and no others: what is
+    to last must have been materialised under a kind by then."""
+    kind = f"passing-{uuid.uuid4().hex}"
+    before = _KIND.set(kind)
+    try:
+        yield
+    finally:
+        _KIND.reset(before)
+        _removed(spark, _tables(spark, kind))
+
+
+def materialised(df: DataFrame, *partitions: str, kind: str | None = None) -> DataFrame:
     """``df`` written to the shared folder and read again: later plans start from files any executor can read."""
     spark = df.sparkSession
-    path = f"{_tables(spark, kind)}/{uuid.uuid4().hex}"
+    path = f"{_tables(spark, kind or _KIND.get())}/{uuid.uuid4().hex}"
     df.write.partitionBy(*partitions).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
