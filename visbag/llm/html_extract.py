@@ -2,18 +2,24 @@
 recur across many pages of the host; what else is not the article goes by its element, role or class.
 
 1. Pages are dealt into chunks by a hash. A chunk parses its pages and sends, packed by bucket, the distinct keys of
-   (host, subtree), each with the SKETCH least hashes of the texts of its pages; and (host, no subtree) with those of
-   the host. A bucket puts them together, counts the different texts (exactly below SKETCH, else by the least hashes)
-   and answers each chunk in its order. One host may have any share of the pages: keys, not hosts, are dealt out, and
-   each chunk sends a key once.
-2. A chunk parses its pages again and deletes the subtrees that occur with enough different texts: MANY, or half the
-   root of the host's number if that is more, so the share falls with the size of the host and copies of one page are
-   no template. Inside an article only containers go (a paragraph or heading that recurs is quoted text), and never
-   what holds the page's longest article, or its main element.
+   their subtrees, each with the SKETCH least hashes of the texts of its pages, and those of the hosts. A bucket puts
+   them together, counts the different texts (exactly below SKETCH, else by the least hashes) and answers each chunk in
+   its order. One host may have any share of the pages: keys, not hosts, are dealt out, and each chunk sends a key once.
+   A subtree has three keys: (host, place, subtree), (host, place, shape: its elements without texts), and the subtree
+   on any host; its place is the elements that hold it.
+2. A chunk parses its pages again and deletes the subtrees that stand in one place with enough different texts of the
+   host's pages: MANY, or half the root of the host's number if that is more, so the share falls with the size of the
+   host and copies of one page are no template. A slot whose texts change goes if its shape stands there so often and its
+   text on MANY pages of any hosts. What holds the page's content never goes: its longest article, else its main element,
+   else the innermost element with half of the page's letters outside links and menus, or, if that is the body, the
+   element with the most letters of its own. Outside the content only what is
+   smaller than it goes; inside, only small containers of links or loose text: paragraphs, headings, lists, tables and
+   what is made of them stay, however often they recur.
 3. What the counts leave goes by rules: scripts, styles, forms, menus, asides, footers, headers outside the article,
    hidden elements, and elements one of whose classes, or whose id, consists of words of SAYS and NEUTRAL ("comments",
-   "ad-box", but not "with-sidebar" or "related-work"), or whose role is in ROLES. Of what stays, the outermost article
-   elements count if there are any, else main, else the body.
+   "ad-box", but not "with-sidebar" or "related-work"; names of headings say nothing, those of paragraphs, lists and
+   tables in an article only if they speak of advertising), or whose role is in ROLES. Of what stays, the outermost
+   article elements count if there are any, else main, else the body.
 
 Blocks are texts between starts and ends of block elements. Character references are decoded, white space inside a
 block becomes one space, blocks are trimmed, empty ones dropped, and joined by a blank line. ``<br>`` is white space.
@@ -28,6 +34,7 @@ import html
 import math
 import re
 from hashlib import blake2b
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -52,26 +59,32 @@ GONE = frozenset("script style title template noscript svg math noframes".split(
 APART = frozenset("nav aside footer form button select dialog object audio video canvas menu search fieldset input label datalist head textarea iframe".split())
 CONTAINERS = frozenset("div section aside nav header footer form ul ol dl menu table figure details dialog fieldset search".split())
 TOP = frozenset(["", "html", "body"])
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PROSE = frozenset("p pre blockquote ul ol li dl dt dd table tr td th figure figcaption".split()) | HEADINGS
+HOLDERS = frozenset("div section article main td body html blockquote center".split()) | {""}
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 # Words of class names and ids that tell what is not the article, and words that may stand beside them.
-SAYS = frozenset("ad ads adbox adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promotion promotions recommendations recommended related reply replies response responses search share sharing sidebar signin signup skip skiplink social sponsor sponsored subscribe subscription toolbar widget widgets".split())
-NEUTRAL = frozenset("area articles bar block body bottom box button buttons c container content control controls cover css entry form global group header icons inner item items js l left link links list main menu module news of outer overlay page panel posts primary reader right secondary section site slot static sticky stories story the thread title to top unit user wrap wrapper".split())
+SAYS = frozenset("ad ads adbox adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs comment commentlist comments consent cookie cookiebanner cookiebar cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification onetrust pager pagination popup promo promotion promotions recommendations recommended related reply replies respond response responses search share sharing sidebar signin signup skip skiplink social sponsor sponsored subscribe subscription toolbar widget widgets".split())
+ADVERTS = frozenset("ad ads adbox adsense advert adverts advertisement advertising promo promotion promotions sponsor sponsored".split())
+NEUTRAL = frozenset("area articles bar block body bottom box button buttons c cc container content control controls cover css entry form global group header icons inner item items js l left link links list main menu module news of outer overlay page panel posts primary reader right sdk secondary section site slot static sticky stories story the thread title to top unit user wrap wrapper".split())
 
 
-def named(names: str) -> bool:
-    """Whether one of the names consists of words of SAYS and NEUTRAL, one of SAYS at least."""
+def named(names: str, says: frozenset = SAYS) -> bool:
+    """Whether one of the names consists of words of ``says`` and NEUTRAL, one of ``says`` at least."""
     for name in names.lower().split():
         words = [w for w in re.split(r"[-_]+", name) if w and not w.isdigit()]
-        if any(w in SAYS for w in words) and all(w in SAYS or w in NEUTRAL for w in words):
+        if any(w in says for w in words) and all(w in says or w in NEUTRAL for w in words):
             return True
     return False
 
 
 class Node:
-    __slots__ = ("tag", "said", "gone", "inside", "open", "close", "size", "key")
+    __slots__ = ("tag", "said", "gone", "inside", "open", "close", "size", "prose", "links", "own", "made", "keys")
 
     def __init__(self, tag: str, inside: bool, at: int):
-        self.tag, self.inside, self.open, self.close, self.said, self.gone, self.size, self.key = tag, inside, at, at, False, tag in GONE, 0, 0
+        self.tag, self.inside, self.open, self.close, self.said, self.gone = tag, inside, at, at, False, tag in GONE
+        self.size = self.prose = self.links = self.own = 0  # letters: all, outside links and menus, in links; of prose, those in no holder within
+        self.made, self.keys = False, ()  # whether there are elements of PROSE in it; keys of what counts may delete
 
 
 class Page:
@@ -131,7 +144,8 @@ class Page:
                 for key, a, b, c in NAMED.findall(attributes):
                     key, value = key.lower(), a or b or c
                     if key in ("class", "id"):
-                        node.said |= named(value)
+                        prose = name in PROSE and node.inside
+                        node.said |= name not in HEADINGS and (not prose or key == "class") and named(value, ADVERTS if prose else SAYS)
                     elif key == "role":
                         node.said |= value.lower().strip() in ROLES
                     elif key == "hidden" or HIDDEN.search(value):
@@ -156,18 +170,58 @@ class Page:
         self._measure()
 
     def _measure(self) -> None:
-        """Letters of each element's own and inner texts; the longest article, else main, and what holds it."""
-        total, sizes, at = 0, [], 0
+        """Letters of each element's own and inner texts; the content (see the module's text) and what holds it."""
+        nodes, total, prose, links = self.nodes, 0, 0, 0
+        begun, apart, linked, made, holders = [], 0, 0, 0, []
         for x in self.flow:
             if isinstance(x, str):
-                total += len(x)
+                n = len(x) - x.count(" ") - x.count("\n")
+                total += n
+                if linked:
+                    links += n
+                elif not apart:
+                    prose += n
+                    holders[-1].own += n
             elif x >= 0:
-                sizes.append(total)
+                node = nodes[x]
+                begun.append((total, prose, links, made))
+                if node.tag in HOLDERS:
+                    holders.append(node)
+                apart += bool(node.gone or node.tag in APART or node.said)
+                linked += node.tag == "a"
+                made += node.tag in PROSE
             else:
-                self.nodes[~x].size = total - sizes.pop()
-        kept = [n for n in self.nodes if n.tag == "article" and not n.said and not n.gone] or [n for n in self.nodes if n.tag == "main" and not n.gone]
-        at = max(kept, key=lambda n: n.size).open if kept else -1
-        self.holds = {n.open for n in self.nodes if n.open <= at <= n.close}
+                node = nodes[~x]
+                if node.tag in HOLDERS:
+                    holders.pop()
+                apart -= bool(node.gone or node.tag in APART or node.said)
+                linked -= node.tag == "a"
+                t, p, k, m = begun.pop()
+                node.size, node.prose, node.links, node.made = total - t, prose - p, links - k, made - m > (node.tag in PROSE)
+        kept = [n for n in nodes if n.tag == "article" and not n.said and not n.gone] or [n for n in nodes if n.tag == "main" and not n.gone]
+        if kept:
+            content = max(kept, key=lambda n: n.size)
+        else:
+            half = [n for n in nodes if n.tag in HOLDERS and not n.gone and not n.said and 2 * n.prose >= prose > 0]
+            content = half[-1] if half else None  # each holds the next, but for two halves
+            if content and content.tag in TOP:
+                content = max((n for n in nodes if n.tag in HOLDERS and not n.gone and not n.said), key=lambda n: n.own)
+        at = content.open if content else -1
+        self.content = content
+        self.holds = {n.open for n in nodes if n.open <= at <= n.close}
+
+    def deletable(self, node: Node, prose_top: bool) -> bool:
+        """Whether counts may delete the element; ``prose_top``: prose that stands in the content or right in the body that
+        is the content."""
+        content = self.content
+        if node.tag in TOP or node.tag in ("article", "main") or node.open in self.holds:
+            return False
+        if content is None:
+            return True
+        if content.open < node.open < content.close and (content.tag not in TOP or prose_top):
+            # a small container of links or of text that is in no paragraph
+            return node.tag in CONTAINERS and node.tag not in PROSE and 2 * node.size <= content.size and (not node.made or 2 * node.links >= node.size)
+        return node.size <= content.size
 
     def unwanted(self, node: Node) -> bool:
         if node.gone or node.tag in APART and not (node.tag in ("form", "fieldset") and node.open in self.holds):
@@ -175,8 +229,11 @@ class Page:
         return node.tag == "header" and not node.inside and node.open not in self.holds or node.said and node.tag not in TOP and node.open not in self.holds
 
     def hash(self, host: bytes) -> list[int]:
-        """Sets and returns the keys of (host, subtree) of the elements that counts may delete."""
-        open_, texts, keys = [], [], []
+        """Sets and returns the keys of the elements that counts may delete: of (host, place, subtree), and, outside the
+        content and where no rule deletes them, of (host, place, shape) and of the subtree on any host."""
+        open_, texts, shapes, places, keys = [], [], [], [], []
+        out = depth = 0  # elements around that go by a rule, that are prose
+        content, number = self.content, lambda data, key: int.from_bytes(blake2b(data, key=key, digest_size=8).digest(), "little")
         for x in self.flow:
             if isinstance(x, str):
                 words = " ".join(x.split())
@@ -184,28 +241,52 @@ class Page:
                     open_[-1].update(b"\0" + words.encode("utf-8", "replace"))
                     texts[-1] = True
             elif x >= 0:
-                open_.append(blake2b(self.nodes[x].tag.encode(), digest_size=8))
+                node = self.nodes[x]
+                tag = node.tag.encode()
+                open_.append(blake2b(tag, digest_size=8))
+                shapes.append(crc32(tag))
+                places.append(crc32(tag + b"/", places[-1] if places else 0))
                 texts.append(False)
+                out += self.unwanted(node)
+                depth += node.tag in PROSE
             else:
-                node, digest, text = self.nodes[~x], open_.pop().digest(), texts.pop()
+                node, digest, text, shape, place = self.nodes[~x], open_.pop().digest(), texts.pop(), shapes.pop(), places.pop()
+                wanted = not self.unwanted(node)
+                out -= not wanted
+                depth -= node.tag in PROSE
+                if open_ and not node.gone:
+                    shapes[-1] = crc32(shape.to_bytes(4, "little"), shapes[-1])
                 if text and not node.gone:
                     if open_:
                         open_[-1].update(b"\1" + digest)
                         texts[-1] = True
-                    if node.tag not in TOP and node.tag not in ("article", "main") and node.open not in self.holds and (not node.inside or node.tag in CONTAINERS):
-                        node.key = int.from_bytes(blake2b(digest, key=host, digest_size=8).digest(), "little")
-                        keys.append(node.key)
+                    if self.deletable(node, bool(depth) or node.tag in PROSE):
+                        where = place.to_bytes(4, "little")
+                        node.keys = (number(digest + where, host),)
+                        inside = content and content.open < node.open < content.close and content.tag not in TOP
+                        if wanted and not out and not inside and node.tag not in HEADINGS:
+                            node.keys += (number(b"shape" + shape.to_bytes(4, "little") + where, host), number(b"text" + digest, b"any"))
+                        keys += node.keys
         return keys
 
+    def recurring(self, count, enough: float) -> set[int]:
+        """Where the elements start that occur often enough; ``count``: of a key, ``enough``: pages of the host."""
+        gone = set()
+        for node in self.nodes:
+            k = node.keys
+            if k and (count(k[0]) >= enough or len(k) > 1 and count(k[1]) >= enough and count(k[2]) >= MANY):
+                gone.add(node.open)
+        return gone
+
     def blocks(self, gone=frozenset()) -> list[str]:
-        """Texts of the blocks of the content, without the elements whose key is in ``gone``."""
+        """Texts of the blocks of the content, without the elements that start at one of ``gone``."""
         flow, nodes, skip, articles, mains, at = self.flow, self.nodes, {}, [], [], 0
         upto = {"article": -1, "main": -1}
         while at < len(flow):
             x = flow[at]
             if not isinstance(x, str) and x >= 0:
                 node = nodes[x]
-                if x and (self.unwanted(node) or node.key and node.key in gone):
+                if x and (self.unwanted(node) or node.open in gone):
                     skip[at] = node
                     at = node.close
                 elif node.tag in upto and node.open > upto[node.tag]:
@@ -315,9 +396,9 @@ def _texts(table: pa.Table, replies: pa.Table, bits: int) -> pa.Table:
     out, removed = [], []
     for page, own, of_host in pages:
         enough = least(count.get(of_host, 0))
-        gone = {k for k in own if count.get(k, 0) >= enough}
+        gone = page.recurring(lambda k: count.get(k, 0), enough)  # noqa: B023  called at once
         out.append("\n\n".join(page.blocks(gone)))
-        removed.append(sum(k in gone for k in own))
+        removed.append(len(gone))
     released()
     return pa.table([table.column("page_id"), table.column("url"), pa.array(out, pa.string()), pa.array(removed, pa.int64())], ["page_id", "url", "text", "n_templates"])
 
