@@ -12,7 +12,7 @@ recur across many pages of the host; what else is not the article goes by its el
    host and copies of one page are no template. A slot whose texts change goes if its shape stands there so often and its
    text on MANY pages of any hosts. What holds the page's content never goes: its longest article, else its main element,
    else the innermost element with half of the page's letters outside links and menus, or, if that is the body, the
-   element with the most letters of its own. Outside the content only what is
+   element with the most letters of its own in paragraphs and the like. Outside the content only what is
    smaller than it goes; inside, only small containers of links or loose text: paragraphs, headings, lists, tables and
    what is made of them stay, however often they recur.
 3. What the counts leave goes by rules: scripts, styles, forms, menus, asides, footers, headers outside the article,
@@ -83,7 +83,7 @@ class Node:
 
     def __init__(self, tag: str, inside: bool, at: int):
         self.tag, self.inside, self.open, self.close, self.said, self.gone = tag, inside, at, at, False, tag in GONE
-        self.size = self.prose = self.links = self.own = 0  # letters: all, outside links and menus, in links; of prose, those in no holder within
+        self.size = self.prose = self.links = self.own = 0  # letters: all, outside links and menus, in links; of paragraphs and the like, in no holder within
         self.made, self.keys = False, ()  # whether there are elements of PROSE in it; keys of what counts may delete
 
 
@@ -172,7 +172,7 @@ class Page:
     def _measure(self) -> None:
         """Letters of each element's own and inner texts; the content (see the module's text) and what holds it."""
         nodes, total, prose, links = self.nodes, 0, 0, 0
-        begun, apart, linked, made, holders = [], 0, 0, 0, []
+        begun, apart, linked, made, around, holders = [], 0, 0, 0, 0, []
         for x in self.flow:
             if isinstance(x, str):
                 n = len(x) - x.count(" ") - x.count("\n")
@@ -181,7 +181,7 @@ class Page:
                     links += n
                 elif not apart:
                     prose += n
-                    holders[-1].own += n
+                    holders[-1].own += n if around else 0
             elif x >= 0:
                 node = nodes[x]
                 begun.append((total, prose, links, made))
@@ -190,12 +190,14 @@ class Page:
                 apart += bool(node.gone or node.tag in APART or node.said)
                 linked += node.tag == "a"
                 made += node.tag in PROSE
+                around += node.tag in PROSE
             else:
                 node = nodes[~x]
                 if node.tag in HOLDERS:
                     holders.pop()
                 apart -= bool(node.gone or node.tag in APART or node.said)
                 linked -= node.tag == "a"
+                around -= node.tag in PROSE
                 t, p, k, m = begun.pop()
                 node.size, node.prose, node.links, node.made = total - t, prose - p, links - k, made - m > (node.tag in PROSE)
         kept = [n for n in nodes if n.tag == "article" and not n.said and not n.gone] or [n for n in nodes if n.tag == "main" and not n.gone]
