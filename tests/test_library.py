@@ -307,6 +307,47 @@ def test_tree_nodes_by_their_own_rows(spark):
         trees.grown(feats, "TERC", method="ScWithError")
 
 
+@pytest.mark.parametrize("kind,products", [("TERC", False), ("TPC", False), ("TPC", True)])
+def test_histograms_give_the_statistics_of_both_children(spark, kind, products):
+    """What one pass and differences give is what a pass over the children's own rows gives, drawn rows included."""
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((700, 5)).astype(np.float32)
+    x[300:400] = x[0]  # equal rows
+    rows = spark.createDataFrame([(int(i % 3), v.tolist()) for i, v in enumerate(x)], "label int, x array<float>").repartition(7)
+    rows = rows.select("label", "x", F.xxhash64("x").alias("key"))
+    stats = trees._node_stats(rows, kind, [None], [0], 5, 3, products, classes=True)
+    tests = {0: trees._tests(rng, kind, 5, 4, stats[0], "")}
+    tests[0][1] = tests[0][0] | {"threshold": -2.5}  # few rows on one side
+    found = trees._histograms(rows, kind, [None], tests, stats, True, 3)
+    assert found.where("test = -1").count() <= 2 * 3 * 4
+    counts = {(r.test, r.label): (r.left, r.right) for r in trees._sides(found, stats, [0]).collect()}
+    want = {(r.test, r.label): (r.left, r.right) for r in trees._counts(rows, kind, [None], tests).collect()}
+    assert counts == want
+    for t in range(4):
+        decided = [tests[0][t] | {"left_node": 1, "right_node": 2}, None, None]
+        children = trees._children(found, kind, decided, {0: t}, stats, 5, True, 3)
+        if products:
+            trees._with_products(rows, kind, decided, {0: stats[0]}, children, 5)
+        direct = trees._node_stats(rows, kind, decided, [1, 2], 5, 3, products, classes=True)
+        for n in (1, 2):
+            a, b = children[n], direct[n]
+            assert a.n == b.n and a.labels == b.labels and np.allclose(a.sums, b.sums) and np.allclose(a.squares, b.squares)
+            assert np.array_equal(a.drawn[np.lexsort(a.drawn.T)], b.drawn[np.lexsort(b.drawn.T)])
+            if products:
+                assert np.allclose(a.products, b.products) and all(np.allclose(a.classes[c], b.classes[c]) for c in b.classes)
+
+
+def test_tree_level_is_one_pass(spark, monkeypatch):
+    _, _, _, feats = book_and_features(spark, n=300)
+    passes = []
+    own = trees._histograms
+    monkeypatch.setattr(trees, "_histograms", lambda *a: passes.append(len(a[3])) or own(*a))
+    nodes = trees.grown(feats, "TERC", tries=6, levels=4, seed=5)
+    assert 1 <= len(passes) <= 4 and len(nodes) > 4
+    monkeypatch.setattr(trees, "CELLS", 1)  # a node at a time: the same tree
+    assert [n["dim1"] for n in trees.grown(feats, "TERC", tries=6, levels=4, seed=5)] == [n["dim1"] for n in nodes] and len(passes) > 8
+
+
 def test_trees(spark):
     _, _, _, feats = book_and_features(spark, n=300)
     for kind, options in (("TERC", {}), ("TERC", {"random_threshold": False}), ("TCMP", {}), ("TPC", {}), ("TPC", {"directions": "PCA"}), ("TPC", {"directions": "LDP"})):

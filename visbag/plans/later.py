@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions import sparse
 from ..functions import vectors as V
-from ..operators import codebook, projection, search
+from ..operators import codebook, projection, search, trees
 from ..scratch import new_folder as scratch
 from ..sources import envelope, queue, vector_file
 from . import queries as Q
 from .more import _envelopes, _values
 from .more_oracles import BYTES, CELLS, _placed, drawn
-from .oracles import E, r6, some, total
+from .oracles import E, g, r6, some, total
 
 K, VISITS = 5, 40
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -195,3 +195,55 @@ for _name, _same in (("same", True), ("two", False)):
     ORACLES[f"random_pairs_{_name}"] = f"{_pairs_sql(_same)} SELECT pair, a_id, b_id FROM p"
     ORACLES[f"pair_moments_{_name}"] = f"""{_pairs_sql(_same)} SELECT i::INT AS i, j::INT AS j, {r6('avg((a[i + 1]::DOUBLE - b[i + 1]::DOUBLE) * (a[j + 1]::DOUBLE - b[j + 1]::DOUBLE))')} AS m
 FROM p, range(4) x(i), range(4) y(j) GROUP BY i, j"""
+
+# --- growing trees: which of given tests each node takes, and how it scores, level by level
+
+TRIES, LEVELS, DIMS = 4, 3, 64
+
+
+def _given(kind: str) -> Callable[[int], list[dict]]:
+    """The tests of the node with path p: a rule that SQL can follow."""
+
+    def of(p: int) -> list[dict]:
+        if kind == "TERC":
+            return [{"dim1": (5 * p + 11 * t) % DIMS, "threshold": ((p + t) % 5 - 2) / 50} for t in range(TRIES)]
+        if kind == "TCMP":
+            return [{"dim1": (5 * p + 11 * t) % DIMS, "dim2": (3 * p + 7 * t + 1) % DIMS, "threshold": 0.0} for t in range(TRIES)]
+        return [{"projection": [((7 * p + 13 * t + 29 * i) % 17 - 8) / 10 for i in range(DIMS)], "threshold": ((p + t) % 3 - 1) / 20} for t in range(TRIES)]
+
+    return of
+
+
+def _tree_tests(kind: str) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = trees.chosen_tests(Q.embeddings(spark, sf_dir), kind, _given(kind), TRIES, LEVELS, column="embedding")
+        rows = [tuple(n[c] for c in ("path", "test", "score", "left_rows", "right_rows")) for n in found]  # of the nodes
+        return spark.createDataFrame(rows, "path int, test int, score double, left_rows bigint, right_rows bigint").withColumn("score", Q.r6(F.col("score")))
+
+    return query
+
+
+_at = "embedding[1 + (({}) % 64)]::DOUBLE"
+_compared = {
+    "TERC": (_at.format("5 * path + 11 * t"), "((path + t) % 5 - 2)::DOUBLE / 50"),
+    "TCMP": (f"{_at.format('5 * path + 11 * t')} - {_at.format('3 * path + 7 * t + 1')}", "0::DOUBLE"),
+    "TPC": ("list_sum(list_transform(range(64), lambda i: embedding[1 + i]::DOUBLE * (((7 * path + 13 * t + 29 * i) % 17 - 8)::DOUBLE / 10)))", "((path + t) % 3 - 1)::DOUBLE / 20"),
+}
+
+
+def _tree_tests_sql(kind: str) -> str:
+    value, threshold = _compared[kind]
+    parts = [f"a0 AS (SELECT vec_id, label, embedding, 1 AS path FROM {E} WHERE embedding IS NOT NULL AND label IS NOT NULL)"]
+    for i in range(LEVELS):
+        parts.append(f"""v{i} AS (SELECT path, t, label, vec_id, {value} <= {threshold} AS l FROM a{i}, range({TRIES}) x(t)),
+c{i} AS (SELECT path, t, label, count(*) FILTER (l) AS l, count(*) FILTER (NOT l) AS r FROM v{i} GROUP BY path, t, label),
+t{i} AS (SELECT *, sum(l) OVER (PARTITION BY path, t) AS nl, sum(r) OVER (PARTITION BY path, t) AS nr FROM c{i}),
+s{i} AS (SELECT path, t, max(nl) AS nl, max(nr) AS nr, sum({g('(l + r)', '(nl + nr)')}) AS hc, sum({g('l', '(nl + nr)')} + {g('r', '(nl + nr)')}) AS hct, any_value({g('nl', '(nl + nr)')} + {g('nr', '(nl + nr)')}) AS ht FROM t{i} WHERE nl > 0 AND nr > 0 GROUP BY path, t),
+b{i} AS (SELECT path, t, nl, nr, 2 * (hc + ht - hct) / (hc + ht) AS score FROM s{i} WHERE 2 * (hc + ht - hct) / (hc + ht) > 1e-6 QUALIFY row_number() OVER (PARTITION BY path ORDER BY 2 * (hc + ht - hct) / (hc + ht) DESC, t) = 1),
+a{i + 1} AS (SELECT a.vec_id, a.label, a.embedding, (2 * a.path + (NOT v.l)::INT)::INT AS path FROM a{i} a JOIN b{i} b ON a.path = b.path JOIN v{i} v ON v.vec_id = a.vec_id AND v.path = b.path AND v.t = b.t)""")
+    chosen = " UNION ALL ".join(f"SELECT path, t::INT AS test, {r6('score')} AS score, nl::BIGINT AS left_rows, nr::BIGINT AS right_rows FROM b{i}" for i in range(LEVELS))
+    return f"WITH {', '.join(parts)} {chosen}"
+
+
+for _kind in trees.KINDS:
+    QUERIES[f"tree_tests_{_kind.lower()}"], ORACLES[f"tree_tests_{_kind.lower()}"] = _tree_tests(_kind), _tree_tests_sql(_kind)
