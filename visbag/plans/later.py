@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sparse
 from ..functions import vectors as V
-from ..operators import codebook, projection, search, trees
+from ..operators import codebook, projection, search, trees, wide
 from ..scratch import new_folder as scratch
 from ..sources import envelope, queue, vector_file
 from . import queries as Q
@@ -247,3 +247,39 @@ a{i + 1} AS (SELECT a.vec_id, a.label, a.embedding, (2 * a.path + (NOT v.l)::INT
 
 for _kind in trees.KINDS:
     QUERIES[f"tree_tests_{_kind.lower()}"], ORACLES[f"tree_tests_{_kind.lower()}"] = _tree_tests(_kind), _tree_tests_sql(_kind)
+
+# --- principal directions by the randomised range finder: dimension i of the embeddings times FALL ** i, so that variances fall
+
+COMPONENTS, FALL, SQUARINGS = 3, 0.9, 12
+
+
+def pca_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    falling = F.transform("embedding", lambda x, i: x.cast("double") * F.pow(F.lit(FALL), i.cast("double")))
+    rows, variances = wide.pca(Q.embeddings(spark, sf_dir).select(falling.alias("v")), "v", COMPONENTS, steps=12)
+    found = [(c, d, float(w), float(variances[c])) for c, row in enumerate(rows) for d, w in enumerate(row)]  # components x dimensions
+    return spark.createDataFrame(found, "component int, dim int, weight double, variance double").select("component", "dim", Q.r6(F.col("weight")).alias("weight"), Q.r6(F.col("variance")).alias("variance"))
+
+
+def _directions_sql() -> str:
+    """Powers of the covariance by squaring, which leave the projector on its first direction; what that explains is taken
+    off for the next one."""
+    parts = [
+        f"e AS MATERIALIZED (SELECT vec_id, i::INT AS i, x::DOUBLE * pow({FALL}::DOUBLE, i) AS x FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM {E}))",
+        "m AS MATERIALIZED (SELECT i, avg(x) AS mean FROM e GROUP BY i)",
+        "d AS MATERIALIZED (SELECT vec_id, i, x - mean AS x FROM e JOIN m USING (i))",
+        "c0 AS MATERIALIZED (SELECT a.i, b.i AS j, avg(a.x * b.x) AS c FROM d a JOIN d b USING (vec_id) GROUP BY a.i, b.i)",
+    ]
+    for k in range(COMPONENTS):
+        parts.append(f"p{k}_0 AS MATERIALIZED (SELECT i, j, c / (SELECT sum(c) FROM c{k} WHERE i = j) AS c FROM c{k})")
+        for s in range(SQUARINGS):
+            parts.append(f"s{k}_{s} AS MATERIALIZED (SELECT a.i, b.j, sum(a.c * b.c) AS c FROM p{k}_{s} a JOIN p{k}_{s} b ON a.j = b.i GROUP BY a.i, b.j)")
+            parts.append(f"p{k}_{s + 1} AS MATERIALIZED (SELECT i, j, c / (SELECT sum(c) FROM s{k}_{s} WHERE i = j) AS c FROM s{k}_{s})")
+        last = f"p{k}_{SQUARINGS}"
+        parts.append(f"w{k} AS MATERIALIZED (SELECT j AS i, c / sqrt(top) AS w FROM {last} JOIN (SELECT i, c AS top FROM {last} WHERE i = j ORDER BY c DESC, i LIMIT 1) USING (i))")
+        parts.append(f"l{k} AS MATERIALIZED (SELECT sum(a.w * c * b.w) AS l FROM c{k} c JOIN w{k} a ON a.i = c.i JOIN w{k} b ON b.i = c.j)")
+        parts.append(f"c{k + 1} AS MATERIALIZED (SELECT c.i, c.j, c - l * a.w * b.w AS c FROM c{k} c JOIN w{k} a ON a.i = c.i JOIN w{k} b ON b.i = c.j, l{k})")
+    chosen = " UNION ALL ".join(f"SELECT {k} AS component, i AS dim, {r6('w')} AS weight, {r6('l')} AS variance FROM w{k}, l{k}" for k in range(COMPONENTS))
+    return f"WITH {', '.join(parts)} {chosen}"
+
+
+QUERIES["pca_directions"], ORACLES["pca_directions"] = pca_directions, _directions_sql()
