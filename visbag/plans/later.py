@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import sparse
 from ..functions import vectors as V
-from ..operators import codebook, projection, search, trees, wide
+from ..operators import codebook, kmeans, projection, search, trees, wide
 from ..scratch import new_folder as scratch
 from ..sources import envelope, queue, vector_file
 from . import queries as Q
 from .more import _envelopes, _values
-from .more_oracles import BYTES, CELLS, _placed, drawn
+from .more_oracles import BYTES, CELLS, _placed, drawn, lloyd
 from .oracles import E, g, r6, some, total
 
 K, VISITS = 5, 40
@@ -283,3 +283,23 @@ def _directions_sql() -> str:
 
 
 QUERIES["pca_directions"], ORACLES["pca_directions"] = pca_directions, _directions_sql()
+
+# --- k-means whose rows keep distance bounds between steps: the same words, most distances skipped
+
+BOUND_WORDS, BOUND_STEPS = 16, 3
+
+
+def kmeans_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = kmeans.trained(Q.features(spark, sf_dir), BOUND_WORDS, BOUND_STEPS, bounded=True)
+    return out.select("word", F.posexplode("center").alias("dim", "c")).select("word", "dim", (F.round(F.col("c").cast("double"), 3) + F.lit(0.0)).alias("c"))
+
+
+def kmeans_work(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each of six steps with 32 words: distances computed, and rows times words."""
+    work: list = []
+    kmeans.trained(Q.features(spark, sf_dir), 32, 6, bounded=True, work=work)
+    return spark.createDataFrame([(i, *w) for i, w in enumerate(work)], "step int, compared bigint, possible bigint")
+
+
+QUERIES |= {"kmeans_bounded": kmeans_bounded, "kmeans_work": kmeans_work}
+ORACLES["kmeans_bounded"] = lloyd(BOUND_WORDS, BOUND_STEPS, f"{drawn('feature_id', 1)}, feature_id")

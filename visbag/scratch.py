@@ -18,8 +18,8 @@ def new_folder(spark: SparkSession) -> str:
     return f"{where.rstrip('/')}/tables/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df``, written and read again."""
-    path = new_folder(df.sparkSession)
-    df.write.parquet(path)
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
+    """``df``, written (to ``path``, in place of what is there; else to a new folder) and read again."""
+    path = path or new_folder(df.sparkSession)
+    df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
