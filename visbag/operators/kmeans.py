@@ -15,8 +15,6 @@ from ..scratch import new_folder, written
 from . import bounds, projection
 from .codebook import blocks, nearest_word
 
-BOUNDED = 256
-
 
 def drawn_hash(key: str, seed: int) -> Column:
     """Sixteen hexadecimal digits that depend on seed and key alone."""
@@ -101,19 +99,17 @@ def _local(spark: SparkSession, rows: list) -> DataFrame:
     return spark.createDataFrame(rows, "word int, center array<float>")
 
 
-def trained(features: DataFrame, words: int, iterations: int, key: str = "feature_id", seed: int = 1, start: DataFrame | None = None, bounded: bool | None = None, work: list | None = None) -> DataFrame:
+def trained(features: DataFrame, words: int, iterations: int, key: str = "feature_id", seed: int = 1, start: DataFrame | None = None, bounded: bool = False, work: list | None = None) -> DataFrame:
     """word, center after exactly ``iterations`` steps; lost words are seeded again from drawn features.
 
     ``bounded``: rows keep distance bounds from step to step (see ``bounds``), in a table that each step writes, and
-    most distances are skipped; by default so from BOUNDED words on, where the distances cost more than the table, if the
-    codebook is one block. The words are the same either way. To ``work`` each bounded step adds (distances computed,
-    rows times words)."""
+    distances that cannot matter are skipped; the codebook is held whole by each task. The words are the same either
+    way. It pays for long trainings with many words, whose later steps skip most distances; a step costs a table of the
+    features. To ``work`` each bounded step adds (distances computed, rows times words)."""
     spark, book = features.sparkSession, start if start is not None else initial_words(features, words, key, seed)
     rows, before, folders = features.select(key, "descriptor"), None, [new_folder(spark) for _ in range(2)]
     for i in range(iterations):
         ids = [r.word for r in book.select("word").collect()]
-        if bounded is None:
-            bounded = len(ids) >= BOUNDED and len(list(blocks(book))) == 1
         if bounded and ids:
             at, centers = (np.concatenate(x) for x in zip(*blocks(book)))
             rows = written(bounds.assigned(rows, bounds.Step(at, centers, before)), folders[i % 2])  # in place of the last but one
