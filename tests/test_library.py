@@ -13,6 +13,7 @@ from visbag.functions import sparse
 from visbag.functions import vectors as V
 from visbag.operators import bow, codebook, information, kdtree, kmeans, places, projection, search, statistics, trees
 from visbag.operators.repair import repair_file
+from visbag.plans import later
 from visbag.schema import ENVELOPE, VECTOR_FILE
 from visbag.sources import envelope, text_files, vector_file
 from visbag.streaming import pipeline
@@ -125,6 +126,31 @@ def test_approximate_search_in_blocks(spark):
     assert codebook.approximate_nearest(feats, book.limit(0), 3).first().words == []
 
 
+def test_features_keep_a_column_named_compared(spark):
+    c, x, book, feats = book_and_features(spark, words=40)
+    exact = {r.feature_id: r.words for r in codebook.nearest(feats, book, 3).collect()}
+    own = feats.withColumn("compared", F.col("feature_id") * 2)
+    for block in (1 << 20, 300):
+        got = codebook.nearest(own, book, 3, block_bytes=block)
+        assert got.columns == [*own.columns, "words", "distances"]
+        assert {r.feature_id: (r.words, r.compared) for r in got.collect()} == {i: (w, 2 * i) for i, w in exact.items()}
+    with pytest.raises(ValueError, match="compared"):
+        codebook.approximate_nearest(own, book, 3)
+
+
+def test_limited_kd_tree_query(spark, sf):
+    """Found and compared of each feature, as a search beside Spark has them."""
+    features, words = (df.collect() for df in later._halves(spark, sf))
+    centers, names = np.array([r.center for r in words], np.float32), np.array([r.word for r in words], np.int64)
+    x = np.array([r.descriptor for r in features], np.float32)
+    order = np.argsort(names)
+    near, _, compared = kdtree.KdTree(names[order], centers[order]).search(x, later.K, later.VISITS)
+    exact, _ = codebook._best(names, codebook.squared(x, centers), later.K)
+    want = {r.feature_id: (len(set(a) & set(b)), n) for r, a, b, n in zip(features, near.tolist(), exact.tolist(), compared.tolist())}
+    got = later.knn_kd_tree_limited(spark, sf).collect()
+    assert len(got) == len(want) and {r.feature_id: (r.found, r.compared) for r in got} == want
+
+
 def test_sparse_distances_equal_dense_ones(spark):
     rng = np.random.default_rng(7)
     rows = []

@@ -16,6 +16,7 @@ from ..scratch import written
 from .kdtree import KdTree
 
 BLOCK_BYTES, NEIGHBOURS, AVERAGED, SQUARED_BYTES, VISITS = 64 << 20, 32, 10_000, 8 << 20, 200
+RESULTS = {"words": "array<int>", "distances": "array<double>", "compared": "bigint"}
 
 
 def blocks(codebook: DataFrame, block_bytes: int = BLOCK_BYTES):
@@ -64,7 +65,7 @@ def nearest(features: DataFrame, codebook: DataFrame, k: int = NEIGHBOURS, descr
     k beyond the number of words gives all of them. ``exclude`` names a column whose word is left out. Null
     descriptors get null arrays.
     """
-    out = _passes(features, codebook, k + bool(exclude), descriptor, block_bytes, lambda words, centers: lambda x, k: (*_best(words, squared(x, centers), k), np.full(len(x), len(words))))
+    out = _passes(features, codebook, k + bool(exclude), descriptor, block_bytes, lambda words, centers: lambda x, k: _best(words, squared(x, centers), k))
     if exclude:
         both = F.slice(F.filter(F.arrays_zip("words", "distances"), lambda s: s.words != F.col(exclude)), 1, k)
         out = out.withColumns({"words": F.transform(both, lambda s: s.words), "distances": F.transform(both, lambda s: s.distances)})
@@ -80,20 +81,24 @@ def approximate_nearest(features: DataFrame, codebook: DataFrame, k: int, visits
         tree = KdTree(words, centers)
         return lambda x, k: tree.search(x, k, visits)
 
-    return _passes(features, codebook, k, descriptor, block_bytes, searched).select(*features.columns, "words", "distances", "compared")
+    return _passes(features, codebook, k, descriptor, block_bytes, searched, compared=True)
 
 
-def _passes(features: DataFrame, codebook: DataFrame, k: int, descriptor: str, block_bytes: int, searcher) -> DataFrame:
+def _passes(features: DataFrame, codebook: DataFrame, k: int, descriptor: str, block_bytes: int, searcher, compared: bool = False) -> DataFrame:
     """A pass for each block of the codebook; ``searcher`` makes of a block what finds the k nearest words of a matrix's
-    rows: words, distances, words compared."""
+    rows: words, distances and, if ``compared``, words compared. These are added to the columns of ``features``, which
+    must not have them yet."""
+    added = RESULTS if compared else {c: t for c, t in RESULTS.items() if c != "compared"}
+    if taken := sorted({c.lower() for c in features.columns} & added.keys()):
+        raise ValueError(f"features have columns of the result: {', '.join(taken)}")
     out, found = features, False
     for words, centers in blocks(codebook, block_bytes):
         if found:  # each pass's result is written, so that the driver and the plan hold one block at a time
             out = written(out)
-        out = _pass(out, searcher(words, centers), k, descriptor, found)
+        out = _pass(out, features.columns, added, searcher(words, centers), k, descriptor, found)
         found = True
     if not found:
-        out = out.withColumns({"words": F.expr("cast(array() as array<int>)"), "distances": F.expr("cast(array() as array<double>)"), "compared": F.lit(0).cast("bigint")})
+        out = out.withColumns({c: (F.lit(0) if c == "compared" else F.array()).cast(t) for c, t in added.items()})
     return out
 
 
@@ -106,27 +111,29 @@ def _lists(values: np.ndarray, there: np.ndarray, rows: int, kind: pa.DataType)
     return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(values.reshape(-1), kind), mask=pa.array(missing))
 
 
-def _pass(features: DataFrame, search, k: int, descriptor: str, more: bool) -> DataFrame:
-    keep = [c for c in features.columns if not more or c not in ("words", "distances", "compared")]
-    schema = features.select(*keep).withColumns({"words": F.expr("cast(null as array<int>)"), "distances": F.expr("cast(null as array<double>)"), "compared": F.expr("cast(null as bigint)")}).schema
+def _pass(features: DataFrame, keep: list[str], added: dict[str, str], search, k: int, descriptor: str, more: bool) -> DataFrame:
+    schema = features.select(*keep).withColumns({c: F.lit(None).cast(t) for c, t in added.items()}).schema
 
     def run(batches):
         for batch in batches:
             column = batch.column(descriptor)
             there = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
-            w, d, n = np.zeros((0, 0), np.int64), np.zeros((0, 0)), np.zeros(0, np.int64)
+            w, d, n = np.zeros((0, 0), np.int64), np.zeros((0, 0)), [np.zeros(0, np.int64)]
             if len(there):
-                w, d, n = search(_matrix(column.take(pa.array(there))), k)
+                w, d, *n = search(_matrix(column.take(pa.array(there))), k)
                 if more:
                     old_w, old_d = (batch.column(c).take(pa.array(there)).flatten().to_numpy().reshape(len(there), -1) for c in ("words", "distances"))
                     all_w, all_d = np.concatenate([old_w, w], 1), np.concatenate([old_d, d], 1)
                     order = np.lexsort((all_w, all_d), axis=1)[:, :k]
                     w, d = np.take_along_axis(all_w, order, 1), np.take_along_axis(all_d, order, 1)
-                    n = n + batch.column("compared").take(pa.array(there)).to_numpy()
-            compared = np.zeros(len(column), np.int64)
-            compared[there] = n
-            found = [_lists(w, there, len(column), pa.int32()), _lists(d, there, len(column), pa.float64()), pa.array(compared, mask=~np.isin(np.arange(len(column)), there))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *found], [*keep, "words", "distances", "compared"])
+                    if "compared" in added:
+                        n = [n[0] + batch.column("compared").take(pa.array(there)).to_numpy()]
+            found = [_lists(w, there, len(column), pa.int32()), _lists(d, there, len(column), pa.float64())]
+            if "compared" in added:
+                compared = np.zeros(len(column), np.int64)
+                compared[there] = n[0]
+                found.append(pa.array(compared, mask=~np.isin(np.arange(len(column)), there)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *found], [*keep, *added])
 
     return features.mapInArrow(run, schema)
 
