@@ -58,3 +58,34 @@ def test_segments_keep_what_came_before():
     assert sorted(seen.tolist()) == sorted([0, *symbols[:-1].tolist()])
     fresh = sum(int(f[v].sum()) for _, _, f, _, _, v in m._windows(symbols, symbols * 0, first, 1000))
     assert fresh == 3 and language_model.KNOWN > 0 and math.isfinite(m.size)
+
+
+def test_sums_of_runs():
+    rng = np.random.default_rng(2)
+    for most, keys in ((70_000, rng.integers(0, 70_000, 3000)), (40, np.minimum(rng.integers(0, 60, 3000), 40)), (3, np.zeros(1, np.int64)), (9, np.repeat(np.arange(9), gru.MANY + 1))):
+        rows = rng.standard_normal((len(keys), 5)).astype(np.float32)
+        order = gru._sorted(keys, most)
+        assert (order == np.argsort(keys, kind="stable")).all()
+        start = np.flatnonzero(np.concatenate([[True], np.diff(keys[order]) != 0]))
+        want = [rows[keys == k].astype(np.float64).sum(0) for k in np.unique(keys)]
+        assert np.allclose(gru._sums(rows, order, start), want, atol=1e-3)
+
+
+def test_gradients_are_those_of_the_probabilities():
+    rng = np.random.default_rng(6)
+    m = gru.Model(30, groups=4, width=8)
+    m.load(m.flat + rng.standard_normal(m.size).astype(np.float32) * 0.2)
+    symbols = rng.integers(-4, 31, 20)
+    tails = np.where(symbols < 0, -1 - symbols, 0)
+    x = np.concatenate([[0], np.where(symbols < 0, m.words + 1 + tails, symbols)[:-1]])
+    grads = {n: np.zeros(s, np.float32) for n, s in m.shapes.items()}
+    m.window(x[:, None], symbols[:, None], (np.arange(20) == 0)[:, None], np.zeros((1, gru.HIDDEN), np.float32), grads)
+    for name in m.shapes:
+        own, flat = getattr(m, name).reshape(-1), grads[name].reshape(-1)
+        for i in np.argsort(-np.abs(flat))[:4].tolist():
+            was, loss = own[i], []
+            for d in (1e-2, -1e-2):
+                own[i] = was + np.float32(d)
+                loss.append(-sum(plain(m, symbols.tolist(), tails.tolist())))
+            own[i] = was
+            assert math.isclose(flat[i], (loss[0] - loss[1]) / 2e-2, rel_tol=0.02, abs_tol=1e-3), (name, i)

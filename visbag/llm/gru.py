@@ -14,7 +14,28 @@ import heapq
 
 import numpy as np
 
-HIDDEN, WIDTH, TAILS, WINDOW, STREAMS, STEP, RATE, BLOCK, SEGMENT, TOKENS = 24, 16, 8, 24, 512, 6000, 0.05, 1024, 1024, 12_288
+HIDDEN, WIDTH, TAILS, WINDOW, STREAMS, STEP, RATE, BLOCK, SEGMENT, TOKENS, MANY = 24, 16, 8, 24, 512, 6000, 0.05, 256, 1024, 12_288, 16
+
+
+def _sorted(keys: np.ndarray, most: int) -> np.ndarray:
+    """Stable order of ``keys`` from 0 to ``most`` (by counting, where 16 bits hold them)."""
+    return np.argsort(keys.astype(np.uint16) if most < 1 << 16 else keys, kind="stable")
+
+
+def _sums(rows: np.ndarray, order: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Sums of the runs of ``rows`` taken in ``order`` that begin at ``start``: long runs one by one, of the others all
+    first rows, all second ones, and so on."""
+    n = np.diff(start, append=len(order))
+    out = rows.take(order[start], axis=0)
+    many = np.flatnonzero(n > MANY)
+    for k, a, b in zip(many.tolist(), start[many].tolist(), (start + n)[many].tolist()):
+        out[k] = np.ones(b - a, np.float32) @ rows.take(order[a:b], axis=0)
+    few, nth = np.flatnonzero((n > 1) & (n <= MANY)), 1
+    while len(few):
+        out[few] += rows.take(order[start[few] + nth], axis=0)
+        nth += 1
+        few = few[n[few] > nth]
+    return out
 
 
 class Model:
@@ -47,33 +68,36 @@ class Model:
             setattr(self, name, self.flat[at : at + n].reshape(shape))
             at += n
 
-    def step(self, x: np.ndarray, h: np.ndarray):
-        a = self.inputs[x]
+    def step(self, x: np.ndarray, h: np.ndarray, out: np.ndarray):
+        """The state after ``h``, into ``out``; gates, r h and the new part of the state."""
+        a = self.inputs.take(x, axis=0)
         zr = h @ self.gates
         zr += a[:, : 2 * HIDDEN]
         zr *= 0.5
         np.tanh(zr, out=zr)  # the logistic function, by the tangent of the half
         zr *= 0.5
         zr += 0.5
-        z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        rh = r * h
+        rh = zr[:, HIDDEN:] * h
         new = rh @ self.state
         new += a[:, 2 * HIDDEN :]
         np.tanh(new, out=new)
-        out = h - new
-        out *= z
+        np.subtract(h, new, out=out)
+        out *= zr[:, :HIDDEN]
         out += new
-        return out, (z, r, rh, new)
+        return zr, rh, new
 
-    def _softmax(self, rows: np.ndarray, w: np.ndarray, b: np.ndarray, chosen: np.ndarray, learn: tuple | None):
-        """Natural log probabilities of ``chosen``; with ``learn`` (gradients of w and b) also the gradient of ``rows``."""
-        e = rows @ w
+    @staticmethod
+    def _shifted(w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, bool]:
+        """``b`` less what its outputs cannot exceed, and whether this will do for every row."""
         most = np.abs(w).sum(0)  # the state is within -1 and 1
         high, low = float((b + most).max()), float(b.max() - most.max())
-        if high - low < 80:
-            e += b - np.float32(high)  # the largest of a row is no smaller than exp(-80)
-        else:
-            e += b
+        return (b - np.float32(high), True) if high - low < 80 else (b, False)  # the largest of a row is no smaller than exp(-80)
+
+    def _softmax(self, rows: np.ndarray, w: np.ndarray, shifted: tuple[np.ndarray, bool], chosen: np.ndarray, learn: tuple | None):
+        """Natural log probabilities of ``chosen``; with ``learn`` (gradients of w and b) also the gradient of ``rows``."""
+        e = rows @ w
+        e += shifted[0]
+        if not shifted[1]:
             e -= e.max(1, keepdims=True)
         k = np.arange(len(rows))
         log_p = e[k, chosen]
@@ -85,34 +109,37 @@ class Model:
         e *= (1 / total)[:, None]
         e[k, chosen] -= 1
         learn[0][:] += rows.T @ e
-        learn[1][:] += e.sum(0)
+        learn[1][:] += np.ones(len(e), np.float32) @ e
         return log_p, e @ w.T
 
     def _outputs(self, hs: np.ndarray, target: np.ndarray, learn: dict | None):
         """Natural log probabilities of ``target``; with ``learn``, its gradients too, and those of ``hs``. Rows are taken
         in the order of their classes, in blocks that stay in the processor's cache."""
         class_ = np.where(target < 0, self.classes - 1 - target, target // self.width)
-        order = np.argsort(class_, kind="stable")
-        hs, class_, target = hs[order], class_[order], target[order]
+        order = _sorted(class_, self.class_b.size)
+        hs, class_, target = hs.take(order, axis=0), class_[order], target[order]
         log_p, dh = np.empty(len(hs), np.float32), np.empty_like(hs) if learn is not None else None
         grads = (learn["class_w"], learn["class_b"]) if learn is not None else None
+        shifted = self._shifted(self.class_w, self.class_b)
         for a in range(0, len(hs), BLOCK):
             part = slice(a, a + BLOCK)
-            log_p[part], d = self._softmax(hs[part], self.class_w, self.class_b, class_[part], grads)
+            log_p[part], d = self._softmax(hs[part], self.class_w, shifted, class_[part], grads)
             if learn is not None:
                 dh[part] = d
         cuts = np.searchsorted(class_, np.arange(self.classes + 1)).tolist()
         for c in range(self.classes):
+            if cuts[c] < cuts[c + 1]:
+                shifted = self._shifted(self.word_w[c], self.word_b[c])
             for a in range(cuts[c], cuts[c + 1], BLOCK):
                 part = slice(a, min(a + BLOCK, cuts[c + 1]))
                 grads = (learn["word_w"][c], learn["word_b"][c]) if learn is not None else None
-                more, d = self._softmax(hs[part], self.word_w[c], self.word_b[c], target[part] - c * self.width, grads)
+                more, d = self._softmax(hs[part], self.word_w[c], shifted, target[part] - c * self.width, grads)
                 log_p[part] += more
                 if learn is not None:
                     dh[part] += d
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
-        return log_p[back], dh[back] if learn is not None else None
+        return log_p[back], dh.take(back, axis=0) if learn is not None else None
 
     def window(self, x: np.ndarray, target: np.ndarray, fresh: np.ndarray, h: np.ndarray, grads: dict | None, valid: np.ndarray | None = None):
         """Runs the rows of ``x`` (steps x streams) from state ``h``: log probabilities, the last state, and gradients.
@@ -120,14 +147,14 @@ class Model:
         steps, streams = x.shape
         there = slice(None) if valid is None or valid.all() else np.flatnonzero(valid)
         hs, cache = np.empty((steps, streams, HIDDEN), np.float32), []
+        begins = fresh.any(1).tolist()
         for t in range(steps):
-            if fresh[t].any():
+            if begins[t]:
                 h = np.where(fresh[t][:, None], np.float32(0), h)
-            before = h
-            h, kept = self.step(x[t], h)
-            hs[t] = h
+            before, h = h, hs[t]
+            zr, rh, new = self.step(x[t], before, h)
             if grads is not None:
-                cache.append((before, *kept))
+                cache.append((before, zr[:, :HIDDEN].copy(), zr[:, HIDDEN:].copy(), rh, new))
         log_p = np.zeros(steps * streams, np.float32)
         log_p[there], d_out = self._outputs(hs.reshape(-1, HIDDEN)[there], target.reshape(-1)[there], grads)
         if grads is not None:
@@ -147,15 +174,16 @@ class Model:
                 later *= z
                 later += d_rh * r
                 later += d_in[t, :, : 2 * HIDDEN] @ self.gates.T
-                if fresh[t].any():
+                grads["state"] += rh.T @ d_new
+                grads["gates"] += before.T @ d_in[t, :, : 2 * HIDDEN]
+                if begins[t]:
                     later *= ~fresh[t][:, None]
             flat, rows = x.reshape(-1), d_in.reshape(-1, 3 * HIDDEN)
-            grads["state"] += np.concatenate([c[3] for c in cache]).T @ rows[:, 2 * HIDDEN :]
-            grads["gates"] += np.concatenate([c[0] for c in cache]).T @ rows[:, : 2 * HIDDEN]
-            order = np.argsort(flat, kind="stable")
-            start = np.flatnonzero(np.concatenate([[True], np.diff(flat[order]) != 0]))
-            grads["inputs"][flat[order][start]] += np.add.reduceat(rows[order], start, axis=0)
-        return log_p.reshape(steps, streams), h
+            order = _sorted(flat, len(self.inputs))
+            held = flat[order]
+            start = np.flatnonzero(np.concatenate([[True], np.diff(held) != 0]))
+            grads["inputs"][held[start]] += _sums(rows, order, start)
+        return log_p.reshape(steps, streams), h.copy()
 
     def learn(self, symbols: np.ndarray, tails: np.ndarray, first: np.ndarray, rate: float = RATE) -> int:
         """One pass over the documents; adaptive step sizes. Returns the number of tokens."""
