@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -252,6 +253,19 @@ def test_skewed_values_spread_evenly(spark):
     assert len(ranges) == information.RANGES and max(ranges) < 2 * 40_000 / len(ranges)
 
 
+def test_ranges_are_the_same_each_time(spark):
+    """Rows that arrive in another order each time they are read fall into the same ranges."""
+
+    def mixed(batches):
+        table = pa.Table.from_batches(batches)
+        yield from table.take(np.random.default_rng().permutation(len(table))).to_batches()
+
+    rows = spark.range(600_000, numPartitions=2).selectExpr("1L as node", "cast(pmod(xxhash64(id), 3) as int) as label", "xxhash64(id, 1L) / 1e18 as val")
+    running = information._running(rows.mapInArrow(mixed, rows.schema))
+    first, second = (sorted(map(tuple, running.groupBy("range").agg(F.count("*"), F.min("val"), F.max("val")).collect())) for _ in range(2))
+    assert first == second
+
+
 @pytest.mark.parametrize("method", ["Sc", "MutualInformation", "Entropy"])
 def test_best_threshold_is_the_best(spark, method):
     rng = np.random.default_rng(4)

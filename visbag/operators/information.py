@@ -4,7 +4,8 @@ Input: samples (node, label, val). Everything starts from counts by (node, val,
 are folded before anything is dealt out. Running counts are prefix sums over ranges of values: a node with more than
 RANGE_ROWS counts is cut at quantiles of its distinct counts (a summary that tasks merge), so that values which are
 nearly all in one place spread as evenly as others; each range begins at the sums of those before it, carried over as one
-row a range and label. Smaller nodes are one range and carry nothing.
+row a range and label. Smaller nodes are one range and carry nothing. The summary depends on the order in which rows
+arrive, so the cuts are written once: every part of a plan that deals rows to ranges reads the same ones.
 
 Degenerate splits (nothing on one side) score null. Rows with a null or NaN value or a null label are left out.
 """
@@ -14,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import written
+
 RANGE_ROWS, RANGES = 10_000, 256
 METHODS = ("Sc", "MutualInformation", "Entropy", "Balanced", "Mean", "ScWithError")
 
@@ -68,7 +71,7 @@ def _running(samples: DataFrame, range_rows: int | None = None) -> DataFrame:
     counts = _clean(samples).groupBy("node", "val", "label").agg(F.count("*").alias("c"))
     cuts = F.percentile_approx(F.col("val").cast("double"), [i / RANGES for i in range(1, RANGES)], RANGES * 40)
     large = counts.groupBy("node").agg(F.count("*").alias("rows"), F.sum("c").alias("all"), cuts.alias("q")).where(F.col("rows") > (RANGE_ROWS if range_rows is None else range_rows))
-    large = large.select("node", F.array_distinct("q").alias("cuts"))
+    large = written(large.select("node", F.array_distinct("q").alias("cuts")))
     # a value that is a cut ends its range
     at = F.coalesce(F.size(F.filter("cuts", lambda x: x < F.col("val").cast("double"))), F.lit(0))
     rows = counts.join(large, "node", "left").select("node", at.alias("range"), F.coalesce(F.size("cuts"), F.lit(0)).alias("many"), "val", "label", "c").repartition("node", "range")
