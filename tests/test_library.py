@@ -285,6 +285,12 @@ def test_best_threshold_is_the_best(spark, method):
         information.best_threshold(samples, "Gini")
 
 
+def test_threshold_with_error_of_floats_is_their_middle(spark):
+    """The sum of two floats need not be a float."""
+    rows = spark.createDataFrame([(1, k, v) for k, v in ((0, 16777216.0), (1, 16777218.0)) for _ in range(4)], "node bigint, label int, val float")
+    assert information.best_threshold(rows, "ScWithError").first().threshold == 16777217.0
+
+
 def test_balanced_with_few_values(spark):
     two = spark.createDataFrame([(1, 1, 2.0), (1, 0, 4.0)], "node bigint, label int, val float")
     assert information.best_threshold(two, "Balanced").first().threshold == 4.0

@@ -152,8 +152,9 @@ def _best_with_error(samples: DataFrame, range_rows: int | None = None) -> DataF
     left = F.col("nth") + F.col("k")
     i = F.col("i0") + _gain(1, F.lit(0)) - _gain(1, F.col("k"))
     score = F.round(2 * i / F.nullif(F.col("all_share") + _halves(left, F.col("n") - left, F.col("n")), F.lit(0.0)), 12)
-    threshold = F.when((F.col("k") < F.col("c")) | F.col("next").isNull(), F.col("val")).otherwise((F.col("val") + F.col("next")) / 2)
-    rows = rows.select("node", score.alias("score"), threshold.cast("double").alias("threshold"), left.alias("left")).where("score > 0")
+    val = F.col("val").cast("double")
+    threshold = F.when((F.col("k") < F.col("c")) | F.col("next").isNull(), val).otherwise((val + F.col("next")) / 2)
+    rows = rows.select("node", score.alias("score"), threshold.alias("threshold"), left.alias("left")).where("score > 0")
     best = rows.groupBy("node").agg(F.max_by(F.struct("threshold", "score"), F.struct("score", -F.col("left"))).alias("b"))
     return best.select("node", "b.threshold", "b.score")
 
