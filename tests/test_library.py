@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import time
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -116,6 +118,37 @@ def test_kd_tree_recall_at_the_default_limit():
     assert recall[200] > 0.7 and recall[2000] > 0.95, recall
 
 
+def test_closest_equals_a_full_comparison():
+    """Ties, equal words, more neighbours than words, numbers of any size, NaN and infinity."""
+    rng = np.random.default_rng(9)
+    for words, dim, k, size in ((1, 3, 4, 1), (9000, 2, 3, 1), (6000, 64, 5, 1e-3), (5000, 5, 7, 1e18), (5000, 5, 7, 1e-25), (300, 4, 300, 1)):
+        centers, x = ((np.round(rng.standard_normal((n, dim)), 1) * size).astype(np.float32) for n in (words, 700))
+        names = rng.permutation(words).astype(np.int64)
+        x[:4] = centers[0]
+        x[5], x[6], x[7, 0] = np.nan, np.inf, 3e19
+        with np.errstate(all="ignore"):
+            w, d = codebook.closest(names, centers, x, k)
+            want_w, want_d = codebook._best(names, codebook.squared(x, centers), k)
+        assert (w == want_w).all() and np.array_equal(d, want_d, equal_nan=True)
+    centers[7, 1] = np.nan
+    assert (codebook.closest(names, centers, x[:5], 3)[0] == codebook._best(names, codebook.squared(x[:5], centers), 3)[0]).all()
+
+
+def test_nearest_takes_bounded_memory(spark, monkeypatch):
+    """A batch of features and a block of words make no table of their distances."""
+    searchers = []
+    monkeypatch.setattr(codebook, "_passes", lambda features, book, k, descriptor, size, searcher: searchers.append(searcher) or features.withColumns({"words": F.lit(1), "distances": F.lit(1)}))
+    codebook.nearest(spark.range(1), None, 5)
+    rng = np.random.default_rng(3)
+    x, centers = rng.standard_normal((4000, 8)).astype(np.float32), rng.standard_normal((10_000, 8)).astype(np.float32)
+    tracemalloc.start()
+    try:
+        w, _ = searchers[0](np.arange(10_000), centers)(x, 5)
+        assert w.shape == (4000, 5) and tracemalloc.get_traced_memory()[1] < 100e6  # all distances would be 320 MB
+    finally:
+        tracemalloc.stop()
+
+
 def test_approximate_search_in_blocks(spark):
     c, x, book, feats = book_and_features(spark, words=40)
     exact = {r.feature_id: (r.words, r.distances) for r in codebook.nearest(feats, book, 3).collect()}

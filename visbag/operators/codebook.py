@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import written
+from .closest import best as _best  # noqa: F401
+from .closest import closest, squared  # noqa: F401
 from .kdtree import KdTree
 
-BLOCK_BYTES, NEIGHBOURS, AVERAGED, SQUARED_BYTES, VISITS = 64 << 20, 32, 10_000, 8 << 20, 200
+BLOCK_BYTES, NEIGHBOURS, AVERAGED, VISITS = 64 << 20, 32, 10_000, 200
 RESULTS = {"words": "array<int>", "distances": "array<double>", "compared": "bigint"}
 
 
@@ -36,24 +38,6 @@ def blocks(codebook: DataFrame, block_bytes: int = BLOCK_BYTES):
             yield np.array([r.word for r in rows], np.int64), np.array([r.center for r in rows], np.float32)
 
 
-def squared(a: np.ndarray, centers: np.ndarray, rows: int = 64) -> np.ndarray:
-    """Squared L2 distances: float differences and products, double sums."""
-    out = np.empty((len(a), len(centers)))
-    width = max(1, SQUARED_BYTES // (4 * rows * max(1, a.shape[1])))
-    for i in range(0, len(a), rows):
-        for j in range(0, len(centers), width):
-            d = a[i : i + rows, None, :] - centers[None, j : j + width]
-            out[i : i + rows, j : j + width] = np.square(d, out=d).sum(2, dtype=np.float64)
-    return out
-
-
-def _best(words: np.ndarray, dist: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k nearest of each row; ties go to the smaller word."""
-    k = min(k, dist.shape[1])
-    order = np.lexsort((np.broadcast_to(words, dist.shape), dist), axis=1)[:, :k]
-    return np.take_along_axis(np.broadcast_to(words, dist.shape), order, 1), np.take_along_axis(dist, order, 1)
-
-
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1).astype(np.float32, copy=False)
@@ -65,7 +49,7 @@ def nearest(features: DataFrame, codebook: DataFrame, k: int = NEIGHBOURS, descr
     k beyond the number of words gives all of them. ``exclude`` names a column whose word is left out. Null
     descriptors get null arrays.
     """
-    out = _passes(features, codebook, k + bool(exclude), descriptor, block_bytes, lambda words, centers: lambda x, k: _best(words, squared(x, centers), k))
+    out = _passes(features, codebook, k + bool(exclude), descriptor, block_bytes, lambda words, centers: lambda x, k: closest(words, centers, x, k))
     if exclude:
         both = F.slice(F.filter(F.arrays_zip("words", "distances"), lambda s: s.words != F.col(exclude)), 1, k)
         out = out.withColumns({"words": F.transform(both, lambda s: s.words), "distances": F.transform(both, lambda s: s.distances)})
