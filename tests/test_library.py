@@ -149,6 +149,18 @@ def test_nearest_takes_bounded_memory(spark, monkeypatch):
         tracemalloc.stop()
 
 
+def test_kd_tree_without_a_limit_is_no_slower_than_a_full_comparison():
+    """Boxes rule nothing out in 64 dimensions."""
+    rng = np.random.default_rng(10)
+    x, centers = rng.standard_normal((300, 64)).astype(np.float32), rng.standard_normal((10_000, 64)).astype(np.float32)
+    tree, took = kdtree.KdTree(np.arange(10_000), centers), [time.perf_counter()]
+    w, _, _ = tree.search(x, 5)
+    took.append(time.perf_counter())
+    full, _ = codebook._best(np.arange(10_000), codebook.squared(x, centers), 5)
+    took.append(time.perf_counter())
+    assert (w == full).all() and took[1] - took[0] < took[2] - took[1]
+
+
 def test_approximate_search_in_blocks(spark):
     c, x, book, feats = book_and_features(spark, words=40)
     exact = {r.feature_id: (r.words, r.distances) for r in codebook.nearest(feats, book, 3).collect()}
